@@ -82,7 +82,7 @@ def brute_tiles(item, text, least):
         if best[0] < least:
             return total
         k, i, j = best[0], -best[1], -best[2]
-        item[i : i + k], text[j : j + k] = [None] * k, [False] * k
+        item[i : i + k], text[j : j + k] = [None] * k, [-1] * k
         total += k
 
 

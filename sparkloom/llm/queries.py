@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, licences, media, quality, reshard, secrets
+from . import bpe, decontaminate, html_text, licences, media, ngram_join, quality, reshard, secrets, suffix_dedup
 from .shared import table
 
 
@@ -18,10 +18,18 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.reshard(table(spark, sf_dir, "documents"), reshard.by_source())
 
@@ -42,7 +50,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_quality, op2_html_extraction, op4_decontamination, op6_resharding, op7_media_columns, op8_secret_scan, op9_bpe, op10_licence_scan)
+ALL = (op1_quality, op2_html_extraction, op3_suffix_dedup, op4_decontamination, op5_ngram_join, op6_resharding, op7_media_columns, op8_secret_scan, op9_bpe, op10_licence_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

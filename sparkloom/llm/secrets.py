@@ -131,7 +131,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of df and the columns `base` and `spans`."""
     found = _found(df, key, text)
-    return _spanned(found, found.select(key, "digest", "base", "weak"), key)
+    # Only texts that may hold a link are shuffled; the others pass by, at the price of matching twice.
+    some = found.where("digest is not null")
+    short = "array<struct<start:bigint,kind:int,end:bigint>>"
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(short)
+    rest = found.where("digest is null").withColumn("base", plain).withColumn("spans", F.col("base")).drop("weak", "digest")
+    return rest.unionByName(_spanned(some, some.select(key, "digest", "base", "weak"), key))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -20,12 +20,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays.
-
-    The stage works as an operator on near copies does by default: five-word
-    shingles and a similarity of 0.9, the join's own.
-    """
-    return ngram_join.one_of_each(docs)
+    """Of each group of near copies, on five-word shingles from a similarity of 0.8, the document of the least id stays."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Shingles are hashed to 64 bits and put in one global order, rare before common,
 by a count sketch of fixed size over the whole table.  Two sets of similarity
-THRESHOLD share a shingle among the first n - ceil(t n) + 1 of each.
+t share a shingle among the first n - ceil(t n) + 1 of each.
 
 1. Documents with equal sets are one class (two 64-bit sums of mixed hashes).
 2. Classes with equal prefix and size are one group; only groups are indexed.
@@ -39,8 +39,8 @@ from .components import components
 from .shared import settle
 from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
-#: Words of a shingle; least similarity as a fraction of whole numbers.
-WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
+#: Words of a shingle; least similarity in hundredths.
+WIDTH, PERCENT = 3, 90
 #: Buckets of the sketch, dealt in rows of ROW; members of a shingle that still become pairs; members of a block; bits of the map.
 BUCKETS, ROW, HOT, BLOCK, MAP_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25
 
@@ -64,8 +64,8 @@ def signatures(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def prefix_length(n: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
-    return n - (-(-n * num // den)) + (n > 0)
+def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return n - (-(-n * percent // 100)) + (n > 0)
 
 
 def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
     return out
 
 
-def prefixes(df: DataFrame, key: str, text: str, width: int, counts) -> DataFrame:
+def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, counts) -> DataFrame:
     """Per row: id, n, c (signature of the set), g (signature of prefix and size), prefix in global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, counts) -> DataFram
                 order = np.lexsort((hashes, count[(hashes & U64(BUCKETS - 1)).astype(np.int64)], row))
                 hashes, row = hashes[order], row[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                head = place < prefix_length(n)[row]
+                head = place < prefix_length(n, percent)[row]
                 group = signatures(hashes[head] + U64(1), row[head], part.num_rows)
                 group[:, 0] ^= mix(n.astype(U64) + U64(17))
                 at = np.searchsorted(row[head], np.arange(part.num_rows + 1)).astype(np.int32)
@@ -177,7 +177,7 @@ def sets(df: DataFrame, text: str, width: int, wanted) -> DataFrame:
     return df.select(F.col(text).alias("t")).mapInArrow(run, "c binary, tokens array<long>").dropDuplicates(["c"])
 
 
-def block_links(rows: pd.DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> pd.DataFrame:
+def block_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Links between the sets of two blocks (or within one) that join something new among these rows.
 
     rows: c, tokens, side (0, 1, or 2 where both blocks are the same).
@@ -198,14 +198,14 @@ def block_links(rows: pd.DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
 
     mark, out = np.zeros(len(flat), bool), []
     for i in range(len(ids)):
-        others = np.flatnonzero((np.arange(len(ids)) > i) & ((side == 2) | (side != side[i])) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+        others = np.flatnonzero((np.arange(len(ids)) > i) & ((side == 2) | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         if not len(others):
             continue
         own = at[starts[i] : ends[i]]
         mark[own] = True
         shared = np.add.reduceat(mark[at].astype(np.int64), starts)[others]
         mark[own] = False
-        for j in others[den * shared >= num * (n[others] + n[i] - shared)].tolist():
+        for j in others[100 * shared >= percent * (n[others] + n[i] - shared)].tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[b] = a
@@ -213,7 +213,7 @@ def block_links(rows: pd.DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def links_of(df: DataFrame, base: DataFrame, text: str, width: int) -> DataFrame:
+def links_of(df: DataFrame, base: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes; they connect whatever similarity connects."""
     spark = df.sparkSession
     classes = base.where("n > 0").groupBy("c", "n", "g").agg(F.first("prefix").alias("prefix"))
@@ -224,7 +224,7 @@ def links_of(df: DataFrame, base: DataFrame, text: str, width: int) -> DataFrame
     x, y = cold.alias("x"), cold.alias("y")
     sizes = F.col("x.n") + F.col("y.n")
     # The shingle is followed by at most so many common ones; x = y are the pairs within a group.
-    able = (DENOMINATOR * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n")) & ((NUMERATOR + DENOMINATOR) * (1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1) >= NUMERATOR * sizes)
+    able = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((percent + 100) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * sizes)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") <= F.col("y.g")) & able).where("x.g < y.g or x.members > 1").select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     member = settle(base.where("n > 0").select("g", "c", "n").distinct())
     ma, mb = (member.select(F.col("g").alias(f"g{k}"), F.col("c").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
@@ -235,22 +235,22 @@ def links_of(df: DataFrame, base: DataFrame, text: str, width: int) -> DataFrame
     right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
     left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    linked = pairs.join(right, "b").join(left, "a").where(DENOMINATOR * shared >= NUMERATOR * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    linked = pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
     # Blocks of a hot shingle: each member goes to every pair of blocks that has its own.
     blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
     dealt = hot.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", side.alias("side"))
-    in_blocks = dealt.join(found, "c").groupBy("token", "i", "j").applyInPandas(lambda rows: block_links(rows), "a binary, b binary")
+    in_blocks = dealt.join(found, "c").groupBy("token", "i", "j").applyInPandas(lambda rows: block_links(rows, percent), "a binary, b binary")
     return linked.unionByName(in_blocks)
 
 
-def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     counts = df.sparkSession.sparkContext.broadcast(sketch(df, text, width))
-    base = settle(prefixes(df, key, text, width, counts))
-    label = components(links_of(df, base, text, width)).withColumnsRenamed({"node": "c"})
+    base = settle(prefixes(df, key, text, width, percent, counts))
+    label = components(links_of(df, base, text, width, percent)).withColumnsRenamed({"node": "c"})
     least = base.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     of_component = named.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
@@ -260,8 +260,8 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """df with, of each component, the row of its least key; rows without shingles and rows without a key stay."""
-    chosen = classify(df, key, text, width).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    chosen = classify(df, key, text, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     named = df.where(df[key].isNotNull())
     return named.join(chosen, named[key] == F.col("_key"), "left_semi").dropDuplicates([key]).unionByName(df.where(df[key].isNull()))

@@ -12,18 +12,18 @@ from sparkloom.llm import ngram_join, suffix_dedup
 from sparkloom.llm.components import components
 
 
-def plain_set(text):
+def plain_set(text, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2)) if len(words) >= 3 else frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)])
 
 
-def plain_classes(rows):
+def plain_classes(rows, k=3, percent=90):
     """(id, size, component) by comparing all pairs that share anything."""
     by_set = defaultdict(list)
     for i, t in rows:
-        by_set[plain_set(t)].append(i)
+        by_set[plain_set(t, k)].append(i)
     keys = [s for s in by_set if s]
     root = list(range(len(keys)))
 
@@ -39,13 +39,13 @@ def plain_classes(rows):
     for n, s in enumerate(keys):
         for m in {m for g in s for m in holders[g] if m < n}:
             both = len(s & keys[m])
-            if 100 * both >= 90 * (len(s) + len(keys[m]) - both):
+            if 100 * both >= percent * (len(s) + len(keys[m]) - both):
                 root[find(n)] = find(m)
     least = defaultdict(list)
     for n, s in enumerate(keys):
         least[find(n)] += [i for i in by_set[s] if i is not None]
     named = {s: min(least[find(n)], default=None) for n, s in enumerate(keys)}
-    return sorted(str((i, len(plain_set(t)), named[plain_set(t)] if plain_set(t) else i)) for i, t in rows)
+    return sorted(str((i, len(plain_set(t, k)), named[plain_set(t, k)] if plain_set(t, k) else i)) for i, t in rows)
 
 
 def families(seed, n=6, size=40):
@@ -63,14 +63,14 @@ def families(seed, n=6, size=40):
     return out
 
 
-@pytest.mark.parametrize("hot", [4, 32])
-def test_classes_equal_brute_force(spark, documents, edge, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "width", "percent"), [(4, 3, 90), (32, 3, 90), (8, 5, 80)])
+def test_classes_equal_brute_force(spark, documents, edge, hot, width, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     made = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(families(hot))], "doc_id long, text string")
-    df = documents.select("doc_id", "text").unionByName(made).unionByName(edge.select("doc_id", "text").where("doc_id is null or doc_id > 100 or true").selectExpr("doc_id + 50000 as doc_id", "text"))
+    df = documents.select("doc_id", "text").unionByName(made).unionByName(edge.selectExpr("doc_id + 50000 as doc_id", "text"))
     rows = [tuple(r) for r in df.collect()]
-    assert sorted(str(tuple(r)) for r in ngram_join.classify(df).collect()) == plain_classes(rows)
+    assert sorted(str(tuple(r)) for r in ngram_join.classify(df, width=width, percent=percent).collect()) == plain_classes(rows, width, percent)
 
 
 def test_one_row_of_each_class_stays(spark, edge):

@@ -20,7 +20,9 @@ results are joined back by a digest of the text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 
@@ -101,10 +103,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     rows = index_rows()
     phrases = list(BASE)
-    # One pass over the texts: what nearly every text needs is its number of words and two tests.
-    has_base = t.rlike("|".join(phrase_pattern(p) for p in phrases).replace("|(?i)", "|"))
+    # Nearly every text needs only its number of words: plain substring tests go before all patterns.
+    low = F.lower(t)
+    lookup = lambda marks: functools.reduce(operator.or_, [low.contains(m) for m in marks])
+    has_base = lookup(["cc", "general", "reserved"]) & functools.reduce(operator.or_, [t.rlike(phrase_pattern(p)) for p in phrases])
     rarest = sorted({w for w, *_ in rows})
-    maybe = t.rlike(f"(?i)(?<!{WORD[:-1]})(?:{'|'.join(map(re.escape, rarest))})(?!{WORD[:-1]})")
+    maybe = lookup(sorted({max((w for k in ks for w in k.split()), key=len) for *_, ks in TEMPLATES}))
     none = F.array().cast("array<string>")
     one = df.select(F.col(key).alias("doc_id"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"), has_base.alias("has_base"), maybe.alias("maybe"), t.alias("t"))
     one = one.withColumn("words", F.when(F.col("has_base") | F.col("maybe"), _words(F.col("t"))).otherwise(none))

@@ -1,6 +1,7 @@
 """Ordered rule tables and their compilation to one Column (or SQL CASE), first match wins.
 
-Patterns keep to what Java and RE2 read alike.
+Patterns keep to what Java and RE2 read alike, but for word boundaries, which
+Java takes to be Unicode ones: `java` puts ASCII ones in their place.
 """
 
 from __future__ import annotations
@@ -11,6 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def java(pattern: str) -> str:
+    """The pattern with ASCII word boundaries."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A label for texts that match `pattern` and not `unless`; on the text as it is if `exact`, else on its small letters."""
@@ -192,7 +198,7 @@ def first_match(text: Column, rules: list[Rule], otherwise: str) -> Column:
     low, out = F.lower(text), None
     for r in rules:
         side = text if r.exact else low
-        holds = side.rlike(r.pattern)
+        holds = side.rlike(java(r.pattern))
         if r.unless:
             holds = holds & ~side.rlike(r.unless)
         out = F.when(holds, r.label) if out is None else out.when(holds, r.label)

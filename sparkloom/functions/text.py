@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import LANGUAGE_OF
-from .rules import BRANCHES, STRIPS
+from .rules import BRANCHES, STRIPS, java
 
 
 def loc(text: Column) -> Column:
@@ -68,9 +68,9 @@ def glob_to_regex(glob: str) -> str:
 def branches(text: Column, language: Column) -> Column:
     """Number of branch points once comments and literals are stripped."""
     bare = text
-    for java, _, put in STRIPS:
-        bare = F.regexp_replace(bare, java, put)
-    total = lambda family: sum((F.regexp_count(bare, F.lit(p)) for p in BRANCHES[family][1:]), F.regexp_count(bare, F.lit(BRANCHES[family][0])))
+    for pattern, _, put in STRIPS:
+        bare = F.regexp_replace(bare, pattern, put)
+    total = lambda family: sum((F.regexp_count(bare, F.lit(java(p))) for p in BRANCHES[family][1:]), F.regexp_count(bare, F.lit(java(BRANCHES[family][0]))))
     counted = F.when(language == "python", total("python")).when(language == "ruby", total("ruby")).otherwise(total("c"))
     return F.coalesce(counted, F.lit(0)).cast("long")
 

@@ -245,12 +245,24 @@ def _by_path():
     return W.partitionBy("path").orderBy("nth")
 
 
+def _use_of(kind: str, name: str) -> Callable[[Column], Column]:
+    """What a call (its callee and first argument) says about its source."""
+
+    def of(call: Column) -> Column:
+        argument = F.regexp_replace(F.regexp_extract(call, r"\(([^(),]*)", 1), r"^\s+|\s+$", "")
+        called = argument if kind == "context" else F.lit(name) if name else F.regexp_extract(call, r"^([\w.]+)", 1)
+        detail = F.concat(F.substring(F.regexp_replace(call, r"\s+", " "), 1, 59), F.lit(")"))
+        return F.struct(F.lit(kind).alias("type"), called.alias("name"), detail.alias("detail"))
+
+    return of
+
+
 def data_flows(files: DataFrame) -> DataFrame:
     """(component_name, file_path, type, name, detail): one row per use of a data source."""
     calls = []
     for kind, name, callee in SOURCES:
         found = _all(F.col("body"), rf"(?<![\w.])((?:{callee})\s*(?:<[^>]*>)?\([^(),]*)", 1)
-        calls.append(F.transform(found, lambda x, kind=kind, name=name: F.struct(F.lit(kind).alias("type"), (F.regexp_replace(F.regexp_extract(x, r"\(([^(),]*)", 1), r"^\s+|\s+$", "") if kind == "context" else F.lit(name) if name else F.regexp_extract(x, r"^([\w.]+)", 1)).alias("name"), F.concat(F.substring(F.regexp_replace(x, r"\s+", " "), 1, 59), F.lit(")")).alias("detail"))))
+        calls.append(F.transform(found, _use_of(kind, name)))
     given = F.regexp_extract("body", r"^[^(]*\(\s*(\{[^}]*\}|\w+\s*:\s*\w*Props)", 1)
     calls.append(F.when(given != "", F.array(F.struct(F.lit("props").alias("type"), F.lit("props").alias("name"), F.substring(given, 1, 60).alias("detail")))).otherwise(F.array().cast("array<struct<type:string,name:string,detail:string>>")))
     return _declarations(files).select(F.col("name").alias("component_name"), F.col("path").alias("file_path"), F.explode(F.concat(*calls)).alias("s")).select("component_name", "file_path", "s.*")

@@ -39,14 +39,71 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     return label
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+#: Edges up to which a graph algorithm runs in one task, which then holds the whole graph.
+SMALL_EDGES = 500_000
+
+
+def _in_one_task(edges: DataFrame, run, schema: str) -> DataFrame:
+    """run(adjacency) -> rows, over edges that are known to be few."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in zip(pdf["source"], pdf["target"], strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, [])
+        return pd.DataFrame(run(near), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return edges.select("source", "target").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, schema)
+
+
+def tarjan(near: dict) -> list:
+    """(id, component) of strongly connected components of two nodes or more, without recursion."""
+    order, low, on, stack, out = {}, {}, set(), [], []
+    for root in sorted(near):
+        if root in order:
+            continue
+        work = [(root, iter(near[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if other not in order:
+                    order[other] = low[other] = len(order)
+                    stack.append(other)
+                    on.add(other)
+                    work.append((other, iter(near[other])))
+                    break
+                if other in on:
+                    low[node] = min(low[node], order[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = []
+                    while True:
+                        x = stack.pop()
+                        on.discard(x)
+                        members.append(x)
+                        if x == node:
+                            break
+                    if len(members) > 1:
+                        out += [(x, max(members)) for x in members]
+    return out
+
+
+def strong_components(edges: DataFrame, most_rounds: int = 200, small: int = SMALL_EDGES) -> DataFrame:
     """(id, component) of nodes on directed cycles through at least two nodes; the component is its greatest id.
 
-    Nodes without a way in or out are peeled off; then the greatest reachable
+    Up to `small` edges one task walks the graph.  Beyond, nodes without a way in or out are peeled off; then the greatest reachable
     label of each node colours the graph, and walking back from each colour's
     root within its colour gives one component per colour, which goes; repeat.
     """
     left = settle(edges.select("source", "target").where("source <> target").distinct())
+    if left.count() <= small:
+        return _in_one_task(left, tarjan, "id string, component string")
     found = None
     for _ in range(most_rounds):
         while True:
@@ -109,9 +166,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     rank = settle(ids.join(ends, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("dangling", F.lit(True)).alias("dangling")))
     for _ in range(most):
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(rank, links.source == rank.id).groupBy(F.col("target").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        given = links.join(rank, links.source == rank.id).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
-        moved = rank.join(given, rank.id == given.to, "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("new"), "rank", "dangling")
+        moved = rank.join(given, rank.id == given.node, "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("new"), "rank", "dangling")
         moved = settle(moved)
         change = moved.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0]
         rank = moved.select("id", F.col("new").alias("rank"), "dangling")
@@ -144,12 +201,26 @@ def dependency_layers(nodes: DataFrame, edges: DataFrame, most: int = 10_000) ->
     return home.join(layer, "home").select("id", F.col("layer").cast("int").alias("layer"))
 
 
-def reachable(edges: DataFrame, start: str, most: int = 1000) -> DataFrame:
-    """(id, distance) of the nodes that can be reached from one."""
+def reachable(edges: DataFrame, start: str, most: int = 100_000, small: int = SMALL_EDGES) -> DataFrame:
+    """(id, distance) of the nodes that can be reached from one; by one task up to `small` edges, else step by step."""
     spark = edges.sparkSession
+    links = settle(edges.select("source", "target").distinct())
+    if links.count() <= small:
+
+        def walk(near: dict) -> list:
+            far, queue = {start: 0}, deque([start])
+            while queue:
+                x = queue.popleft()
+                for y in near.get(x, ()):
+                    if y not in far:
+                        far[y] = far[x] + 1
+                        queue.append(y)
+            return list(far.items())
+
+        return _in_one_task(links, walk, "id string, distance int")
     seen = front = settle(spark.createDataFrame([(start, 0)], "id string, distance int"))
     for d in range(1, most):
-        step = edges.join(front, edges.source == front.id).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d))
+        step = links.join(front, links.source == front.id).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d))
         front = settle(step)
         if front.isEmpty():
             break

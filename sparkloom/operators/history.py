@@ -68,7 +68,7 @@ def bus_factor_issues(factors: DataFrame) -> DataFrame:
 
 def staleness(changes: DataFrame, now: Column, dusty_months: int = 6, abandoned_months: int = 12) -> DataFrame:
     """(path, last_change, stale_days, stale_level), months of 30 days."""
-    last = changes.groupBy("path").agg(F.max("ts").alias("last_change"))
+    last = changes.groupBy("path").agg(F.max(F.col("ts").cast("timestamp")).alias("last_change"))
     days = F.floor((F.unix_micros(now) - F.unix_micros("last_change")) / 86_400_000_000).cast("int")
     level = F.when(F.col("stale_days") >= abandoned_months * 30, "abandoned").when(F.col("stale_days") >= dusty_months * 30, "dusty").otherwise("active")
     return last.withColumn("stale_days", days).withColumn("stale_level", level)

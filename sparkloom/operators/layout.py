@@ -58,7 +58,7 @@ def treemap(nodes: DataFrame, width: float = 1200, height: float = 800) -> DataF
         pdf = pdf.sort_values("directory")
         return pd.DataFrame(squarify(list(zip(pdf["directory"], pdf["value"], strict=True)), 0, 0, width, height), columns=["id", "value", "x", "y", "w", "h"])
 
-    boxes = totals.groupBy(F.lit(0)).applyInPandas(top, RECTS)
+    boxes = totals.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(top, RECTS)
 
     def inner(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

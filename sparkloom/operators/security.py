@@ -17,7 +17,7 @@ def eligible(sources: DataFrame) -> DataFrame:
 def _found(line: Column, language: Column, escapes: Column) -> list[Column]:
     out = []
     for r in rules.SECURITY_RULES:
-        hit = line.rlike(r.pattern)
+        hit = line.rlike(rules.java(r.pattern))
         if r.languages:
             hit = language.isin(*r.languages) & hit
         if r.id == "secret":
@@ -25,7 +25,7 @@ def _found(line: Column, language: Column, escapes: Column) -> list[Column]:
         else:
             hit = hit & ~line.rlike(rules.COMMENT_LINE)
         if r.id.startswith("eval"):
-            hit = hit & ~line.rlike(rules.IMPORT_LINE)
+            hit = hit & ~line.rlike(rules.java(rules.IMPORT_LINE))
         if r.id == "xss-innerhtml":
             hit = hit & ~escapes
         shown = redact(line) if r.id == "secret" else shorten(F.trim(line))

@@ -1,15 +1,498 @@
-"""The registered queries over the driver's tables, each with its DuckDB counterpart."""
+"""The registered queries over the driver's tables, each with its DuckDB counterpart where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from sparkloom.functions import dims, rules, text
+from sparkloom.operators import enrich, extract, graph, graph_metrics, history, layout, security
+from sparkloom.plans.roles import COMMITS_SQL, PARTS_SQL, TRADE_SQL, commits, parts, successions, successions_sql, table, trade
+from sparkloom.streaming import windows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+LATE = "2001-01-01"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(rows) -> str:
+    q = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
+
+
+GRAPH = f"nodes AS MATERIALIZED ({PARTS_SQL}), edges AS MATERIALIZED ({successions_sql()})"
+LATE_GRAPH = f"nodes AS MATERIALIZED ({PARTS_SQL}), edges AS MATERIALIZED ({successions_sql(LATE)})"
+DEGREES = "deg AS MATERIALIZED (SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source, 0, 1 FROM edges) GROUP BY id)"
+FULL = "full_nodes AS MATERIALIZED (SELECT n.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM nodes n LEFT JOIN deg USING (id))"
+MEDIAN = "med AS (SELECT coalesce(list_sort(list(loc))[CAST(floor(count(*) / 2) AS INT) + 1], 100) AS median FROM nodes WHERE loc > 0)"
+LIMITS = f"limits(language, gf, gl, hi, ho) AS (VALUES {_values([(k, *v) for k, v in dims.THRESHOLDS.items()])})"
+_D = dims.THRESHOLDS["default"]
+JUDGED = f"""judged AS MATERIALIZED (SELECT f.*, coalesce(l.gl, {_D[1]}) AS gl, coalesce(l.hi, {_D[2]}) AS hi, coalesce(l.ho, {_D[3]}) AS ho,
+  CASE WHEN module_type IN ('controller', 'handler') THEN CAST(ceil(coalesce(l.gf, {_D[0]}) * 1.5) AS BIGINT) ELSE coalesce(l.gf, {_D[0]}) END AS lim, greatest(median * 3, coalesce(l.gl, {_D[1]})) AS most
+  FROM full_nodes f LEFT JOIN (SELECT * FROM limits WHERE language <> 'default') l USING (language), med WHERE module_type <> 'test')"""
+CHAIN = f"{GRAPH}, {DEGREES}, {FULL}, {MEDIAN}, {LIMITS}, {JUDGED}"
+LAYER_ROWS = f"layers(module_type, layer) AS (VALUES {_values(dims.LAYER_OF.items())}), ranks(layer, rank) AS (VALUES {_values(dims.LAYER_ORDER.items())})"
+
+
+# ---- structure ----
+
+
+@query(f"WITH edges AS ({successions_sql()}), {DEGREES} SELECT * FROM deg")
+def degree_fan_in_out(spark, sf):
+    return graph.degrees(successions(spark, sf))
+
+
+@query(f"WITH {GRAPH}, {DEGREES}, {FULL} SELECT id, fan_in, fan_out FROM full_nodes WHERE module_type <> 'test' ORDER BY fan_in + fan_out DESC, ord LIMIT 10")
+def coupling_top10(spark, sf):
+    return graph.top_coupled(parts(spark, sf), successions(spark, sf))
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}), {MEDIAN} SELECT CAST(median AS BIGINT) AS median FROM med")
+def upper_median_loc(spark, sf):
+    return graph.upper_median(parts(spark, sf), "loc", 100).select(F.col("median").cast("long").alias("median"))
+
+
+@query(
+    f"""WITH {CHAIN} SELECT id, 'God module — ' || array_to_string(list_filter([
+    CASE WHEN module_type NOT IN ('entry-point', 'config') AND fan_out > lim THEN 'fan-out ' || fan_out || ' (threshold ' || lim || ')' END,
+    CASE WHEN loc > most THEN loc || ' LOC (threshold ' || most || ')' END], lambda x: x IS NOT NULL), ' AND ') || ': ' || id AS message
+    FROM judged WHERE (module_type NOT IN ('entry-point', 'config') AND fan_out > lim) OR loc > most"""
+)
+def god_modules(spark, sf):
+    return graph.god_modules(parts(spark, sf), successions(spark, sf)).select(F.get("files", 0).alias("id"), "message")
+
+
+@query(f"WITH {CHAIN} SELECT id, 'High coupling (fan-in: ' || fan_in || ', fan-out: ' || fan_out || '): ' || id AS message FROM judged WHERE fan_in > hi AND fan_out > ho")
+def high_coupling(spark, sf):
+    return graph.high_coupling(parts(spark, sf), successions(spark, sf)).select(F.get("files", 0).alias("id"), "message")
+
+
+@query(f"WITH {LATE_GRAPH}, {DEGREES}, {FULL} SELECT id, module_type FROM full_nodes WHERE fan_in = 0 AND fan_out = 0 AND module_type NOT IN {dims.STANDALONE}")
+def orphans(spark, sf):
+    return graph.orphans(parts(spark, sf), successions(spark, sf, LATE)).select("id", "module_type")
+
+
+@query(
+    f"""WITH {GRAPH}, {LAYER_ROWS}, ln AS (SELECT id, layer, rank FROM nodes JOIN layers USING (module_type) JOIN ranks USING (layer))
+    SELECT source, target, a.layer AS source_layer, b.layer AS target_layer FROM edges JOIN ln a ON source = a.id JOIN ln b ON target = b.id WHERE a.rank < b.rank"""
+)
+def layer_violations(spark, sf):
+    return graph.layer_violations(parts(spark, sf), successions(spark, sf))
+
+
+@query(
+    f"""WITH nodes AS ({PARTS_SQL}), {LAYER_ROWS} SELECT CASE WHEN bool_or(regexp_matches('/' || lower(directory) || '/', '/ports/|/adapters/|/domain/')) THEN 'hexagonal'
+    WHEN bool_or(module_type IN ('model', 'entity')) AND bool_or(module_type IN ('view', 'component', 'page')) AND bool_or(module_type IN ('controller', 'handler')) THEN 'mvc'
+    WHEN count(DISTINCT CASE WHEN layer <> 'infrastructure' THEN layer END) >= 3 THEN 'layered' WHEN count(DISTINCT CASE WHEN layer <> 'infrastructure' THEN layer END) >= 1 THEN 'modular' ELSE 'unknown' END AS pattern
+    FROM nodes LEFT JOIN layers USING (module_type)"""
+)
+def architecture_pattern(spark, sf):
+    return graph.architecture_pattern(parts(spark, sf))
+
+
+GROUPED = "grp AS MATERIALIZED (SELECT id, 'auto:' || directory || '|' || module_type AS group_id FROM nodes WHERE (directory, module_type) IN (SELECT (directory, module_type) FROM nodes GROUP BY directory, module_type HAVING count(*) >= 3))"
+
+
+@query(f"WITH nodes AS MATERIALIZED ({PARTS_SQL}), {GROUPED} SELECT group_id, count(*) AS member_count, CAST(sum(loc) AS BIGINT) AS total_loc, arg_min(directory, ord) AS directory, array_to_string(list_sort(list(DISTINCT module_type)), ',') AS module_types FROM nodes JOIN grp USING (id) GROUP BY group_id")
+def auto_groups(spark, sf):
+    nodes = parts(spark, sf)
+    return graph.group_info(nodes, graph.auto_groups(nodes)).withColumn("module_types", F.array_join("module_types", ","))
+
+
+@query(f"WITH {GRAPH}, {GROUPED}, e AS (SELECT coalesce(a.group_id, source) AS source, coalesce(b.group_id, target) AS target, type FROM edges LEFT JOIN grp a ON source = a.id LEFT JOIN grp b ON target = b.id) SELECT source, target, type, count(*) AS weight FROM e WHERE source <> target GROUP BY ALL")
+def group_edges(spark, sf):
+    nodes = parts(spark, sf)
+    return graph.group_edges(successions(spark, sf), graph.auto_groups(nodes))
+
+
+GROUPS = {"first": ["src/d1*"], "fives": ["d5/**", "d25/**"]}
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}) SELECT id, CASE WHEN regexp_matches(file_path, 'src/d1[^/]*') THEN 'group:first' ELSE 'group:fives' END AS group_id FROM nodes WHERE regexp_matches(file_path, 'src/d1[^/]*|d5/.*|d25/.*')")
+def pattern_groups(spark, sf):
+    return graph.group_by_patterns(parts(spark, sf), GROUPS)
+
+
+def _pages(spark, sf):
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/$", "")
+    return table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), path.alias("file_path"), F.regexp_extract(path, "([^/]*)$", 1).alias("label"))
+
+
+PAGES = "pg AS MATERIALIZED (SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/$', '') AS file_path FROM pages), base AS MATERIALIZED (SELECT id, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS label, CASE WHEN file_path LIKE '%/%' THEN string_split(regexp_extract(file_path, '^(.*)/[^/]*$', 1), '/') ELSE [] END AS dirs FROM pg)"
+
+
+@query(
+    f"""WITH {PAGES}, clash AS (SELECT label, count(*) AS n, max(len(dirs)) AS deepest FROM base GROUP BY label HAVING count(*) > 1 AND max(len(dirs)) > 0),
+    deep AS (SELECT b.*, n, deepest, unnest(generate_series(1, deepest)) AS depth FROM base b JOIN clash USING (label)),
+    named AS (SELECT label, depth, n, CASE WHEN least(depth, len(dirs)) > 0 THEN array_to_string(dirs[greatest(len(dirs) - depth + 1, 1):], '/') || '/' || label ELSE label END AS name FROM deep),
+    fit AS (SELECT label, min(depth) AS d FROM (SELECT label, depth FROM named GROUP BY label, depth HAVING count(DISTINCT name) = max(n)) GROUP BY label)
+    SELECT id, CASE WHEN least(coalesce(d, deepest, 0), len(dirs)) > 0 THEN array_to_string(dirs[greatest(len(dirs) - coalesce(d, deepest) + 1, 1):], '/') || '/' || label ELSE label END AS label
+    FROM base LEFT JOIN clash USING (label) LEFT JOIN fit USING (label)"""
+)
+def label_disambiguation(spark, sf):
+    return graph.label_nodes(_pages(spark, sf))
+
+
+@query(f"WITH {CHAIN}, {LAYER_ROWS}, {DEGREES.replace('deg AS', 'deg2 AS')}, iss AS (SELECT 'warning' AS severity FROM judged WHERE (module_type NOT IN ('entry-point', 'config') AND fan_out > lim) OR loc > most UNION ALL SELECT 'warning' FROM judged WHERE fan_in > hi AND fan_out > ho) SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM iss")
+def severity_counts(spark, sf):
+    n, e = parts(spark, sf), successions(spark, sf)
+    return graph.severity_counts(graph.god_modules(n, e).unionByName(graph.high_coupling(n, e)))
+
+
+# ---- history ----
+
+
+@query(f"WITH c AS ({COMMITS_SQL}), k AS (SELECT path, count(*) AS changes FROM c GROUP BY path) SELECT path, changes, round(changes / (SELECT max(changes) FROM k), 6) AS frequency FROM k")
+def change_frequency(spark, sf):
+    return history.change_frequency(commits(spark, sf)).withColumn("frequency", F.round("frequency", 6))
+
+
+CO = f"c AS (SELECT DISTINCT commit_id, path FROM ({COMMITS_SQL})), k AS (SELECT path, count(*) AS n FROM c GROUP BY path), co AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS co_changes FROM c a JOIN c b ON a.commit_id = b.commit_id AND a.path < b.path GROUP BY ALL), conf AS MATERIALIZED (SELECT file_a, file_b, co_changes, co_changes / greatest(ka.n, kb.n) AS confidence FROM co JOIN k ka ON file_a = ka.path JOIN k kb ON file_b = kb.path)"
+
+
+@query(f"WITH {CO} SELECT file_a, file_b, co_changes, round(confidence, 6) AS confidence FROM conf")
+def co_change(spark, sf):
+    return history.co_changes(commits(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH c AS (SELECT DISTINCT l_orderkey AS commit_id, l_suppkey AS path FROM lineitem), k AS (SELECT path, count(*) AS n FROM c GROUP BY path), co AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS co_changes FROM c a JOIN c b ON a.commit_id = b.commit_id AND a.path < b.path GROUP BY ALL HAVING count(*) >= 3) SELECT file_a, file_b, co_changes, round(co_changes / greatest(ka.n, kb.n), 6) AS confidence FROM co JOIN k ka ON file_a = ka.path JOIN k kb ON file_b = kb.path")
+def co_change_large(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_suppkey").alias("path"))
+    return history.co_changes(li, 3).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {CO} SELECT file_a, file_b, co_changes, round(confidence, 6) AS confidence FROM conf WHERE co_changes >= 3 AND confidence >= 0.36 AND NOT (file_a = 'click' AND file_b = 'view')")
+def temporal_coupling(spark, sf):
+    nodes = table(spark, sf, "events").select(F.col("event_type").alias("id")).distinct()
+    edges = spark.createDataFrame([("view", "click")], "source string, target string")
+    return history.temporal_coupling(history.co_changes(commits(spark, sf), 3), nodes, edges, 3, 0.36).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH p AS (SELECT user_id AS path, event_type AS author, count(*) AS commits FROM events GROUP BY ALL), t AS (SELECT *, sum(commits) OVER (PARTITION BY path) AS total FROM p) SELECT path, count(*) FILTER (commits >= 0.1 * total) AS bus_factor, CAST(sum(commits) AS BIGINT) AS commits, (list(author ORDER BY commits DESC, author))[1] AS top_author FROM t GROUP BY path")
+def bus_factor(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("author"))
+    return history.bus_factor(e)
+
+
+@query("WITH l AS (SELECT o_custkey AS path, max(o_orderdate) AS last_change FROM orders GROUP BY o_custkey), d AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(last_change)) / 86400000000) AS INT) AS stale_days FROM l) SELECT *, CASE WHEN stale_days >= 360 THEN 'abandoned' WHEN stale_days >= 180 THEN 'dusty' ELSE 'active' END AS stale_level FROM d")
+def staleness(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("ts"))
+    return history.staleness(o, F.lit("2001-08-01").cast("timestamp"))
+
+
+_DOC_BRANCHES = text.branches_sql("text")
+
+
+@query(f"SELECT doc_id, {_DOC_BRANCHES} AS branches FROM documents")
+def branch_complexity(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.branches(F.col("text"), F.lit("c")).alias("branches"))
+
+
+@query(f"WITH b AS (SELECT source AS id, CAST(sum({_DOC_BRANCHES}) AS BIGINT) AS complexity, count(*) AS changes FROM documents GROUP BY source), t AS (SELECT *, complexity / greatest((SELECT max(complexity) FROM b), 1) AS nc, changes / (SELECT max(changes) FROM b) AS cf FROM b) SELECT id, complexity, round(nc, 6) AS normalized_complexity, round(cf, 6) AS change_frequency, changes, round(nc * cf, 6) AS hotspot_score, nc * cf >= 0.5 AS is_hotspot FROM t")
+def hotspots(spark, sf):
+    docs = table(spark, sf, "documents")
+    per = docs.groupBy(F.col("source").alias("path")).agg(F.sum(text.branches(F.col("text"), F.lit("c"))).alias("branches"))
+    spots = history.hotspots(docs.select(F.col("source").alias("id")).distinct(), per, history.change_frequency(docs.select(F.col("source").alias("path"))))
+    return spots.withColumns({c: F.round(c, 6) for c in ("normalized_complexity", "change_frequency", "hotspot_score")})
+
+
+# ---- text ----
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS loc FROM documents")
+def lines_of_code(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.loc(F.col("text")).cast("long").alias("loc"))
+
+
+_S = rules.SECURITY_RULES[0].pattern.replace("'", "''")
+_TL, _TF = rules.TYPE_LINE.replace("'", "''"), rules.TYPE_FIELD.replace("'", "''")
+_SECRETS = rf"ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE strlen(text) <= 100000), hit AS (SELECT *, regexp_extract(trim(value), '(\w+)\s*[:=]\s*[\x22\x27]', 1) AS name FROM ln WHERE regexp_matches(value, '{_S}') AND NOT regexp_matches(value, '{_TL}') AND NOT regexp_matches(value, '{_TF}'))"
+
+
+def _sources(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("language"), F.lit("util").alias("module_type"), "text")
+
+
+@query(rf"WITH {_SECRETS} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, 'secret' AS rule, 'error' AS severity, CASE WHEN name <> '' THEN name || ' = [redacted]' ELSE '[hardcoded secret]' END AS match FROM hit")
+def secret_findings(spark, sf):
+    return security.findings(_sources(spark, sf)).where("rule = 'secret'").select("path", F.col("line").cast("int").alias("line"), "rule", "severity", "match")
+
+
+@query(rf"WITH {_SECRETS} SELECT CAST(doc_id AS VARCHAR) AS path, 'security-secret' AS type, 'error' AS severity, count(*) AS total FROM hit GROUP BY doc_id")
+def security_report(spark, sf):
+    found = security.findings(_sources(spark, sf)).where("rule = 'secret'")
+    return found.groupBy("path", F.col("kind").alias("type"), "severity").agg(F.count("*").alias("total"))
+
+
+_URL_PATH = "regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
+
+
+@query(f"SELECT page_id, {rules.first_match_sql(_URL_PATH, rules.PATH_RULES, 'unknown')} AS module_type FROM pages")
+def classify_paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", rules.classify_path(F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)).alias("module_type"))
+
+
+@query("SELECT p_partkey, " + rules.first_match_sql("path", rules.PATH_RULES, "unknown") + " AS module_type FROM (SELECT p_partkey, '/src/' || (['controllers', 'services', 'models', 'utils', 'components', 'hooks', 'pages', 'api', 'tests', 'x'])[p_partkey % 10 + 1] || '/' || replace(p_name, ' ', '_') || (['.ts', '.py', '.go', '.rs', '.java', '.rb', '.php', '.cs', '.tsx', '.vue'])[CAST(floor(p_partkey / 10) AS BIGINT) % 10 + 1] AS path FROM part)")
+def classify_part_paths(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % 10).cast("int") + 1)
+    path = F.concat(F.lit("/src/"), pick("controllers services models utils components hooks pages api tests x".split(), k), F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), pick(".ts .py .go .rs .java .rb .php .cs .tsx .vue".split(), F.floor(k / 10)))
+    return table(spark, sf, "part").select("p_partkey", rules.classify_path(path).alias("module_type"))
+
+
+_HEAD = "array_to_string(list_slice(string_split(html, chr(10)), 1, 150), chr(10))"
+
+
+@query(f"SELECT page_id, {rules.first_match_sql(_HEAD, rules.CONTENT_RULES, 'unknown')} AS module_type FROM pages")
+def classify_content(spark, sf):
+    return table(spark, sf, "pages").select("page_id", rules.classify_content(F.col("html")).alias("module_type"))
+
+
+@query(rf"""WITH h AS (SELECT url AS source, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, '(?i)\bhref\s*=\s*["''''""]([^"''''""#?]+)', 1))) AS href FROM pages) SELECT DISTINCT source, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE host || '/' || regexp_replace(href, '^/+', '') END AS target FROM h""".replace("''''\"\"", "''"))
+def link_edges(spark, sf):
+    return extract.link_edges(table(spark, sf, "pages"))
+
+
+# ---- graph algorithms ----
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = ["r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    for k in range(rounds):
+        steps.append(
+            f"r{k + 1} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE id NOT IN (SELECT source FROM edges)) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(sum(r.rank / d.o), 0) AS rank FROM nodes n LEFT JOIN edges e ON e.target = n.id LEFT JOIN r{k} r ON r.id = e.source LEFT JOIN outs d ON d.source = e.source GROUP BY n.id)"
+        )
+    return f"WITH {TRADE_SQL}, outs AS (SELECT source, count(*) AS o FROM edges GROUP BY source), {', '.join(steps)} SELECT id, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(8))
+def pagerank(spark, sf):
+    nodes, edges = trade(spark, sf)
+    return graph_metrics.pagerank(nodes, edges, most=8, tolerance=0.0).withColumn("rank", F.round("rank", 6))
+
+
+def _next_supplier(spark, sf):
+    """A graph of one edge per supplier: to the supplier that most often comes next in an order."""
+    li = table(spark, sf, "lineitem")
+    nxt = F.lead("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    pairs = li.select("l_suppkey", nxt.alias("n")).where("n is not null and n <> l_suppkey").groupBy("l_suppkey", "n").agg(F.count("*").alias("k"))
+    top = pairs.groupBy("l_suppkey").agg(F.min_by("n", F.struct(-F.col("k"), F.col("n"))).alias("n"))
+    return top.select(F.format_string("s%05d", "l_suppkey").alias("source"), F.format_string("s%05d", "n").alias("target"))
+
+
+NEXT = "edges AS MATERIALIZED (SELECT printf('s%05d', l_suppkey) AS source, printf('s%05d', n) AS target FROM (SELECT l_suppkey, n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, n) AS rn FROM (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n IS NOT NULL AND n <> l_suppkey GROUP BY l_suppkey, n) WHERE rn = 1)"
+
+
+@query(f"WITH RECURSIVE {NEXT}, walk(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM walk JOIN edges ON b = source), both_ways AS (SELECT w.a, w.b FROM walk w JOIN walk v ON w.a = v.b AND w.b = v.a WHERE w.a <> w.b) SELECT a AS id, greatest(a, max(b)) AS component FROM both_ways GROUP BY a")
+def strong_components(spark, sf):
+    return graph_metrics.strong_components(_next_supplier(spark, sf))
+
+
+@query(f"WITH RECURSIVE {NEXT}, walk(id, distance) AS (SELECT 's00001', 0 UNION ALL SELECT target, distance + 1 FROM walk JOIN edges ON id = source WHERE distance < 200) SELECT id, CAST(min(distance) AS INT) AS distance FROM walk GROUP BY id")
+def reachability(spark, sf):
+    return graph_metrics.reachable(_next_supplier(spark, sf), "s00001")
+
+
+_TREE = "edges(source, target) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
+
+
+def _tree(spark, sf):
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    a = n.select(F.concat(F.lit("r"), "n_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
+    return a.unionByName(c.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("target")))
+
+
+@query(f"WITH RECURSIVE {_TREE}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), walk(id, d) AS (SELECT id, 0 FROM ids UNION ALL SELECT source, d + 1 FROM walk JOIN edges ON target = id) SELECT id, CAST(max(d) AS INT) AS layer FROM walk GROUP BY id")
+def dependency_layers(spark, sf):
+    edges = _tree(spark, sf)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return graph_metrics.dependency_layers(nodes, edges)
+
+
+@query(f"WITH {TRADE_SQL}, u AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), w AS (WITH RECURSIVE walk(a, b) AS (SELECT id, id FROM nodes UNION SELECT a, target FROM walk JOIN u ON b = source) SELECT a AS id, min(b) AS component FROM walk GROUP BY a) SELECT * FROM w")
+def weak_components(spark, sf):
+    return graph_metrics.components(*trade(spark, sf))
+
+
+@query()
+def betweenness(spark, sf):
+    return graph_metrics.betweenness(*trade(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query()
+def communities(spark, sf):
+    return graph_metrics.communities(*trade(spark, sf))
+
+
+@query(
+    f"""WITH RECURSIVE {_TREE}, ids AS (SELECT DISTINCT source AS id FROM edges) SELECT id FROM ids"""
+)
+def articulation_points(spark, sf):
+    """In a forest every node with two neighbours or more cuts; here those are the inner nodes."""
+    edges = _tree(spark, sf)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return graph_metrics.articulation_points(nodes, edges)
+
+
+# ---- enrichment ----
+
+
+def _wide(spark, sf):
+    n, e = parts(spark, sf), successions(spark, sf, LATE)
+    issues = graph.god_modules(n, e).unionByName(graph.high_coupling(n, e)).unionByName(graph.orphan_issues(n, e))
+    return enrich.wide_nodes(n, e, issues), issues
+
+
+_LATE_CHAIN = f"{LATE_GRAPH}, {DEGREES}, {FULL}, {MEDIAN}, {LIMITS}, {JUDGED}, god AS MATERIALIZED (SELECT id FROM judged WHERE (module_type NOT IN ('entry-point', 'config') AND fan_out > lim) OR loc > most), high AS (SELECT id FROM judged WHERE fan_in > hi AND fan_out > ho), orp AS MATERIALIZED (SELECT id FROM full_nodes WHERE fan_in = 0 AND fan_out = 0 AND module_type NOT IN {dims.STANDALONE})"
+_BIOMES = f"biomes(module_type, biome) AS (VALUES {_values(dims.BIOME_OF.items())})"
+
+
+@query(
+    f"""WITH {_LATE_CHAIN}, {_BIOMES} SELECT id, round((fan_in + fan_out) * 3 + log2(loc + 1) * 2 + CASE WHEN id IN (SELECT id FROM god) THEN 25 ELSE 0 END, 6) AS importance,
+    CASE WHEN id IN (SELECT id FROM god) OR loc > 200 OR fan_in + fan_out > 8 THEN 'large' WHEN loc > 50 OR fan_in + fan_out > 3 THEN 'medium' ELSE 'small' END AS size_category, coalesce(biome, 'plains') AS biome,
+    CASE WHEN id IN (SELECT id FROM orp) THEN 'ruined' WHEN id IN (SELECT id FROM god) OR id IN (SELECT id FROM high) THEN 'damaged' ELSE 'healthy' END AS condition FROM full_nodes LEFT JOIN biomes USING (module_type)"""
+)
+def importance_size(spark, sf):
+    wide, issues = _wide(spark, sf)
+    wide = wide.withColumns({"is_hotspot": F.lit(False), "hotspot_score": F.lit(0.0)})
+    return enrich.locations(wide, issues).select("id", F.round("importance", 6).alias("importance"), "size_category", "biome", "condition")
+
+
+@query(f"WITH {_LATE_CHAIN}, p AS (SELECT (SELECT count(*) FROM god) * 3 + (SELECT count(*) FROM high) * 3 + (SELECT count(*) FROM orp) AS penalty), s AS (SELECT CAST(greatest(0, floor(100 - penalty / greatest(1, (SELECT count(*) FROM nodes) * 5) * 100 + 0.5)) AS BIGINT) AS score FROM p) SELECT score, CASE WHEN score >= 80 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 40 THEN 2 WHEN score >= 20 THEN 1 ELSE 0 END AS tier FROM s")
+def health_score(spark, sf):
+    _, issues = _wide(spark, sf)
+    return enrich.health(issues, parts(spark, sf))
+
+
+@query(f"WITH {_LATE_CHAIN}, t AS (SELECT id, 'god-module' AS type, 'warning' AS severity FROM god UNION ALL SELECT id, 'high-coupling', 'warning' FROM high UNION ALL SELECT id, 'orphan-module', 'info' FROM orp) SELECT id, type, severity, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS rank FROM t")
+def threat_log(spark, sf):
+    wide, issues = _wide(spark, sf)
+    wide = wide.withColumns({"is_hotspot": F.lit(False), "hotspot_score": F.lit(0.0)})
+    return enrich.threat_log(enrich.threats(wide, issues)).select("id", "type", "severity", "rank")
+
+
+@query(f"WITH {_LATE_CHAIN} SELECT id, CASE WHEN fan_in >= 8 THEN 'blast-radius' WHEN id IN (SELECT id FROM god) THEN 'oversized' WHEN id IN (SELECT id FROM orp) THEN 'unused' ELSE 'fine' END AS verdict FROM full_nodes")
+def verdicts(spark, sf):
+    wide, _ = _wide(spark, sf)
+    return enrich.verdicts(wide.withColumns({"normalized_complexity": F.lit(0.0), "change_frequency": F.lit(0.0)}))
+
+
+def _state(spark, sf, first: bool):
+    o = table(spark, sf, "orders")
+    cut = F.lit("1998-01-01").cast("timestamp")
+    some = o.where(F.col("o_orderdate") < cut if first else F.col("o_orderdate") >= cut)
+    return some.select(F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("path")).distinct()
+
+
+@query("WITH p AS (SELECT DISTINCT 'c/' || o_custkey AS path FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), c AS (SELECT DISTINCT 'c/' || o_custkey AS path FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT c.path AS path, p.path AS previous_path, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'removed' ELSE 'retained' END AS status FROM p FULL JOIN c ON p.path = c.path")
+def state_diff(spark, sf):
+    return enrich.diff_state(_state(spark, sf, True), _state(spark, sf, False))
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT page_id % 2 AS side, regexp_replace(regexp_extract(url, '^[a-z]+://(.*?)(?:[?#].*)?$', 1), '/$', '') AS path FROM pages),
+    s AS (SELECT side, path, regexp_extract(path, '([^/]*)$', 1) AS name, list_distinct(list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda x: x <> '')) AS dirs FROM p)
+    SELECT a.path AS path, b.path AS previous_path, round(0.5 + 0.5 * len(list_intersect(a.dirs, b.dirs)) / len(list_distinct(list_concat(a.dirs, b.dirs))), 6) AS score FROM s a JOIN s b ON a.name = b.name AND a.side = 1 AND b.side = 0
+    WHERE 0.5 + 0.5 * len(list_intersect(a.dirs, b.dirs)) / len(list_distinct(list_concat(a.dirs, b.dirs))) >= 0.6"""
+)
+def rename_match(spark, sf):
+    path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://(.*?)(?:[?#].*)?$", 1), "/$", "")
+    p = table(spark, sf, "pages").select((F.col("page_id") % 2).alias("side"), path.alias("path")).distinct()
+    return enrich.rename_pairs(p.where("side = 0"), p.where("side = 1")).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {GRAPH} SELECT id FROM nodes WHERE lower(label) LIKE '%p19%' OR lower(file_path) LIKE '%p19%'")
+def search(spark, sf):
+    return enrich.search(parts(spark, sf), "P19").select("id")
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT target AS id, 'out' AS direction FROM edges WHERE source = 'p7' UNION SELECT DISTINCT source, 'in' FROM edges WHERE target = 'p7'")
+def neighborhood(spark, sf):
+    return enrich.neighbourhood(successions(spark, sf), "p7")
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}) SELECT module_type, count(*) AS n FROM nodes GROUP BY module_type ORDER BY n DESC, module_type LIMIT 8")
+def type_chips(spark, sf):
+    return enrich.type_chips(parts(spark, sf))
+
+
+@query(f"WITH {GRAPH}, {DEGREES}, {FULL} SELECT id, round((fan_in + fan_out) / (SELECT max(fan_in + fan_out) FROM full_nodes), 6) AS value FROM full_nodes")
+def dependency_lens(spark, sf):
+    wide = graph.with_degrees(parts(spark, sf), successions(spark, sf))
+    return enrich.lens(wide, "dependencies").withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH {GRAPH}, pl AS (SELECT id, CAST(ord % 60 AS INT) + 1 AS x, CAST(floor(ord / 60) AS INT) + 1 AS y, ord % 4 AS c FROM nodes)
+    SELECT source, target, CAST(abs(a.x - b.x) + abs(a.y - b.y) + 1 AS INT) AS n_points, a.c <> b.c AS is_cross_region FROM edges JOIN pl a ON source = a.id JOIN pl b ON target = b.id"""
+)
+def manhattan_paths(spark, sf):
+    n = parts(spark, sf)
+    places = n.select("id", (F.col("ord") % 60).cast("int").alias("grid_x"), F.floor(F.col("ord") / 60).cast("int").alias("grid_y"), F.lit(2).alias("tile_size"), F.lit(1.0).alias("importance"), (F.col("ord") % 4).alias("community"))
+    return enrich.routes(places, successions(spark, sf)).select("source", "target", F.size("points").alias("n_points"), "is_cross_region")
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}) SELECT directory, CAST(sum(greatest(loc, 1)) AS DOUBLE) AS value, round(sum(greatest(loc, 1)) / (SELECT sum(greatest(loc, 1)) FROM nodes) * 960000, 3) AS area FROM nodes GROUP BY directory")
+def treemap_directories(spark, sf):
+    """Each directory's rectangle has its share of the area."""
+    boxes = layout.treemap(parts(spark, sf)).where("directory is null")
+    return boxes.select(F.col("id").alias("directory"), "value", F.round(F.col("w") * F.col("h"), 3).alias("area"))
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}) SELECT id, directory, round(sqrt(greatest(loc, 1)), 6) AS r FROM nodes WHERE directory IN ('src/d1', 'src/d2')")
+def packed_circles(spark, sf):
+    return layout.pack_circles(parts(spark, sf).where("directory in ('src/d1', 'src/d2')")).select("id", "directory", F.round("r", 6).alias("r"))
+
+
+# ---- windows ----
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, CAST(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' AS TIMESTAMP) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf):
+    return windows.counts(_events(spark, sf), "1 day").withColumn("total", F.round("total", 4))
+
+
+@query("WITH w AS (SELECT event_type, value, ts, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '6 hours']) AS start FROM events) SELECT CAST(start AS TIMESTAMP) AS start, CAST(start + INTERVAL '12 hours' AS TIMESTAMP) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL")
+def sliding_counts(spark, sf):
+    return windows.counts(_events(spark, sf), "12 hours", "6 hours").withColumn("total", F.round("total", 4))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def sessions(spark, sf):
+    return windows.sessions(_events(spark, sf))
+
+
+@query("SELECT user_id, event_type, min(ts) AS first_seen FROM events GROUP BY ALL")
+def first_seen(spark, sf):
+    return windows.first_seen(_events(spark, sf))
+
+
+@query("SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM events) GROUP BY event_id")
+def dedup_events(spark, sf):
+    return windows.without_repeats(_events(spark, sf)).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

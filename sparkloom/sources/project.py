@@ -48,7 +48,10 @@ def ignored_by(path: Column, patterns: list[tuple[str, bool]]) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, focus: str | None = None, most_bytes: int | None = None) -> DataFrame:
-    """(path, n_bytes, content) of the files below root; paths are relative and content is read only where it is used."""
+    """(path, n_bytes, content) of the files below root; paths are relative and content is read only where it is used.
+
+    Spark's reader passes over files of no bytes, so they are no nodes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if focus is None else f"{root.rstrip('/')}/{focus}")
     base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}/", "")

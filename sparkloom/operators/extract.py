@@ -120,7 +120,7 @@ def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_mo
         out = out.when(kind == "go", F.array(F.when(inside, F.regexp_replace(F.substring(spec, len(go_module) + 1, 1 << 30), "^/", ""))))
     else:
         out = out.when(kind == "go", F.array().cast("array<string>"))
-    return out.otherwise(F.array(spec))
+    return out.otherwise(F.array(F.regexp_replace(spec, r"\.$", "")))  # a wildcard names its package
 
 
 def keys_of(files: DataFrame) -> DataFrame:

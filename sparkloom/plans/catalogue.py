@@ -210,6 +210,30 @@ def hotspots(spark, sf):
     return spots.withColumns({c: F.round(c, 6) for c in ("normalized_complexity", "change_frequency", "hotspot_score")})
 
 
+@query("WITH l AS (SELECT o_custkey AS path, max(o_orderdate) AS last_change FROM orders GROUP BY o_custkey), d AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(last_change)) / 86400000000) AS INT) AS n FROM l) SELECT 'info' AS severity, 'Stale code (' || CASE WHEN n >= 360 THEN 'abandoned' ELSE 'dusty' END || ', ' || n || ' days): ' || path AS message FROM d WHERE n >= 180")
+def stale_issues(spark, sf):
+    return history.stale_issues(staleness(spark, sf).withColumn("path", F.col("path").cast("string"))).select("severity", "message")
+
+
+@query(f"WITH {CO} SELECT CASE WHEN confidence >= 0.8 THEN 'warning' ELSE 'info' END AS severity, file_a || '|' || file_b AS pair FROM conf WHERE co_changes >= 3")
+def temporal_issues(spark, sf):
+    return history.temporal_issues(history.co_changes(commits(spark, sf), 3)).select("severity", F.array_join("files", "|").alias("pair"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS path, CAST(o_custkey AS VARCHAR) AS author FROM orders) SELECT 'warning' AS severity, 'Bus factor 1 — only ' || author || ' contributes to: ' || path AS message FROM p")
+def bus_factor_issues(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").cast("string").alias("author"))
+    return history.bus_factor_issues(history.bus_factor(o)).select("severity", "message")
+
+
+@query("SELECT user_id, event_id, count(CASE WHEN event_type = 'signup' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS header FROM events")
+def carried_headers(spark, sf):
+    """A header holds for the rows after it: here the number of signups so far of each user."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    e = table(spark, sf, "events").withColumn("k", F.when(F.col("event_type") == "signup", F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))))
+    return e.select("user_id", "event_id", F.coalesce(F.last("k", ignorenulls=True).over(w), F.lit(0)).cast("long").alias("header"))
+
+
 # ---- text ----
 
 
@@ -348,6 +372,11 @@ def articulation_points(spark, sf):
     return graph_metrics.articulation_points(nodes, edges)
 
 
+@query(f"WITH RECURSIVE {NEXT}, walk(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM walk JOIN edges ON b = source), home AS (SELECT w.a AS id, greatest(w.a, max(w.b)) AS component FROM walk w JOIN walk v ON w.a = v.b AND w.b = v.a WHERE w.a <> w.b GROUP BY w.a) SELECT 'error' AS severity, 'Circular dependency: ' || array_to_string(list_sort(list(id)), ' → ') AS message FROM home GROUP BY component")
+def cycle_issues(spark, sf):
+    return graph_metrics.cycle_issues(_next_supplier(spark, sf)).select("severity", "message")
+
+
 # ---- enrichment ----
 
 
@@ -425,6 +454,29 @@ def neighborhood(spark, sf):
     return enrich.neighbourhood(successions(spark, sf), "p7")
 
 
+@query(f"WITH {_LATE_CHAIN}, help(type, title, suggestion) AS (VALUES {_values([(k, v[0], v[2]) for k, v in dims.ISSUE_HELP.items()])}), t AS (SELECT 'god-module' AS type FROM god UNION ALL SELECT 'high-coupling' FROM high UNION ALL SELECT 'orphan-module' FROM orp) SELECT type, title, suggestion, count(*) AS n FROM t JOIN help USING (type) GROUP BY ALL")
+def issue_help(spark, sf):
+    _, issues = _wide(spark, sf)
+    return graph.with_help(issues).groupBy("type", "title", "suggestion").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GRAPH}, pl AS (SELECT id, ord % 4 AS c FROM nodes) SELECT least(a.c, b.c) AS a, greatest(a.c, b.c) AS b, count(*) AS n FROM edges JOIN pl a ON source = a.id JOIN pl b ON target = b.id WHERE a.c <> b.c GROUP BY ALL")
+def community_links(spark, sf):
+    places = parts(spark, sf).select("id", (F.col("ord") % 4).alias("community"))
+    return enrich.community_links(places, successions(spark, sf))
+
+
+@query(f"WITH nodes AS ({PARTS_SQL}), {_BIOMES}, pl AS (SELECT ord, ord % 7 AS community, biome FROM nodes JOIN biomes USING (module_type)) SELECT community, arg_max(biome, n * 1000000 - first) AS biome FROM (SELECT community, biome, count(*) AS n, min(ord) AS first FROM pl GROUP BY ALL) GROUP BY community")
+def dominant_biome(spark, sf):
+    places = parts(spark, sf).select("id", "ord", (F.col("ord") % 7).alias("community"), enrich.biome(F.col("module_type"), F.lit(False)).alias("biome"))
+    return enrich.dominant_biome(places)
+
+
+@query(f"WITH {LATE_GRAPH}, {DEGREES}, d AS (SELECT id, fan_in + fan_out AS degree FROM deg), m AS (SELECT list_sort(list(degree))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM d) SELECT source, target FROM edges JOIN d a ON source = a.id JOIN d b ON target = b.id, m WHERE (SELECT count(*) FROM edges) <= 100 OR a.degree > median OR b.degree > median")
+def quiet_edges(spark, sf):
+    return enrich.quiet_edges(successions(spark, sf, LATE)).select("source", "target")
+
+
 @query(f"WITH nodes AS ({PARTS_SQL}) SELECT module_type, count(*) AS n FROM nodes GROUP BY module_type ORDER BY n DESC, module_type LIMIT 8")
 def type_chips(spark, sf):
     return enrich.type_chips(parts(spark, sf))

@@ -57,5 +57,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
+SQL = {
+    "op3_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+ w AS (SELECT doc_id, i, md5(hex(b)[2 * i + 1 : 2 * i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+ r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+ g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+ k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM g),
+ spans AS MATERIALIZED (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS e FROM k GROUP BY doc_id, s),
+ cuts AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+ kept AS (SELECT doc_id, string_agg(hex(b)[2 * f + 1 : 2 * coalesce(t, octet_length(b))], '' ORDER BY f) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id),
+ n AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+ n AS MATERIALIZED (SELECT doc_id, len(sh) AS n FROM s),
+ t AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+ pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+ links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * k >= 90 * (p.n + q.n - k)),
+ both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(b) AS component_id FROM n JOIN reach ON doc_id = a GROUP BY doc_id, n""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL expresses an operator and ends in reasonable time on the driver's tables."""
+    return dict(SQL)

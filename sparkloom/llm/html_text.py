@@ -41,9 +41,12 @@ BREAKS = frozenset("address article aside blockquote center details dialog dir d
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|aside|widget|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|discussion|pagination|pager|search|toolbar|copyright|legal|skip|hidden|sr-only|tracking|disclaimer|rail|sidecol|teaser|outbrain|taboola)(?=$|[\s_-])",
+    r"(?<!\bhas)(?<!\bwith)(?<!\bno)(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit)|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|aside|widget|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|discussion|pagination|pager|search|toolbar|copyright|legal|skip|hidden|sr-only|tracking|disclaimer|rail|sidecol|teaser|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Of these names only outside the article, and not where they name the article's own head.
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|topnav|top-bar|site-title)(?=$|[\s_-])", re.I)
+OWN_HEAD = re.compile(r"entry|article|post|content|story|title", re.I)
 #: Paths are selected from this share of the deviation of the smoothed scores; the article holds this share of the selected text.
 THRESHOLD, MASS = 0.8, 0.98
 
@@ -99,7 +102,9 @@ class Page:
             if tag in VOID or m[3].endswith("/") and tag in ("path", "circle", "rect"):
                 continue
             inside = any(s[0] in ("article", "main") for s in stack)
-            marked = _marked(tag, _attributes(m[3])) or (tag == "header" and not inside)
+            attributes = _attributes(m[3])
+            named = f"{attributes.get('class', '')} {attributes.get('id', '')}" if attributes else ""
+            marked = _marked(tag, attributes) or (not inside and (tag == "header" or bool(HEAD.search(named)) and not OWN_HEAD.search(named)))
             path = f"{stack[-1][3] if stack else ''}/{tag}"
             stack.append((tag, len(self.tags), marked or (bool(stack) and stack[-1][2]), path))
             self.tags.append(tag)

@@ -57,7 +57,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
+def _spans_sql(pattern: str, kind: int, test: str) -> str:
+    """DuckDB: list of (start, kind, end) of the matches m of a pattern in column t that pass a test."""
+    q = pattern.replace("'", "''")
+    start = "CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"(SELECT coalesce(list({{'s': {start}, 'k': {kind}, 'e': {start} + length(m[i])}}), []) FROM (SELECT m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT regexp_extract_all(t, '{q}') AS m, regexp_split_to_array(t, '{q}') AS p)) WHERE {test})"
+
+
+_WORDS = secrets.KINDS
+_LISTED = "array_to_string(list_transform(list_sort({0}), lambda x: (" + str(list(_WORDS)) + ")[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+_BOUND = "(?<![A-Za-z0-9_])"
+SECRET_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ b AS MATERIALIZED (SELECT doc_id, t, list_concat({_spans_sql(secrets.ASSIGN, 0, "length(regexp_replace(m[i], '" + secrets.ASSIGN_HEAD.replace("'", "''") + "', '')) >= 8")}, {_spans_sql(secrets.ACCESS, 1, "length(m[i]) >= 16")}, {_spans_sql(secrets.HEX, 2, "true")}) AS base FROM d),
+ w AS (SELECT doc_id, unnest(list_concat({_spans_sql("[A-Za-z0-9+/=]+", 3, "length(m[i]) = 40 AND NOT contains(m[i], '=')")}, {_spans_sql("(?i)" + secrets.IDENT.replace(_BOUND, chr(92) + "b"), 4, "true")}, {_spans_sql(secrets.ENDPOINT.replace(_BOUND, chr(92) + "b"), 5, "true")})) AS x FROM b WHERE len(base) > 0),
+ s AS (SELECT doc_id, unnest(base) AS y FROM b),
+ l AS (SELECT w.doc_id, list(DISTINCT x) AS linked FROM w JOIN s ON w.doc_id = s.doc_id AND abs(x.s - y.s) <= {secrets.SCOPE} AND (x.e <= y.s OR y.e <= x.s) AND ((x.k = 3 AND y.k = 1) OR (x.k = 4 AND y.k IN (0, 2)) OR x.k = 5) GROUP BY w.doc_id)
+SELECT doc_id, len(list_filter(base, lambda x: x.k = 0)) AS n_assign, len(list_filter(base, lambda x: x.k = 1)) AS n_access, len(list_filter(base, lambda x: x.k = 2)) AS n_hex, sha256({_LISTED.format("base")}) AS base_sha256, {_LISTED.format("list_concat(base, coalesce(linked, []))")} AS spans
+FROM b LEFT JOIN l USING (doc_id)"""
+
+def _rows_sql(rows: list[tuple]) -> str:
+    q = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
+
+
+def _phrase_at(phrase: str) -> str:
+    """DuckDB: numbers of the words of ws at which a phrase stands."""
+    parts = phrase.split()
+    return f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + {len(parts) - 1}] = {parts}), lambda i: i - 1)"
+
+
+LICENCE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+ b AS MATERIALIZED (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line, {", ".join(f"{_phrase_at(p)} AS at{n}" for n, p in enumerate(licences.BASE))} FROM d),
+ idx(word, template, position, total) AS (VALUES {_rows_sql(licences.index_rows())}),
+ need(template, label, phrase) AS (VALUES {_rows_sql([(n, label, k) for n, (label, _, ks) in enumerate(licences.TEMPLATES) for k in ks])}),
+ w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+ hit AS (SELECT doc_id, template, word, total, unnest([floor((i - position) / {licences.SLACK}), floor((i - position) / {licences.SLACK}) + 1]) AS band FROM w JOIN idx USING (word)),
+ placed AS (SELECT doc_id, template, max(share) AS share FROM (SELECT doc_id, template, band, count(DISTINCT word) / max(total) AS share FROM hit GROUP BY ALL) WHERE share >= {licences.SUPPORT} GROUP BY ALL),
+ good AS (SELECT doc_id, share, max(label) AS label FROM placed JOIN need USING (template) JOIN b USING (doc_id) GROUP BY doc_id, template, share HAVING bool_and(contains(line, ' ' || phrase || ' '))),
+ per AS (SELECT doc_id, list(DISTINCT label) AS found, round(max(share), 6) AS score FROM good GROUP BY doc_id),
+ r AS (SELECT doc_id, ws, list_concat({", ".join(f"at{n}" for n in range(len(licences.BASE)))}) AS starts, list_filter([{", ".join(f"CASE WHEN len(at{n}) > 0 THEN '{label}' END" for n, label in enumerate(licences.BASE.values()))}], lambda x: x IS NOT NULL) AS based FROM b)
+SELECT doc_id, len(ws) AS n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word, array_to_string(list_sort(based), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(based, coalesce(found, [])))), ',') AS labels, coalesce(score, CASE WHEN len(based) > 0 THEN 0.5 ELSE 0.0 END) AS score FROM r LEFT JOIN per USING (doc_id)"""
+
 SQL = {
+    "op10_licence_scan": LICENCE_SQL,
+    "op8_secret_scan": SECRET_SQL,
     "op3_suffix_dedup": """
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
  w AS (SELECT doc_id, i, md5(hex(b)[2 * i + 1 : 2 * i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),

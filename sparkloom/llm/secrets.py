@@ -39,8 +39,8 @@ HEX = r"[0-9a-f]{32,}"
 BASE = {"assign": 0, "access": 1, "hex": 2}
 #: The weak kinds, after the base kinds.
 KEY40 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-IDENT = r"""\b(?:user(?:name)?|client_id|account|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+_.-]{3,}"""
-ENDPOINT = r"\b(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|s3)(?::[a-z]+)?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
+IDENT = r"""(?<![A-Za-z0-9_])(?:user(?:name)?|client_id|account|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+_.-]{3,}"""
+ENDPOINT = r"(?<![A-Za-z0-9_])(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|s3)(?::[a-z]+)?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
 KINDS = ("assign", "access", "hex", "key40", "ident", "endpoint")
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
 

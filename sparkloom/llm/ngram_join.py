@@ -16,8 +16,8 @@ t share a shingle among the first n - ceil(t n) + 1 of each.
 
 So no table of all pairs exists, a common shingle spreads over tasks and nothing
 is capped: every candidate pair is either verified or already connected.
-What is broadcast is the sketch and a bit map, both of fixed size; false hits of
-the bit map cost a little shuffling and are joined away.
+What is broadcast is the sketch and two bit maps, all of fixed size; false hits
+of the bit maps cost a little shuffling and are joined away.
 
 Edge cases: a null or empty text, or one of blanks, has no shingles and is a
 component of its own; fewer words than a shingle make one shingle of all words;
@@ -41,8 +41,8 @@ from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes,
 
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, PERCENT = 3, 90
-#: Buckets of the sketch, dealt in rows of ROW; members of a shingle that still become pairs; members of a block; bits of the map.
-BUCKETS, ROW, HOT, BLOCK, MAP_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25
+#: Buckets of the sketch, dealt in rows of ROW; members of a shingle that still become pairs; members of a block; bits of the maps of rows and of shingles.
+BUCKETS, ROW, HOT, BLOCK, MAP_BITS, TOKEN_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25, 1 << 27
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,14 +125,63 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, count
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n int, c binary, g long, prefix array<long>")
 
 
+def repeated_tokens(base: DataFrame) -> np.ndarray:
+    """A map of TOKEN_BITS bits: those that two prefix shingles or more of the table fall on.
+
+    A shingle whose bit is not set stands in one prefix only and needs no index
+    row.  Tasks send two bytes per shingle, dealt by the upper bits.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U64) & U64(TOKEN_BITS - 1)).astype(np.int32) for batch in batches]
+        at = np.sort(np.concatenate(got)) if got else np.empty(0, np.int32)
+        block = at >> 16
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(at) else np.zeros(1, np.int64)
+        low = (at & 0xFFFF).astype(np.uint16)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(block[cut[:-1]], pa.int32()), "low": pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen = once.setdefault(at, np.zeros(1 << 16, np.uint8))
+                seen += np.minimum(np.bincount(np.frombuffer(low.as_buffer(), np.uint16), minlength=1 << 16), 2).astype(np.uint8)
+                np.minimum(seen, 2, out=seen)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(list(once), pa.int32()), "bits": pa.array([np.packbits(x > 1, bitorder="little").tobytes() for x in once.values()], pa.binary())})
+
+    out = np.zeros(TOKEN_BITS // 8, np.uint8)
+    for r in base.select("prefix").mapInArrow(spread, "at int, low binary").repartition("at").mapInArrow(count, "at int, bits binary").toLocalIterator():  # TOKEN_BITS in all
+        out[r[0] << 13 : (r[0] + 1) << 13] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def index_rows(base: DataFrame, repeated) -> DataFrame:
+    """(g, n, pos, token) of the prefix shingles whose bit is set, once per group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = repeated.value
+        for batch in batches:
+            prefix = batch.column(2)
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(np.asarray(prefix.offsets))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = (token.view(U64) & U64(TOKEN_BITS - 1)).astype(np.int64)
+            keep = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[keep], pa.int32()), pa.array(token[keep])], names=["g", "n", "pos", "token"])
+
+    return base.where("n > 0").select("g", "n", "prefix").mapInArrow(run, "g long, n int, pos int, token long").distinct()
+
+
 def bit_map(ids: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits with the bit of each c set; tasks make their own and only whole maps' parts meet."""
+    """A map of MAP_BITS bits with the bit of each (c, rep) set; tasks make their own and only whole maps' parts meet."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(MAP_BITS // 8, np.uint8)
         used = False
         for batch in batches:
-            at = _bit([x.as_py() for x in batch.column(0)])
+            at = _bit(batch.column(0).to_pylist(), batch.column(1))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             used = used or batch.num_rows > 0
         parts = range(0, len(bits), ROW) if used else []
@@ -148,25 +197,28 @@ def bit_map(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "bits": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in ids.select("c").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # MAP_BITS in all
+    for r in ids.select("c", "rep").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # MAP_BITS in all
         out[r[0] * ROW : (r[0] + 1) * ROW] = np.frombuffer(r[1], np.uint8)
     return out
 
 
-def _bit(ids: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join(ids), ">u8")[::2] & U64(MAP_BITS - 1)).astype(np.int64) if ids else np.empty(0, np.int64)
+def _bit(ids: list[bytes], rows: pa.Array) -> np.ndarray:
+    if not ids:
+        return np.empty(0, np.int64)
+    own = mix(rows.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(U64) + U64(29))
+    return ((np.frombuffer(b"".join(ids), ">u8")[::2].astype(U64) ^ own) & U64(MAP_BITS - 1)).astype(np.int64)
 
 
-def sets(df: DataFrame, text: str, width: int, wanted) -> DataFrame:
-    """(c, tokens) of the classes whose bit is set, once each and perhaps of a few more."""
+def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
+    """(c, tokens) of the rows whose bit is set: one row of each wanted class, and perhaps a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
             for part in slices(batch, "t"):
-                hashes, row, n = sets_of(part.column(0), width)
+                hashes, row, n = sets_of(part.column(1), width)
                 sig = [s.tobytes() for s in signatures(hashes, row, part.num_rows)]
-                at = _bit(sig)
+                at = _bit(sig, part.column(0))
                 hit = (n > 0) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
                 first = {sig[i]: i for i in reversed(np.flatnonzero(hit).tolist())}
                 take = sorted(first.values())
@@ -174,7 +226,7 @@ def sets(df: DataFrame, text: str, width: int, wanted) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(n[take])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([sig[i] for i in take], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[keep].view(np.int64)))], names=["c", "tokens"])
 
-    return df.select(F.col(text).alias("t")).mapInArrow(run, "c binary, tokens array<long>").dropDuplicates(["c"])
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "c binary, tokens array<long>").dropDuplicates(["c"])
 
 
 def block_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
@@ -213,12 +265,13 @@ def block_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def links_of(df: DataFrame, base: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def links_of(df: DataFrame, base: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes; they connect whatever similarity connects."""
     spark = df.sparkSession
-    classes = base.where("n > 0").groupBy("c", "n", "g").agg(F.first("prefix").alias("prefix"))
-    groups = classes.groupBy("g", "n").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    index = groups.select("g", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+    member = settle(base.where("n > 0").groupBy("g", "c", "n").agg(F.min("doc_id").alias("rep")))
+    sizes = member.groupBy("g", "n").agg(F.count("*").alias("members"))
+    index = index_rows(base, spark.sparkContext.broadcast(repeated_tokens(base))).join(sizes, ["g", "n"])
+    index = settle(index)
     index = settle(index.join(index.groupBy("token").agg(F.sum("members").alias("weight"), F.count("*").alias("groups")).where("weight > 1"), "token").where("groups > 1 or pos = 0"))
     cold = index.where(F.col("weight") <= HOT)
     x, y = cold.alias("x"), cold.alias("y")
@@ -226,12 +279,11 @@ def links_of(df: DataFrame, base: DataFrame, text: str, width: int, percent: int
     # The shingle is followed by at most so many common ones; x = y are the pairs within a group.
     able = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((percent + 100) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * sizes)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") <= F.col("y.g")) & able).where("x.g < y.g or x.members > 1").select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    member = settle(base.where("n > 0").select("g", "c", "n").distinct())
     ma, mb = (member.select(F.col("g").alias(f"g{k}"), F.col("c").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
     pairs = settle(pairs.join(ma, "ga").join(mb, "gb").where("ga < gb or a < b").select("a", "b", "na", "nb").distinct())
     hot = settle(index.where(F.col("weight") > HOT).select("token", "weight", "g").join(member, "g").select("token", "weight", "c"))
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot.select("c"))
-    found = settle(sets(df, text, width, spark.sparkContext.broadcast(bit_map(wanted))))
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot.select("c")).distinct().join(member, "c")
+    found = settle(sets(df, key, text, width, spark.sparkContext.broadcast(bit_map(wanted))))
     right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
     left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -250,7 +302,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """Per row: doc_id, n_shingles, component_id."""
     counts = df.sparkSession.sparkContext.broadcast(sketch(df, text, width))
     base = settle(prefixes(df, key, text, width, percent, counts))
-    label = components(links_of(df, base, text, width, percent)).withColumnsRenamed({"node": "c"})
+    label = components(links_of(df, base, key, text, width, percent)).withColumnsRenamed({"node": "c"})
     least = base.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     of_component = named.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))

@@ -312,8 +312,35 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
 
 
+def _by_bit(df: DataFrame, key: str, bits, wanted: bool) -> DataFrame:
+    """Rows of df whose key's bit is set, or is not; rows without a key count as not set."""
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(at)
+            bit = _bit([NO_CLASS] * batch.num_rows, keys)
+            hit = ((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool) & keys.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Stands in the map for rows that are told apart by key alone.
+NO_CLASS = bytes(16)
+
+
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """df with, of each component, the row of its least key; rows without shingles and rows without a key stay."""
-    chosen = classify(df, key, text, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    named = df.where(df[key].isNotNull())
-    return named.join(chosen, named[key] == F.col("_key"), "left_semi").dropDuplicates([key]).unionByName(df.where(df[key].isNull()))
+    """df with, of each component, the row of its least key; rows without shingles and rows without a key stay.
+
+    Keys that go or that stand in several rows are marked in a bit map of fixed
+    size.  Rows without a mark stay where they are; only marked ones, whose marks
+    may be chance, are shuffled and joined.
+    """
+    named = settle(classify(df, key, text, width, percent).select("doc_id", "component_id").where("doc_id is not null"))
+    doubtful = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")).where("n > 1 or doc_id <> component_id")
+    bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful.select(F.lit(NO_CLASS).alias("c"), F.col("doc_id").alias("rep"))))
+    chosen = named.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    marked = _by_bit(df, key, bits, True)
+    kept = marked.join(chosen, marked[key] == F.col("_key"), "left_semi").dropDuplicates([key])
+    return _by_bit(df, key, bits, False).unionByName(kept)

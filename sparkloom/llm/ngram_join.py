@@ -42,7 +42,7 @@ from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes,
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, PERCENT = 3, 90
 #: Buckets of the sketch, dealt in rows of ROW; members of a shingle that still become pairs; members of a block; bits of the maps of rows and of shingles.
-BUCKETS, ROW, HOT, BLOCK, MAP_BITS, TOKEN_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25, 1 << 27
+BUCKETS, ROW, HOT, BLOCK, MAP_BITS, TOKEN_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25, 1 << 28
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +125,11 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, count
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n int, c binary, g long, prefix array<long>")
 
 
+def _token_bit(token: np.ndarray) -> np.ndarray:
+    """Upper bits: the lower ones chose the prefix and so are alike in it."""
+    return ((token.view(U64) >> U64(32)) & U64(TOKEN_BITS - 1)).astype(np.int64)
+
+
 def repeated_tokens(base: DataFrame) -> np.ndarray:
     """A map of TOKEN_BITS bits: those that two prefix shingles or more of the table fall on.
 
@@ -133,7 +138,7 @@ def repeated_tokens(base: DataFrame) -> np.ndarray:
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U64) & U64(TOKEN_BITS - 1)).astype(np.int32) for batch in batches]
+        got = [_token_bit(batch.column(0).flatten().to_numpy(zero_copy_only=False)).astype(np.int32) for batch in batches]
         at = np.sort(np.concatenate(got)) if got else np.empty(0, np.int32)
         block = at >> 16
         cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(at) else np.zeros(1, np.int64)
@@ -150,7 +155,7 @@ def repeated_tokens(base: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": pa.array(list(once), pa.int32()), "bits": pa.array([np.packbits(x > 1, bitorder="little").tobytes() for x in once.values()], pa.binary())})
 
     out = np.zeros(TOKEN_BITS // 8, np.uint8)
-    for r in base.select("prefix").mapInArrow(spread, "at int, low binary").repartition("at").mapInArrow(count, "at int, bits binary").toLocalIterator():  # TOKEN_BITS in all
+    for r in base.select("prefix").mapInArrow(spread, "at int, low binary").repartition("at").mapInArrow(count, "at int, bits binary").collect():  # TOKEN_BITS in all
         out[r[0] << 13 : (r[0] + 1) << 13] = np.frombuffer(r[1], np.uint8)
     return out
 
@@ -166,7 +171,7 @@ def index_rows(base: DataFrame, repeated) -> DataFrame:
             sizes = np.diff(np.asarray(prefix.offsets))
             row = np.repeat(np.arange(batch.num_rows), sizes)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = (token.view(U64) & U64(TOKEN_BITS - 1)).astype(np.int64)
+            at = _token_bit(token)
             keep = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[keep], pa.int32()), pa.array(token[keep])], names=["g", "n", "pos", "token"])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .textbatch import slices
 
 #: Entries of the two halves of the cache of encoded pieces, in each Python worker.
-CACHE = 500_000
+CACHE = 300_000
 #: How the byte-level scheme cuts a text into words; a fixed value of the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -270,6 +270,14 @@ def block_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose whole sets are similar enough."""
+    right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
+    left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+
+
 def links_of(df: DataFrame, base: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes; they connect whatever similarity connects."""
     spark = df.sparkSession
@@ -289,10 +297,13 @@ def links_of(df: DataFrame, base: DataFrame, key: str, text: str, width: int, pe
     hot = settle(index.where(F.col("weight") > HOT).select("token", "weight", "g").join(member, "g").select("token", "weight", "c"))
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot.select("c")).distinct().join(member, "c")
     found = settle(sets(df, key, text, width, spark.sparkContext.broadcast(bit_map(wanted))))
-    right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
-    left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    linked = pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    # Of each class the pair with its least partner comes first; what these links join needs no more of its pairs.
+    first = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    linked = settle(_verified(first, found, percent))
+    label = settle(components(linked))
+    la, lb = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("ca is null or cb is null or ca <> cb")
+    linked = linked.unionByName(_verified(rest, found, percent))
     # Blocks of a hot shingle: each member goes to every pair of blocks that has its own.
     blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
     dealt = hot.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))

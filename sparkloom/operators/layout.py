@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,28 +73,58 @@ def treemap(nodes: DataFrame, width: float = 1200, height: float = 800) -> DataF
 
 
 def pack(items: list[tuple[str, float]]) -> list[tuple]:
-    """(id, x, y, r): circles of area in proportion to value, each as near the centre as it fits beside two others."""
-    placed: list[tuple] = []
-    for name, value in sorted(items, key=lambda i: (-i[1], i[0])):
-        r = math.sqrt(max(value, 0.0))
-        if not placed:
-            placed.append((name, 0.0, 0.0, r))
-            continue
-        spots = [(placed[0][3] + r, 0.0)] if len(placed) == 1 else []
-        for i, (_, ax, ay, ar) in enumerate(placed):
-            for _, bx, by, br in placed[i + 1 :]:
-                d = math.hypot(bx - ax, by - ay)
-                p, q = ar + r, br + r
-                if not 0 < d <= p + q:
-                    continue
-                along = (p * p - q * q + d * d) / (2 * d)
-                up = math.sqrt(max(p * p - along * along, 0.0))
-                ux, uy = (bx - ax) / d, (by - ay) / d
-                spots += [(ax + along * ux - s * up * uy, ay + along * uy + s * up * ux) for s in (1, -1)]
-        fits = [s for s in spots if all(math.hypot(s[0] - x, s[1] - y) >= r + pr - 1e-9 for _, x, y, pr in placed)]
-        x, y = min(fits, key=lambda s: (round(math.hypot(*s), 9), s))
-        placed.append((name, x, y, r))
-    return placed
+    """(id, x, y, r): circles of area in proportion to value, each as near the centre as it fits beside two others.
+
+    Radii fall, so pairs of circles too far apart for one are too far for all
+    that follow, and between equal radii a spot once taken stays taken: each
+    circle adds its own pairs and spots and strikes out those it covers.
+    """
+    ordered = sorted(items, key=lambda i: (-i[1], i[0]))
+    radii = np.sqrt(np.maximum([float(v) for _, v in ordered], 0.0))
+    at = np.zeros((len(ordered), 2))
+    near = np.empty((0, 2), np.int64)  # pairs that a circle of radius `last` can touch
+    spots, last = np.empty((0, 2)), math.inf
+    for k, r in enumerate(radii):
+        if k == 1:
+            at[1] = radii[0] + r, 0.0
+        if k > 1:
+            if r < last:
+                near = near[_gap(at, radii, near) <= 2 * r]
+                spots, last = _free(_beside(at, radii, near, r), at[:k], radii[:k] + r), r
+            away = np.round(np.hypot(spots[:, 0], spots[:, 1]), 9)
+            at[k] = spots[np.lexsort((spots[:, 1], spots[:, 0], away))[0]]
+        fresh = np.column_stack([np.arange(k), np.full(k, k)])
+        fresh = fresh[_gap(at, radii, fresh) <= 2 * r]
+        near = np.concatenate([near, fresh])
+        if k > 1:
+            more = _free(_beside(at, radii, fresh, r), at[: k + 1], radii[: k + 1] + r)
+            spots = np.concatenate([_free(spots, at[k : k + 1], radii[k : k + 1] + r), more])
+    return [(name, float(x), float(y), float(r)) for (name, _), (x, y), r in zip(ordered, at, radii, strict=True)]
+
+
+def _gap(at: np.ndarray, radii: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    a, b = pairs.T
+    return np.hypot(*(at[b] - at[a]).T) - radii[a] - radii[b]
+
+
+def _beside(at: np.ndarray, radii: np.ndarray, pairs: np.ndarray, r: float) -> np.ndarray:
+    """Centres of circles of radius r that touch both circles of a pair."""
+    a, b = pairs.T
+    d = np.hypot(*(at[b] - at[a]).T)
+    p, q = radii[a] + r, radii[b] + r
+    ok = (d > 0) & (d <= p + q)
+    a, b, d, p, q = a[ok], b[ok], d[ok], p[ok], q[ok]
+    along = (p * p - q * q + d * d) / (2 * d)
+    up = np.sqrt(np.maximum(p * p - along * along, 0.0))
+    ux, uy = (at[b] - at[a]).T / d
+    return np.concatenate([np.column_stack([at[a, 0] + along * ux - s * up * uy, at[a, 1] + along * uy + s * up * ux]) for s in (1, -1)])
+
+
+def _free(spots: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Spots that keep the distances from all circles; in steps, so that few rows of distances stand in memory."""
+    step = max(1, 1_000_000 // max(len(at), 1))
+    parts = [spots[k : k + step] for k in range(0, len(spots), step)]
+    return np.concatenate([spots[:0], *(s[(np.hypot(s[:, :1] - at[:, 0], s[:, 1:] - at[:, 1]) >= apart - 1e-9).all(1)] for s in parts)])
 
 
 def pack_circles(nodes: DataFrame) -> DataFrame:
@@ -129,8 +160,6 @@ def terrain(spark, width: int, height: int, seed: int = 42, octaves: int = 4) ->
     tiles = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
 
     def run(batches):
-        import numpy as np
-
         grid = np.array(lattice)
         for pdf in batches:
             total, most = np.zeros(len(pdf)), 0.0

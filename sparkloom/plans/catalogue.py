@@ -533,6 +533,11 @@ def packed_circles(spark, sf):
     return layout.pack_circles(parts(spark, sf).where("directory in ('src/d1', 'src/d2')")).select("id", "directory", F.round("r", 6).alias("r"))
 
 
+@query(f"WITH nodes AS ({PARTS_SQL}) SELECT id, directory, round(sqrt(greatest(loc, 1)), 6) AS r FROM nodes")
+def packed_circles_whole(spark, sf):
+    return layout.pack_circles(parts(spark, sf)).select("id", "directory", F.round("r", 6).alias("r"))
+
+
 # ---- windows ----
 
 

@@ -1,5 +1,9 @@
 """Queries over the whole tables, with figures that a part of the rows does not give."""
 
+import math
+import time
+
+from sparkloom.operators import layout
 from sparkloom.plans import catalogue
 from sparkloom.plans.roles import parts, successions, table
 
@@ -38,3 +42,17 @@ def test_orphans_are_orders_without_lines(spark):
     with_lines = {r[0] for r in table(spark, SF, "lineitem").select("l_orderkey").collect()}
     want = {f"o{r[0]}" for r in table(spark, SF, "orders").select("o_orderkey").collect() if r[0] not in with_lines}
     assert want and {r.id for r in rows(spark, "orphans_whole")} == want
+
+
+def test_circles_of_every_directory_are_packed(spark):
+    got = rows(spark, "packed_circles_whole")
+    assert sorted((r.id, r.directory) for r in got) == sorted((r.id, r.directory) for r in parts(spark, SF).collect())
+
+
+def test_packing_hundreds_takes_seconds_and_keeps_circles_apart():
+    began = time.process_time()
+    placed = layout.pack([(f"p{i}", float(i * 37 % 50 + 1)) for i in range(400)])
+    assert time.process_time() - began < 20
+    for i, (_, x, y, r) in enumerate(placed):
+        gaps = [math.hypot(x - ox, y - oy) - r - o for _, ox, oy, o in placed[:i]]
+        assert min(gaps, default=0) > -1e-6 and sum(abs(g) < 1e-6 for g in gaps) >= min(i, 2)

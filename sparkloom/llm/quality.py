@@ -27,6 +27,8 @@ from .textbatch import BLANK, U64, mix, slices, span_hashes, utf8, word_spans
 
 #: Rows that train the scorer, buckets of hashed features, and the score from which a text is kept.
 SAMPLE, BUCKETS, KEEP = 4000, 1 << 16, 0.5
+#: Words of a window in which distinct words are counted.
+WINDOW = 3000
 ROUNDS, STEPS = 50, 200
 
 # Byte classes of a word's shape: a small letter, A capital, 0 digit, other ASCII as it is.
@@ -93,7 +95,7 @@ class Slice:
                 _share(row, inside(odd) > 0, n, self.words),
                 _share(row, (inside(caps) >= 2) & (inside(small) == 0), n, self.words),
                 _share(row, same, n, self.words),
-                _distinct(hashes, row, n) / np.maximum(self.words, 1),
+                _variety(hashes, self.words),
                 1 - _distinct(lines, line_r, n) / np.maximum(np.bincount(line_r, minlength=n), 1),
                 _share(row, inside(stops), n, self.words),
                 _share(row, inside(small) + inside(caps), n, solid),
@@ -104,7 +106,6 @@ class Slice:
         prose = (stops_ >= 0.02) & (stops_ <= 0.35) & (letters_ >= 0.9) & (odd_ < 0.05) & (repeats_ < 0.06)
         varied = (distinct_ >= 0.5) & (thirds_ < 0.15) & (caps_ < 0.1) & (odd_ < 0.05)
         self.stats = np.vstack([self.stats, prose, varied])
-        self.stats[3, self.words > 3000] = np.maximum(self.stats[3, self.words > 3000], 0.4)  # long texts repeat words; then this statistic says nothing
 
     def votes(self) -> np.ndarray:
         """The pattern of each text: base 3 digits, 0 nothing, 1 junk, 2 good."""
@@ -153,6 +154,18 @@ def _distinct(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row[first], minlength=n).astype(float)
 
 
+def _variety(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Share of distinct words in consecutive windows of WINDOW words, mean over the whole text; the last window ends with the text and so is as long as the others."""
+    count = -(-words // WINDOW)
+    row = np.repeat(np.arange(len(words)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(words, WINDOW)[row]
+    start = (np.cumsum(words) - words)[row] + np.minimum(at * WINDOW, words[row] - size)
+    window = np.repeat(np.arange(len(row)), size)
+    place = np.arange(len(window)) + np.repeat(start - (np.cumsum(size) - size), size)
+    return _share(row, _distinct(hashes[place], window, len(row)) / np.maximum(size, 1), len(words), count)
+
+
 def digits(codes: np.ndarray) -> np.ndarray:
     """Votes by labeller of each pattern."""
     return (codes[:, None] // 3 ** np.arange(len(NAMES))) % 3

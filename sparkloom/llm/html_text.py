@@ -5,9 +5,12 @@ text length and punctuation marks, takes their ratios per node and their spread
 over the nodes, and multiplies them (the extended tag-path ratio); prose scores
 high, link lists and captions low.  The scores, in page order, are smoothed by a
 Gaussian, and paths whose nodes reach a share of the deviation are selected.
-Fusion: the deepest container that holds nearly all selected text is the article,
-and every path below it belongs to it, however short its nodes, save what marks
-itself as something else (menus, forms, adverts, comments and the like).
+Fusion: the deepest container that holds nearly all selected text is the core of
+the article; from there it widens to the outermost article or else main element
+about it, and further while the text that comes in is headings and prose more
+than anything else, so a title or lead beside a long body stays.  Every path
+below belongs to it, however short its nodes, save what marks itself as something
+else (menus, forms, adverts, comments and the like).
 
 Edge cases: a null or empty page, or one of markup only, gives an empty text;
 unclosed tags, stray end tags, unquoted attributes and a `<` that begins no tag
@@ -49,6 +52,8 @@ HEAD = re.compile(r"(?:^|[\s_-])(?:header|topnav|top-bar|site-title)(?=$|[\s_-])
 OWN_HEAD = re.compile(r"entry|article|post|content|story|title", re.I)
 #: Paths are selected from this share of the deviation of the smoothed scores; the article holds this share of the selected text.
 THRESHOLD, MASS = 0.8, 0.98
+#: Text in these is prose; so is other text of this length with a punctuation mark.
+PROSE, PROSE_LENGTH = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split()), 25
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -151,6 +156,28 @@ def path_scores(nodes: list) -> np.ndarray:
     return np.convolve(np.pad(score, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def _widened(page: Page, nodes: list, core: int) -> int:
+    """The outermost element about the core whose further text belongs to the article."""
+    chain = next(n[3][: n[3].index(core) + 1] for n in nodes if core in n[3])
+    extra, prose = [0] * len(chain), [0] * len(chain)
+    for text, _, _, elements, _ in nodes:
+        depth = next((k for k, (a, b) in enumerate(zip(elements, chain, strict=False)) if a != b), min(len(elements), len(chain)))
+        if not 0 < depth < len(chain):
+            continue
+        own, text = {page.tags[e] for e in elements[depth:]}, text.strip()
+        extra[depth - 1] += len(text)
+        if not own & {"a", "article"} and (own & PROSE or len(text) >= PROSE_LENGTH and PUNCTUATION.search(text)):
+            prose[depth - 1] += len(text)
+    tags = [page.tags[e] for e in chain]
+    at = tags.index("article") if "article" in tags else tags.index("main") if "main" in tags else len(chain) - 1
+    for k in range(at - 1, -1, -1):
+        if tags[k + 1] == "main" or 2 * prose[k] < extra[k]:
+            break
+        if extra[k]:
+            at = k
+    return chain[at]
+
+
 def main_text(source: str | None) -> str:
     """The article's text, blocks joined by one space."""
     if not source:
@@ -174,6 +201,8 @@ def main_text(source: str | None) -> str:
                 mass[e] += size
     # Elements are numbered in page order, so of those that hold the mass the last is the deepest.
     article = max((e for e, x in mass.items() if x >= MASS * total and page.tags[e] in CONTAINERS), default=None)
+    if article is not None:
+        article = _widened(page, nodes, article)
     blocks: dict[int, list[str]] = defaultdict(list)
     for n in nodes:
         if article is None or article in n[3]:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkloom.llm import quality
+from sparkloom.llm import html_text, quality
 
 
 def salad(words, length):
@@ -28,3 +28,28 @@ def test_variety_is_the_mean_over_windows_of_the_whole_text():
         return np.mean([len(set(w[k : k + quality.WINDOW])) / len(w[k : k + quality.WINDOW]) for k in starts])
 
     assert np.allclose(quality.Slice(pa.array(texts)).stats[3], [plain(t) for t in texts])
+
+
+PROSE = "<p>A sentence with words, marks, and more; it goes on as prose does.</p>"
+
+
+@pytest.mark.parametrize("n", [3, 1000])
+@pytest.mark.parametrize(
+    "before, after, kept",
+    [
+        ("<article><h1>The title</h1><div>A lead</div><div>", "</div></article>", "The title A lead"),
+        ("<main><h1>The title</h1><article><div>", "</div></article></main>", "The title"),
+        ("<div><div><h2>The title</h2><p>A lead, it leads.</p></div><div><div>", "</div></div></div>", "The title A lead, it leads."),
+        ("<div><h1>The title</h1><div>A lead without an element of its own, as it is.</div><div>", "</div></div>", "The title A lead without an element of its own, as it is."),
+    ],
+)
+def test_heads_of_long_pages_stay(n, before, after, kept):
+    page = f"<html><body><nav><a>Menu</a></nav>{before}{PROSE * n}{after}<footer>us</footer></body></html>"
+    text = html_text.main_text(page)
+    assert text.startswith(f"{kept} A sentence") and text.count("A sentence") == n and text.endswith("as prose does.")
+
+
+@pytest.mark.parametrize("beside", ["<div><a>One link</a> <a>another link, of many words</a></div>", "<article><h3>Other story</h3><p>Its teaser, it teases.</p></article>"])
+def test_links_and_other_articles_beside_long_pages_go(beside):
+    alone = html_text.main_text(f"<article>{PROSE * 1000}</article>")
+    assert html_text.main_text(f"<html><body><article>{PROSE * 1000}</article>{beside}</body></html>") == alone

@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import settle
@@ -314,13 +315,18 @@ def links_of(df: DataFrame, base: DataFrame, key: str, text: str, width: int, pe
     return linked.unionByName(in_blocks)
 
 
-def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _classes(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their signatures, the linked classes, and per class (c, least, component)."""
     counts = df.sparkSession.sparkContext.broadcast(sketch(df, text, width))
     base = settle(prefixes(df, key, text, width, percent, counts))
     label = components(links_of(df, base, key, text, width, percent)).withColumnsRenamed({"node": "c"})
     least = base.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    named = least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    return base, label, least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    base, label, named = _classes(df, key, text, width, percent)
     of_component = named.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(of_component, "component", "left").select("c", F.coalesce("component_id", "least").alias("component_id"))
     some = base.where("n > 0").select("doc_id", "n", "c").join(final, "c")
@@ -346,17 +352,39 @@ def _by_bit(df: DataFrame, key: str, bits, wanted: bool) -> DataFrame:
 NO_CLASS = bytes(16)
 
 
+def _with_class(df: DataFrame, text: str, width: int) -> DataFrame:
+    """df with the signature `_c` of each row's set, null where there are no shingles."""
+    names = [*df.columns, "_c"]
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                hashes, row, n = sets_of(part.column(at), width)
+                sig = [s.tobytes() if k else None for s, k in zip(signatures(hashes, row, part.num_rows), n, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_c", T.BinaryType())]))
+
+
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """df with, of each component, the row of its least key; rows without shingles and rows without a key stay.
 
-    Keys that go or that stand in several rows are marked in a bit map of fixed
-    size.  Rows without a mark stay where they are; only marked ones, whose marks
-    may be chance, are shuffled and joined.
+    A key may stand in rows of several components: a row is chosen by key and
+    signature, of those that have both in common the one of the least text.
+
+    Keys of rows that go and keys that stand in several rows are marked in a bit
+    map of fixed size.  Rows without a mark stay where they are; only marked ones,
+    whose marks may be chance, are shuffled and joined.
     """
-    named = settle(classify(df, key, text, width, percent).select("doc_id", "component_id").where("doc_id is not null"))
-    doubtful = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")).where("n > 1 or doc_id <> component_id")
+    base, _, named = _classes(df, key, text, width, percent)
+    chosen = settle(named.where("least is not null").groupBy("component").agg(F.min(F.struct("least", "c")).alias("k")).select("k.c", "k.least"))
+    keyed = base.where("doc_id is not null")
+    some = keyed.where("n > 0").join(chosen, "c", "left").select("doc_id", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("stays"))
+    rows = some.unionByName(keyed.where("n = 0").select("doc_id", F.lit(True).alias("stays")))
+    doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays")
     bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful.select(F.lit(NO_CLASS).alias("c"), F.col("doc_id").alias("rep"))))
-    chosen = named.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    marked = _by_bit(df, key, bits, True)
-    kept = marked.join(chosen, marked[key] == F.col("_key"), "left_semi").dropDuplicates([key])
-    return _by_bit(df, key, bits, False).unionByName(kept)
+    marked = _with_class(_by_bit(df, key, bits, True), text, width)
+    one = marked.where("_c is not null").groupBy(F.col(key).cast("long").alias("_key"), "_c").agg(F.min_by(F.struct(*df.columns), text).alias("_row"))
+    kept = one.join(chosen, (one["_key"] == chosen["least"]) & (one["_c"] == chosen["c"]), "left_semi").select("_row.*")
+    return _by_bit(df, key, bits, False).unionByName(marked.where("_c is null").select(df.columns)).unionByName(kept)

@@ -36,7 +36,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         if now.join(label, ["id", "component"], "left_anti").isEmpty():
             return now
         label = now
-    return label
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 #: Edges up to which a graph algorithm runs in one task, which then holds the whole graph.
@@ -136,6 +136,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 200, small: int = SMA
         found = part if found is None else found.unionByName(part)
         gone = reach.select("id")
         left = settle(left.join(gone, left.source == gone.id, "left_anti").join(gone, left.target == gone.id, "left_anti"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"strong components may be left after {most_rounds} rounds")
     return found if found is not None else left.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
 
 
@@ -198,6 +201,8 @@ def dependency_layers(nodes: DataFrame, edges: DataFrame, most: int = 10_000) ->
         if now.join(layer, ["home", "layer"], "left_anti").isEmpty():
             break
         layer = now
+    else:
+        raise RuntimeError(f"layers are not settled after {most} rounds")
     return home.join(layer, "home").select("id", F.col("layer").cast("int").alias("layer"))
 
 
@@ -225,6 +230,8 @@ def reachable(edges: DataFrame, start: str, most: int = 100_000, small: int = SM
         if front.isEmpty():
             break
         seen = settle(seen.unionByName(front))
+    else:
+        raise RuntimeError(f"nodes may be left after {most} steps")
     return seen
 
 

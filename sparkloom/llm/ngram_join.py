@@ -1,28 +1,35 @@
 """Grouped prefix join: classes of documents by Jaccard similarity of word shingles, exact.
 
 Shingles are hashed to 64 bits and put in one global order, rare before common,
-by a count sketch of fixed size over the whole table.  Two sets of similarity
-t share a shingle among the first n - ceil(t n) + 1 of each.
+by a count sketch of the whole table.  Two sets of similarity t share a shingle
+among the first n - ceil(t n) + 1 of each.
 
 1. Documents with equal sets are one class (two 64-bit sums of mixed hashes).
-2. Classes with equal prefix and size are one group; only groups are indexed.
-3. Groups that share a prefix shingle are candidates if their sizes and the
-   places of the shingle allow the similarity; their members are then expanded
-   and verified on whole sets.
-4. A shingle with more than HOT members does not become pairs: its members are
-   dealt into blocks, each pair of blocks is one task's work, compared set by
-   set, and only links that join something new within the task come out.
-5. Links give components by alternating stars.
+2. Classes that share a min-wise key are compared with the key's most common
+   class, one comparison for each class and key.  Whatever is linked here, and it
+   is most of what can be, needs no further comparison among itself.
+3. Classes with equal prefix and size are one group.  Only groups are indexed by
+   their prefix shingles.  Groups on one shingle are paired if their sizes and
+   the places of the shingle allow the similarity and they are not linked yet;
+   the members of those that find a partner are expanded.
+4. Members on one shingle are paired by the same bounds and by parity maps, whose
+   Hamming distance no difference of sets can fall below.  A shingle of more than
+   BLOCK members is dealt in pairs of blocks, in which ids, sizes, places and
+   parity maps travel, never sets.  Each task returns a spanning forest of what
+   it finds, likeliest links first.
+5. Those pairs are verified on whole sets.  Where one of a forest's pairs proves
+   too far apart, all remaining pairs between the parts are verified.
+6. Links give components by alternating stars.
 
 So no table of all pairs exists, a common shingle spreads over tasks and nothing
-is capped: every candidate pair is either verified or already connected.
-What is broadcast is the sketch and two bit maps, all of fixed size; false hits
-of the bit maps cost a little shuffling and are joined away.
+is capped.  What is broadcast is the sketch and a bit map, sized by a count up to
+a fixed bound; beyond it more rows are shuffled and results are the same.
 
 Edge cases: a null or empty text, or one of blanks, has no shingles and is a
 component of its own; fewer words than a shingle make one shingle of all words;
 equal rows share a component; null ids do not become a component's id unless
-all its ids are null; an empty table gives no rows; other columns are not read.
+all its ids are null; an empty table gives no rows; other columns are not read
+by `classify` and pass through `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +37,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +48,10 @@ from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes,
 
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, PERCENT = 3, 90
-#: Buckets of the sketch, dealt in rows of ROW; members of a shingle that still become pairs; members of a block; bits of the maps of rows and of shingles.
-BUCKETS, ROW, HOT, BLOCK, MAP_BITS, TOKEN_BITS = 1 << 22, 1 << 16, 32, 400, 1 << 25, 1 << 28
+#: Buckets of the sketch, dealt in rows of ROW bytes; least and most bits of the map of wanted rows.
+BUCKETS, ROW, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 16, 1 << 20, 1 << 29
+#: Min-wise keys of a class, 64-bit words of its parity map, members of a block, rows and pairs that a task looks at together, keys that may be broadcast.
+KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS, FEW = 3, 8, 2048, 1 << 17, 1 << 21, 100_000
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,125 +77,106 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (-(-n * percent // 100)) + (n > 0)
 
 
+def _smallest(x: np.ndarray) -> np.ndarray:
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
 def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """How many shingles of the table fall in each bucket; 16 bits each, larger counts stop there."""
+    """How many shingles of the table fall in each bucket, up to 2 ** 32 - 1; never less than any one of its shingles has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint16)
+        total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, "t"):
                 raw, rows = utf8(part.column(0))
                 raw = LOWER[raw]
                 starts, ends, row = word_spans(raw, rows, BLANK)
                 hashes, _ = shingle_hashes(span_hashes(raw, starts, ends), row, part.num_rows, width)
-                at, n = np.unique((hashes & U64(BUCKETS - 1)).astype(np.int64), return_counts=True)
-                total[at] = np.minimum(total[at].astype(np.int64) + n, 255)
-        parts = [total[k : k + ROW].astype(np.uint8).tobytes() for k in range(0, BUCKETS, ROW)]
+                np.add.at(total, (hashes & U64(BUCKETS - 1)).astype(np.int64), 1)
+        parts = [_smallest(total[k : k + ROW]).tobytes() for k in range(0, BUCKETS, ROW)]
         from pyspark import TaskContext
 
-        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(parts)), pa.int32()), "salt": pa.array([TaskContext.get().partitionId() % 64] * len(parts), pa.int32()), "n": pa.array(parts, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(parts)), pa.int32()), "salt": pa.array([TaskContext.get().partitionId() // 32] * len(parts), pa.int32()), "n": pa.array(parts, pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, n in zip(batch.column("at").to_pylist(), batch.column("n"), strict=True):
-                data = np.frombuffer(n.as_buffer(), np.uint8 if len(n.as_buffer()) == ROW else np.uint16).astype(np.uint32)
-                sums[at] = np.minimum(sums.get(at, 0) + data, 65535)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "salt": pa.array([0] * len(sums), pa.int32()), "n": pa.array([s.astype(np.uint16).tobytes() for s in sums.values()], pa.binary())})
+                sums[at] = np.minimum(sums.get(at, 0) + _counts(n.as_buffer()).astype(np.int64), 2**32 - 1)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "salt": pa.array([0] * len(sums), pa.int32()), "n": pa.array([_smallest(s).tobytes() for s in sums.values()], pa.binary())})
 
     schema = "at int, salt int, n binary"
     rows = df.select(F.col(text).alias("t")).mapInArrow(count, schema)
     rows = rows.repartition("at", "salt").mapInArrow(add, schema).repartition("at").mapInArrow(add, schema)
-    out = np.zeros(BUCKETS, np.uint16)
+    out = np.zeros(BUCKETS, np.uint32)
     for r in rows.select("at", "n").collect():  # BUCKETS counts in all
-        out[r[0] * ROW : (r[0] + 1) * ROW] = np.frombuffer(r[1], np.uint16)
+        out[r[0] * ROW : (r[0] + 1) * ROW] = _counts(r[1])
     return out
 
 
+def _counts(data) -> np.ndarray:
+    return np.frombuffer(data, {ROW: np.uint8, 2 * ROW: np.uint16, 4 * ROW: np.uint32}[len(data)])
+
+
+def parity_maps(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """MAP_WORDS longs a row: bit by bit, whether the set has an odd number of shingles there.  Two sets differ in as many shingles as their maps in bits, at least."""
+    size = 64 * MAP_WORDS
+    odd = np.bincount(row * size + ((hashes >> U64(40)) % U64(size)).astype(np.int64), minlength=n * size) & 1
+    return np.packbits(odd.reshape(n, size).astype(bool), axis=1, bitorder="little").view(np.int64)
+
+
 def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, counts) -> DataFrame:
-    """Per row: id, n, c (signature of the set), g (signature of prefix and size), prefix in global order."""
+    """Per row: id, n, c (signature of the set), g (signature of prefix and size), prefix in global order and how many of it are surely rarer than BLOCK, min-wise keys, parity map, and how common its shingles are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in batches:
             for part in slices(batch, "t"):
+                rows = part.num_rows
                 hashes, row, n = sets_of(part.column(1), width)
-                sig = signatures(hashes, row, part.num_rows)
-                order = np.lexsort((hashes, count[(hashes & U64(BUCKETS - 1)).astype(np.int64)], row))
-                hashes, row = hashes[order], row[order]
+                sig = signatures(hashes, row, rows)
+                maps = parity_maps(hashes, row, rows)
+                seen = count[(hashes & U64(BUCKETS - 1)).astype(np.int64)]
+                common = np.bincount(row, weights=np.log2(seen + 1.0), minlength=rows) / np.maximum(n, 1)
+                keys = np.zeros((rows, KEYS), np.int64)
+                some = np.flatnonzero(n)
+                for k in range(KEYS if len(some) else 0):
+                    keys[some, k] = np.minimum.reduceat(mix(hashes ^ U64(0xA24BAED4963EE407 + k)), (np.cumsum(n) - n)[some]).view(np.int64)
+                order = np.lexsort((hashes, seen, row))
+                hashes, row, seen = hashes[order], row[order], seen[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 head = place < prefix_length(n, percent)[row]
-                group = signatures(hashes[head] + U64(1), row[head], part.num_rows)
+                group = signatures(hashes[head] + U64(1), row[head], rows)
                 group[:, 0] ^= mix(n.astype(U64) + U64(17))
-                at = np.searchsorted(row[head], np.arange(part.num_rows + 1)).astype(np.int32)
-                cols = [part.column(0), pa.array(n, pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(group[:, 0].astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[head].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "c", "g", "prefix"])
-
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n int, c binary, g long, prefix array<long>")
+                at = np.searchsorted(row[head], np.arange(rows + 1)).astype(np.int32)
+                rare = np.bincount(row[head][seen[head] < BLOCK], minlength=rows)
+                cols = [
+                    part.column(0),
+                    pa.array(n, pa.int32()),
+                    *(pa.array([s.tobytes() for s in x], pa.binary()) for x in (sig, group)),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[head].view(np.int64))),
+                    pa.array(rare, pa.int32()),
+                    *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (keys, maps)),
+                    pa.array(common),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BASE.split(", ")])
 
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, BASE)
 
-def _token_bit(token: np.ndarray) -> np.ndarray:
-    """Upper bits: the lower ones chose the prefix and so are alike in it."""
-    return ((token.view(U64) >> U64(32)) & U64(TOKEN_BITS - 1)).astype(np.int64)
 
+BASE = "doc_id long, n int, c binary, g binary, prefix array<long>, rare int, keys array<long>, maps array<long>, common double"
 
-def repeated_tokens(base: DataFrame) -> np.ndarray:
-    """A map of TOKEN_BITS bits: those that two prefix shingles or more of the table fall on.
-
-    A shingle whose bit is not set stands in one prefix only and needs no index
-    row.  Tasks send two bytes per shingle, dealt by the upper bits.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_token_bit(batch.column(0).flatten().to_numpy(zero_copy_only=False)).astype(np.int32) for batch in batches]
-        at = np.sort(np.concatenate(got)) if got else np.empty(0, np.int32)
-        block = at >> 16
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(at) else np.zeros(1, np.int64)
-        low = (at & 0xFFFF).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(block[cut[:-1]], pa.int32()), "low": pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen = once.setdefault(at, np.zeros(1 << 16, np.uint8))
-                seen += np.minimum(np.bincount(np.frombuffer(low.as_buffer(), np.uint16), minlength=1 << 16), 2).astype(np.uint8)
-                np.minimum(seen, 2, out=seen)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(list(once), pa.int32()), "bits": pa.array([np.packbits(x > 1, bitorder="little").tobytes() for x in once.values()], pa.binary())})
-
-    out = np.zeros(TOKEN_BITS // 8, np.uint8)
-    for r in base.select("prefix").mapInArrow(spread, "at int, low binary").repartition("at").mapInArrow(count, "at int, bits binary").collect():  # TOKEN_BITS in all
-        out[r[0] << 13 : (r[0] + 1) << 13] = np.frombuffer(r[1], np.uint8)
-    return out
 
-
-def index_rows(base: DataFrame, repeated) -> DataFrame:
-    """(g, n, pos, token) of the prefix shingles whose bit is set, once per group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = repeated.value
-        for batch in batches:
-            prefix = batch.column(2)
-            token = prefix.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(np.asarray(prefix.offsets))
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = _token_bit(token)
-            keep = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[keep], pa.int32()), pa.array(token[keep])], names=["g", "n", "pos", "token"])
-
-    return base.where("n > 0").select("g", "n", "prefix").mapInArrow(run, "g long, n int, pos int, token long").distinct()
-
-
-def bit_map(ids: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits with the bit of each (c, rep) set; tasks make their own and only whole maps' parts meet."""
+def bit_map(ids: DataFrame, rows: int) -> np.ndarray:
+    """A map with the bit of each (c, rep) set, of 16 bits a row within LEAST_BITS and MOST_BITS; tasks make their own and only whole maps' parts meet."""
+    size = min(max(LEAST_BITS, 1 << (16 * max(rows, 1)).bit_length()), MOST_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         used = False
         for batch in batches:
-            at = _bit(batch.column(0).to_pylist(), batch.column(1))
+            at = _bit(batch.column(0).to_pylist(), batch.column(1), size)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             used = used or batch.num_rows > 0
         parts = range(0, len(bits), ROW) if used else []
@@ -202,17 +191,21 @@ def bit_map(ids: DataFrame) -> np.ndarray:
                 sums[at] = sums[at] | data if at in sums else data.copy()
         yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "bits": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in ids.select("c", "rep").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # MAP_BITS in all
+    out = np.zeros(size // 8, np.uint8)
+    for r in ids.select("c", "rep").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # size in all
         out[r[0] * ROW : (r[0] + 1) * ROW] = np.frombuffer(r[1], np.uint8)
     return out
 
 
-def _bit(ids: list[bytes], rows: pa.Array) -> np.ndarray:
+def _bit(ids: list[bytes], rows: pa.Array, size: int) -> np.ndarray:
     if not ids:
         return np.empty(0, np.int64)
     own = mix(rows.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(U64) + U64(29))
-    return ((np.frombuffer(b"".join(ids), ">u8")[::2].astype(U64) ^ own) & U64(MAP_BITS - 1)).astype(np.int64)
+    return ((np.frombuffer(b"".join(ids), ">u8")[::2].astype(U64) ^ own) & U64(size - 1)).astype(np.int64)
+
+
+def _hit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
@@ -224,8 +217,7 @@ def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
             for part in slices(batch, "t"):
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = [s.tobytes() for s in signatures(hashes, row, part.num_rows)]
-                at = _bit(sig, part.column(0))
-                hit = (n > 0) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                hit = (n > 0) & _hit(bits, _bit(sig, part.column(0), 8 * len(bits)))
                 first = {sig[i]: i for i in reversed(np.flatnonzero(hit).tolist())}
                 take = sorted(first.values())
                 keep = np.isin(row, take)
@@ -235,93 +227,275 @@ def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "c binary, tokens array<long>").dropDuplicates(["c"])
 
 
-def block_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
-    """Links between the sets of two blocks (or within one) that join something new among these rows.
+def whole_runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """The batches, sorted by their first `by` columns, in tables of about ROWS rows that do not cut a run of equal ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            start = np.flatnonzero(_run_starts(rows, by))[-1]
+            if start:
+                yield rows.slice(0, start)
+            held = rows.slice(start).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    rows: c, tokens, side (0, 1, or 2 where both blocks are the same).
+
+def _run_starts(rows: pa.Table, by: int) -> np.ndarray:
+    first = np.zeros(rows.num_rows, bool)
+    first[:1] = True
+    for k in range(by):
+        x = rows.column(k).to_numpy()
+        first[1:] |= x[1:] != x[:-1]
+    return first
+
+
+def pairs_within(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All x < y < ends[x], about PAIRS at a time; ends[x] is where x's run ends."""
+    count = ends - np.arange(len(ends)) - 1
+    total = np.concatenate([[0], np.cumsum(count)])
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, side="right")) - 1)
+        x = np.repeat(np.arange(first, last), count[first:last])
+        if len(x):
+            yield x, np.arange(len(x)) - np.repeat(total[first:last] - total[first], count[first:last]) + x + 1
+        first = last
+
+
+def _run_ends(first: np.ndarray) -> np.ndarray:
+    starts = np.flatnonzero(first)
+    return np.append(starts[1:], len(first))[np.cumsum(first) - 1]
+
+
+def able(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes allow the similarity, and places do if this is the first shingle that x and y share."""
+    nx, ny = n[x], n[y]
+    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((percent + 100) * np.minimum(nx - pos[x], ny - pos[y]) >= percent * (nx + ny))
+
+
+def partnered(index: DataFrame, percent: int) -> DataFrame:
+    """(token, g, pos) of the groups that have a partner on the token, by size and place, that is not linked to them yet; hot tokens pass whole."""
+    schema = "token long, g long, pos int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cold(hot: list) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flag = batch.column(4)
+                hot.append(out(batch.filter(flag)))
+                yield batch.filter(pa.compute.invert(flag))
+
+        def out(rows) -> pa.RecordBatch:
+            pos = (rows.column(2).to_numpy() >> 1 & 0x7FFFFFFF).astype(np.int32)
+            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column(0), rows.column(1))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(pos)], names=["token", "g", "pos"])
+
+        hot: list[pa.RecordBatch] = []
+        for rows in whole_runs(cold(hot), 1):
+            while hot:
+                yield hot.pop()
+            meta = rows.column(2).to_numpy()
+            n, pos, several = meta >> 32, meta >> 1 & 0x7FFFFFFF, (meta & 1).astype(bool)
+            label, linked = rows.column(3).fill_null(0).to_numpy(), rows.column(3).is_valid().to_numpy()
+            keep = several & (pos == 0)
+            for x, y in pairs_within(_run_ends(_run_starts(rows, 1))):
+                fit = able(n, pos, x, y, percent) & ~(linked[x] & linked[y] & (label[x] == label[y]))
+                keep[x[fit]] = keep[y[fit]] = True
+            yield out(rows.filter(pa.array(keep)))
+        yield from hot
+
+    return index.mapInArrow(run, schema)
+
+
+def forest(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb) of members of one token and pair of blocks that sizes, places and parity maps allow and that are not linked yet.
+
+    batches: token, i, j, side (2 where both blocks are the same), c, n, pos, label, maps, sorted by token, i, j.
+    All such pairs if `whole`, else a spanning forest of them, the smallest differences first.
     """
-    rows = rows.drop_duplicates("c")
-    n = np.array([len(t) for t in rows["tokens"]])
-    flat, at = np.unique(np.concatenate(rows["tokens"].to_list()) if len(rows) else np.empty(0, np.int64), return_inverse=True)
-    ends = np.cumsum(n)
-    starts = ends - n
-    side, ids = rows["side"].to_numpy(), rows["c"].tolist()
-    root = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    mark, out = np.zeros(len(flat), bool), []
-    for i in range(len(ids)):
-        others = np.flatnonzero((np.arange(len(ids)) > i) & ((side == 2) | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        if not len(others):
-            continue
-        own = at[starts[i] : ends[i]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[at].astype(np.int64), starts)[others]
-        mark[own] = False
-        for j in others[100 * shared >= percent * (n[others] + n[i] - shared)].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose whole sets are similar enough."""
-    right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
-    left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
-
-
-def links_of(df: DataFrame, base: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes; they connect whatever similarity connects."""
-    spark = df.sparkSession
-    member = settle(base.where("n > 0").groupBy("g", "c", "n").agg(F.min("doc_id").alias("rep")))
-    sizes = member.groupBy("g", "n").agg(F.count("*").alias("members"))
-    index = index_rows(base, spark.sparkContext.broadcast(repeated_tokens(base))).join(sizes, ["g", "n"])
-    index = settle(index)
-    index = settle(index.join(index.groupBy("token").agg(F.sum("members").alias("weight"), F.count("*").alias("groups")).where("weight > 1"), "token").where("groups > 1 or pos = 0"))
-    cold = index.where(F.col("weight") <= HOT)
-    x, y = cold.alias("x"), cold.alias("y")
-    sizes = F.col("x.n") + F.col("y.n")
-    # The shingle is followed by at most so many common ones; x = y are the pairs within a group.
-    able = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((percent + 100) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * sizes)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") <= F.col("y.g")) & able).where("x.g < y.g or x.members > 1").select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    ma, mb = (member.select(F.col("g").alias(f"g{k}"), F.col("c").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = settle(pairs.join(ma, "ga").join(mb, "gb").where("ga < gb or a < b").select("a", "b", "na", "nb").distinct())
-    hot = settle(index.where(F.col("weight") > HOT).select("token", "weight", "g").join(member, "g").select("token", "weight", "c"))
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot.select("c")).distinct().join(member, "c")
-    found = settle(sets(df, key, text, width, spark.sparkContext.broadcast(bit_map(wanted))))
-    # Of each class the pair with its least partner comes first; what these links join needs no more of its pairs.
-    first = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
-    linked = settle(_verified(first, found, percent))
-    label = settle(components(linked))
-    la, lb = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-    rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("ca is null or cb is null or ca <> cb")
-    linked = linked.unionByName(_verified(rest, found, percent))
-    # Blocks of a hot shingle: each member goes to every pair of blocks that has its own.
-    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
-    dealt = hot.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", side.alias("side"))
-    in_blocks = dealt.join(found, "c").groupBy("token", "i", "j").applyInPandas(lambda rows: block_links(rows, percent), "a binary, b binary")
-    return linked.unionByName(in_blocks)
+    for rows in whole_runs(batches, 3):
+        side, n, pos = (rows.column(k).to_numpy().astype(np.int64) for k in (3, 5, 6))
+        name = np.frombuffer(b"".join(rows.column(4).to_pylist()), ">u8").reshape(-1, 2)
+        order = np.lexsort((name[:, 1], name[:, 0]))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (name[order][1:] != name[order][:-1]).any(1)
+        who = np.empty(len(order), np.int64)
+        who[order] = np.cumsum(fresh) - 1
+        one = order[fresh]  # a row of each class
+        size = n[one]
+        label = rows.column(7).fill_null(0).to_numpy()[one]
+        linked = rows.column(7).is_valid().to_numpy()[one]
+        maps = rows.column(8).combine_chunks().flatten().to_numpy().view(U64).reshape(-1, MAP_WORDS)[one]
+        found = [np.empty(0, np.int64)]
+        for x, y in pairs_within(_run_ends(_run_starts(rows, 3))):
+            fit = able(n, pos, x, y, percent) & ((side[x] == 2) | (side[x] != side[y]))
+            a, b = who[x[fit]], who[y[fit]]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            apart = (a != b) & ~(linked[a] & linked[b] & (label[a] == label[b]))
+            key = np.unique(a[apart] * len(one) + b[apart])
+            a, b = np.divmod(key, len(one))
+            found.append(key[_slack(maps[a], maps[b], size[a], size[b], percent) >= 0])
+        a, b = np.divmod(np.unique(np.concatenate(found)), len(one))
+        if not whole:
+            a, b = _spanning(a, b, _slack(maps[a], maps[b], size[a], size[b], percent) / (size[a] + size[b]), np.where(linked, label, 0), linked)
+        names = [one[k] for k in (a, b)]
+        pick = [rows.column(4).combine_chunks().take(pa.array(k)) for k in names]
+        yield pa.RecordBatch.from_arrays([*pick, pa.array(size[a], pa.int32()), pa.array(size[b], pa.int32())], names=["a", "b", "na", "nb"])
+
+
+def _slack(ma: np.ndarray, mb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Below 0 if parity maps show that two sets differ too much."""
+    apart = np.bitwise_count(ma ^ mb).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * (na + nb - apart) - 2 * percent * (na + nb)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, slack: np.ndarray, label: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those that join something new, most slack first; nodes of one label are joined before."""
+    root = np.arange(len(label))
+    if linked.any():
+        _, first, at = np.unique(label[linked], return_index=True, return_inverse=True)
+        root[linked] = np.flatnonzero(linked)[first][at]
+    order, keep = np.argsort(-slack, kind="stable"), []
+    for k in range(0, len(order), 1 << 14):
+        while (root[root] != root).any():
+            root = root[root]
+        part = order[k : k + (1 << 14)]
+        part = part[root[a[part]] != root[b[part]]]
+        up = root.tolist() if len(part) else []
+
+        def top(x: int, up=up) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for i in part.tolist():
+            x, y = top(a[i]), top(b[i])
+            if x != y:
+                up[y] = x
+                keep.append(i)
+        root = np.array(up) if up else root
+    keep = np.array(keep, np.int64)
+    return a[keep], b[keep]
+
+
+def index_rows(groups: DataFrame) -> DataFrame:
+    """(token, g, meta, label, wide) of the prefix shingles of (g, n, prefix, rare, label, several); meta holds n, the place and whether the group has several members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(2)
+            sizes = np.diff(np.asarray(prefix.offsets))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n, rare = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 3))
+            meta = n[row] << 32 | pos << 1 | batch.column(5).to_numpy(zero_copy_only=False)[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([prefix.flatten(), batch.column(0).take(take), pa.array(meta), batch.column(4).take(take), pa.array(pos >= rare[row])], names=["token", "g", "meta", "label", "wide"])
+
+    return groups.select("g", "n", "prefix", "rare", "label", "several").mapInArrow(run, "token long, g long, meta long, label long, wide boolean")
+
+
+def _noted(df: DataFrame, notes: DataFrame, on: str) -> DataFrame:
+    """df left-joined with a settled table of distinct keys; broadcast only if its counted rows are few."""
+    return df.join(F.broadcast(notes) if notes.count() <= FEW else notes, on, "left")
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+class Join:
+    """One similarity join over the rows of df."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, width: int, percent: int):
+        self.spark, self.percent = df.sparkSession, percent
+        self.source = (df, key, text, width)
+        counts = self.spark.sparkContext.broadcast(sketch(df, text, width))
+        self.base = settle(prefixes(df, key, text, width, percent, counts))
+        counts.destroy()
+        some = self.base.where("n > 0")
+        first = [F.first(x).alias(x) for x in ("n", "g", "keys", "maps", "common")]
+        self.member = settle(some.groupBy("c").agg(F.min("doc_id").alias("rep"), *first).withColumn("g", F.xxhash64("g")))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b, na, nb): those whose whole sets are similar enough."""
+        wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.member.select("c", "rep"), "c"))
+        bits = self.spark.sparkContext.broadcast(bit_map(wanted, wanted.count()))
+        found = settle(sets(*self.source, bits))
+        bits.destroy()
+        right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
+        left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
+        shared = F.size(F.array_intersect("ta", "tb"))
+        near = pairs.join(right, "b").join(left, "a").where((100 + self.percent) * shared >= self.percent * (F.col("na") + F.col("nb")))
+        return settle(near.select("a", "b"))
+
+    def by_keys(self) -> DataFrame:
+        """Links of classes to the class of the commonest shingles that shares a min-wise key."""
+        keyed = self.member.select("c", "common", F.explode("keys").alias("key"))
+        top = keyed.groupBy("key").agg(F.max(F.struct("common", "c"))["c"].alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
+        pairs = keyed.join(top, "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+        for x in "ab":
+            pairs = pairs.join(self.member.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("maps").alias(f"m{x}")), x)
+        size = F.col("na") + F.col("nb")
+        near = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & ((100 + self.percent) * (size - _differ("ma", "mb")) >= 2 * self.percent * size)
+        return self.verified(settle(pairs.where(near).select("a", "b", "na", "nb")))
+
+    def labelled(self, label: DataFrame) -> DataFrame:
+        """Members with their component (`label`, null if there is none) of (node, component)."""
+        named = label.select(F.col("node").alias("c"), F.xxhash64("component").alias("label"))
+        return self.member.select("c", "g", "n", "maps").join(named, "c", "left")
+
+    def rows_of(self, member: DataFrame) -> DataFrame:
+        """(token, g, pos): the prefix index, less the groups that have nobody to be paired with."""
+        low, high = F.min(F.coalesce("label", F.xxhash64("c"))), F.max(F.coalesce("label", F.xxhash64("c")))
+        facts = member.groupBy("g").agg(F.when(low == high, F.max("label")).alias("label"), (low != high).alias("several"))
+        prefix = self.base.where("n > 0").groupBy(F.col("g").alias("whole")).agg(*(F.first(x).alias(x) for x in ("n", "prefix", "rare"))).withColumn("g", F.xxhash64("whole"))
+        wide = index_rows(self.base.where("n > 0 and rare < size(prefix)").withColumns({"g": F.lit(0).cast("long"), "label": F.lit(None).cast("long"), "several": F.lit(False)})).where("wide")
+        hot = settle(wide.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.lit(True).alias("hot")))
+        index = _noted(index_rows(prefix.join(facts, "g")).drop("wide"), hot, "token").select("token", "g", "meta", "label", F.coalesce("hot", F.lit(False)).alias("hot"))
+        salt = F.when(F.col("hot"), F.col("g")).otherwise(0)
+        return settle(partnered(index.repartition("token", salt).sortWithinPartitions("token"), self.percent))
+
+    def candidates(self, rows: DataFrame, member: DataFrame, whole: bool = False) -> DataFrame:
+        """Pairs (a, b, na, nb) of members not linked yet; a spanning forest of each block's, or all."""
+        found = rows.join(member, "g").drop("g")
+        many = settle(found.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        dealt = _noted(found, many, "token").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "c", "n", "pos", "label", "maps")
+        percent = self.percent
+        pairs = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda batches: forest(batches, percent, whole), "a binary, b binary, na int, nb int")
+        return pairs.distinct()
+
+    def links(self) -> DataFrame:
+        """Verified links (a, b) between classes; they connect whatever similarity connects."""
+        links = self.by_keys()
+        member = self.labelled(components(links))
+        rows = self.rows_of(member)
+        pairs = settle(self.candidates(rows, member))
+        links = settle(links.unionByName(self.verified(pairs)))
+        label = components(links)
+        # A forest of which no pair proved too far apart has connected all that its blocks could.
+        at = [label.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab"]
+        apart = settle(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"))
+        if apart.isEmpty():
+            return links
+        maybe = settle(components(links.unionByName(pairs.select("a", "b"))).withColumnsRenamed({"node": "c", "component": "part"}))
+        parts = apart.select(F.col("a").alias("c")).join(maybe, "c").select("part").distinct()
+        member = self.labelled(label).join(maybe.join(parts, "part", "left_semi").select("c"), "c", "left_semi")
+        rest = self.candidates(rows, member, whole=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        return links.unionByName(self.verified(settle(rest)))
 
 
 def _classes(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their signatures, the linked classes, and per class (c, least, component)."""
-    counts = df.sparkSession.sparkContext.broadcast(sketch(df, text, width))
-    base = settle(prefixes(df, key, text, width, percent, counts))
-    label = components(links_of(df, base, key, text, width, percent)).withColumnsRenamed({"node": "c"})
-    least = base.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return base, label, least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    join = Join(df, key, text, width, percent)
+    label = components(join.links()).withColumnsRenamed({"node": "c"})
+    least = join.member.select("c", F.col("rep").alias("least"))
+    return join.base.select("doc_id", "n", "c"), label, least.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
 def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -334,37 +508,46 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
 
 
-def _by_bit(df: DataFrame, key: str, bits, wanted: bool) -> DataFrame:
-    """Rows of df whose key's bit is set, or is not; rows without a key count as not set."""
+def _fresh(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column has it, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+#: Stands in the map for rows that are told apart by key alone.
+NO_CLASS = bytes(16)
+
+
+def _unmarked(df: DataFrame, key: str, bits) -> DataFrame:
+    """Rows of df whose key's bit is not set, or that have no key."""
     at = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(at)
-            bit = _bit([NO_CLASS] * batch.num_rows, keys)
-            hit = ((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool) & keys.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit == wanted))
+            yield batch.filter(pa.array(~_marks(batch.column(at), bits.value)))
 
     return df.mapInArrow(run, df.schema)
 
 
-#: Stands in the map for rows that are told apart by key alone.
-NO_CLASS = bytes(16)
+def _marks(keys: pa.Array, bits: np.ndarray) -> np.ndarray:
+    return _hit(bits, _bit([NO_CLASS] * len(keys), keys, 8 * len(bits))) & keys.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _with_class(df: DataFrame, text: str, width: int) -> DataFrame:
-    """df with the signature `_c` of each row's set, null where there are no shingles."""
-    names = [*df.columns, "_c"]
-    at = names.index(text)
+def _marked(df: DataFrame, key: str, text: str, width: int, bits, name: str) -> DataFrame:
+    """Rows of df whose key's bit is set, with the signature of each one's set, null where there are no shingles."""
+    names = [*df.columns, name]
+    at, key_at = names.index(text), names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value))), text):
                 hashes, row, n = sets_of(part.column(at), width)
                 sig = [s.tobytes() if k else None for s, k in zip(signatures(hashes, row, part.num_rows), n, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_c", T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -374,17 +557,18 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     signature, of those that have both in common the one of the least text.
 
     Keys of rows that go and keys that stand in several rows are marked in a bit
-    map of fixed size.  Rows without a mark stay where they are; only marked ones,
-    whose marks may be chance, are shuffled and joined.
+    map.  Rows without a mark stay where they are; only marked ones, whose marks
+    may be chance, are shuffled and joined.
     """
     base, _, named = _classes(df, key, text, width, percent)
     chosen = settle(named.where("least is not null").groupBy("component").agg(F.min(F.struct("least", "c")).alias("k")).select("k.c", "k.least"))
     keyed = base.where("doc_id is not null")
     some = keyed.where("n > 0").join(chosen, "c", "left").select("doc_id", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("stays"))
     rows = some.unionByName(keyed.where("n = 0").select("doc_id", F.lit(True).alias("stays")))
-    doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays")
-    bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful.select(F.lit(NO_CLASS).alias("c"), F.col("doc_id").alias("rep"))))
-    marked = _with_class(_by_bit(df, key, bits, True), text, width)
-    one = marked.where("_c is not null").groupBy(F.col(key).cast("long").alias("_key"), "_c").agg(F.min_by(F.struct(*df.columns), text).alias("_row"))
-    kept = one.join(chosen, (one["_key"] == chosen["least"]) & (one["_c"] == chosen["c"]), "left_semi").select("_row.*")
-    return _by_bit(df, key, bits, False).unionByName(marked.where("_c is null").select(df.columns)).unionByName(kept)
+    doubtful = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.lit(NO_CLASS).alias("c"), F.col("doc_id").alias("rep")))
+    bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful, doubtful.count()))
+    c, k, row = (_fresh(df, x) for x in ("_c", "_key", "_row"))
+    marked = _marked(df, key, text, width, bits, c)
+    one = marked.where(F.col(c).isNotNull()).groupBy(F.col(key).cast("long").alias(k), c).agg(F.min_by(F.struct(*df.columns), text).alias(row))
+    kept = one.join(chosen, (one[k] == chosen["least"]) & (one[c] == chosen["c"]), "left_semi").select(f"{row}.*")
+    return _unmarked(df, key, bits).unionByName(marked.where(F.col(c).isNull()).select(df.columns)).unionByName(kept)

@@ -63,11 +63,13 @@ def families(seed, n=6, size=40):
     return out
 
 
-@pytest.mark.parametrize(("hot", "width", "percent"), [(4, 3, 90), (32, 3, 90), (8, 5, 80)])
-def test_classes_equal_brute_force(spark, documents, edge, hot, width, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", hot)
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    made = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(families(hot))], "doc_id long, text string")
+@pytest.mark.parametrize(("block", "width", "percent"), [(4, 3, 90), (2048, 3, 90), (8, 5, 80)])
+@pytest.mark.parametrize("by_keys", [True, False])
+def test_classes_equal_brute_force(spark, documents, edge, block, width, percent, by_keys, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    if not by_keys:  # the prefix join alone
+        monkeypatch.setattr(ngram_join.Join, "by_keys", lambda join: join.verified(spark.createDataFrame([], "a binary, b binary, na int, nb int")))
+    made = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(families(block))], "doc_id long, text string")
     df = documents.select("doc_id", "text").unionByName(made).unionByName(edge.selectExpr("doc_id + 50000 as doc_id", "text"))
     rows = [tuple(r) for r in df.collect()]
     assert sorted(str(tuple(r)) for r in ngram_join.classify(df, width=width, percent=percent).collect()) == plain_classes(rows, width, percent)

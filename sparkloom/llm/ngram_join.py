@@ -168,15 +168,15 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, count
 BASE = "doc_id long, n int, c binary, g binary, prefix array<long>, rare int, keys array<long>, maps array<long>, common double"
 
 
-def bit_map(ids: DataFrame, rows: int) -> np.ndarray:
-    """A map with the bit of each (c, rep) set, of 16 bits a row within LEAST_BITS and MOST_BITS; tasks make their own and only whole maps' parts meet."""
+def bit_map(keys: DataFrame, rows: int) -> np.ndarray:
+    """A map with the bit of each key (column `rep`) set, of 16 bits a row within LEAST_BITS and MOST_BITS; tasks make their own and only whole maps' parts meet."""
     size = min(max(LEAST_BITS, 1 << (16 * max(rows, 1)).bit_length()), MOST_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
         used = False
         for batch in batches:
-            at = _bit(batch.column(0).to_pylist(), batch.column(1), size)
+            at = _bit(batch.column(0), size)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             used = used or batch.num_rows > 0
         parts = range(0, len(bits), ROW) if used else []
@@ -192,33 +192,30 @@ def bit_map(ids: DataFrame, rows: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "bits": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
-    for r in ids.select("c", "rep").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # size in all
+    for r in keys.select("rep").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(join, "at int, bits binary").collect():  # size in all
         out[r[0] * ROW : (r[0] + 1) * ROW] = np.frombuffer(r[1], np.uint8)
     return out
 
 
-def _bit(ids: list[bytes], rows: pa.Array, size: int) -> np.ndarray:
-    if not ids:
-        return np.empty(0, np.int64)
-    own = mix(rows.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(U64) + U64(29))
-    return ((np.frombuffer(b"".join(ids), ">u8")[::2].astype(U64) ^ own) & U64(size - 1)).astype(np.int64)
+def _bit(keys: pa.Array, size: int) -> np.ndarray:
+    return (mix(keys.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(U64) + U64(29)) & U64(size - 1)).astype(np.int64)
 
 
-def _hit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _marks(keys: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = _bit(keys, 8 * len(bits))
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
-    """(c, tokens) of the rows whose bit is set: one row of each wanted class, and perhaps a few more."""
+    """(c, tokens) of the rows whose key's bit is set: one row of each wanted class, and perhaps a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(0), wanted.value))), "t"):
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = [s.tobytes() for s in signatures(hashes, row, part.num_rows)]
-                hit = (n > 0) & _hit(bits, _bit(sig, part.column(0), 8 * len(bits)))
-                first = {sig[i]: i for i in reversed(np.flatnonzero(hit).tolist())}
+                first = {sig[i]: i for i in reversed(np.flatnonzero(n).tolist())}
                 take = sorted(first.values())
                 keep = np.isin(row, take)
                 at = np.concatenate([[0], np.cumsum(n[take])]).astype(np.int32)
@@ -421,7 +418,7 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, na, nb): those whose whole sets are similar enough."""
-        wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.member.select("c", "rep"), "c"))
+        wanted = settle(self.member.join(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", "left_semi").select("rep"))
         bits = self.spark.sparkContext.broadcast(bit_map(wanted, wanted.count()))
         found = settle(sets(*self.source, bits))
         bits.destroy()
@@ -516,23 +513,19 @@ def _fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Stands in the map for rows that are told apart by key alone.
-NO_CLASS = bytes(16)
-
-
 def _unmarked(df: DataFrame, key: str, bits) -> DataFrame:
     """Rows of df whose key's bit is not set, or that have no key."""
     at = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~_marks(batch.column(at), bits.value)))
+            yield batch.filter(pa.array(~(_marks(batch.column(at), bits.value) & _present(batch.column(at)))))
 
     return df.mapInArrow(run, df.schema)
 
 
-def _marks(keys: pa.Array, bits: np.ndarray) -> np.ndarray:
-    return _hit(bits, _bit([NO_CLASS] * len(keys), keys, 8 * len(bits))) & keys.is_valid().to_numpy(zero_copy_only=False)
+def _present(keys: pa.Array) -> np.ndarray:
+    return keys.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _marked(df: DataFrame, key: str, text: str, width: int, bits, name: str) -> DataFrame:
@@ -542,7 +535,7 @@ def _marked(df: DataFrame, key: str, text: str, width: int, bits, name: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value))), text):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value) & _present(batch.column(key_at)))), text):
                 hashes, row, n = sets_of(part.column(at), width)
                 sig = [s.tobytes() if k else None for s, k in zip(signatures(hashes, row, part.num_rows), n, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names=names)
@@ -565,7 +558,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     keyed = base.where("doc_id is not null")
     some = keyed.where("n > 0").join(chosen, "c", "left").select("doc_id", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("stays"))
     rows = some.unionByName(keyed.where("n = 0").select("doc_id", F.lit(True).alias("stays")))
-    doubtful = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.lit(NO_CLASS).alias("c"), F.col("doc_id").alias("rep")))
+    doubtful = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.col("doc_id").alias("rep")))
     bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful, doubtful.count()))
     c, k, row = (_fresh(df, x) for x in ("_c", "_key", "_row"))
     marked = _marked(df, key, text, width, bits, c)

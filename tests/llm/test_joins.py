@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from sparkloom.llm import components as components_module
 from sparkloom.llm import ngram_join, suffix_dedup
 from sparkloom.llm.components import components
 
@@ -84,9 +85,13 @@ def test_one_row_of_each_class_stays(spark, edge):
     assert ngram_join.classify(edge.limit(0)).count() == 0
 
 
-def test_components_of_random_links(spark):
+@pytest.mark.parametrize("rows", [1, 7, 1 << 20])
+def test_components_of_random_links(spark, rows, monkeypatch):
+    monkeypatch.setattr(components_module, "ROWS", rows)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3" if rows < 10 else batch)
     rnd = random.Random(5)
-    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(700, i) for i in range(620, 680)]
     got = dict((r.node, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     root = {}
 
@@ -98,6 +103,7 @@ def test_components_of_random_links(spark):
         if a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert got == {x: find(x) for x in root}
 
 

@@ -69,11 +69,11 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """From links (a, b) to (node, component), the component being its least node; nodes without links do not occur."""
     kind = links.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("torn", T.BooleanType())])
-    rows = ROWS
+    rows, n = ROWS, links.count()
     run = lambda batches: joined(batches, rows)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(run, schema)
     for _ in range(most_rounds):
-        edges = settle(edges.select("a", "b").repartition("a").sortWithinPartitions("a").mapInArrow(run, schema))
+        edges = settle(edges.select("a", "b").repartition("a").sortWithinPartitions("a").mapInArrow(run, schema), n)
         if edges.where("torn").isEmpty():
             break
     else:
@@ -82,7 +82,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     tree = edges.groupBy("a").agg(F.min("b").alias("b"))
     for _ in range(most_rounds):
         above = tree.select(F.col("a").alias("b"), F.col("b").alias("up"))
-        tree = settle(tree.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")))
+        tree = settle(tree.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), n)
         if tree.where("moved").isEmpty():
             break
     else:

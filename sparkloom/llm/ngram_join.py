@@ -415,10 +415,11 @@ class Join:
         some = self.base.where("n > 0")
         first = [F.first(x).alias(x) for x in ("n", "g", "keys", "maps", "common")]
         self.member = settle(some.groupBy("c").agg(F.min("doc_id").alias("rep"), *first).withColumn("g", F.xxhash64("g")))
+        self.classes = self.member.count()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, na, nb): those whose whole sets are similar enough."""
-        wanted = settle(self.member.join(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", "left_semi").select("rep"))
+        wanted = settle(self.member.join(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", "left_semi").select("rep"), self.classes)
         bits = self.spark.sparkContext.broadcast(bit_map(wanted, wanted.count()))
         found = settle(sets(*self.source, bits))
         bits.destroy()
@@ -426,7 +427,7 @@ class Join:
         left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
         shared = F.size(F.array_intersect("ta", "tb"))
         near = pairs.join(right, "b").join(left, "a").where((100 + self.percent) * shared >= self.percent * (F.col("na") + F.col("nb")))
-        return settle(near.select("a", "b"))
+        return settle(near.select("a", "b"), self.classes)
 
     def by_keys(self) -> DataFrame:
         """Links of classes to the class of the commonest shingles that shares a min-wise key."""
@@ -437,7 +438,7 @@ class Join:
             pairs = pairs.join(self.member.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("maps").alias(f"m{x}")), x)
         size = F.col("na") + F.col("nb")
         near = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & ((100 + self.percent) * (size - _differ("ma", "mb")) >= 2 * self.percent * size)
-        return self.verified(settle(pairs.where(near).select("a", "b", "na", "nb")))
+        return self.verified(settle(pairs.where(near).select("a", "b", "na", "nb"), self.classes))
 
     def labelled(self, label: DataFrame) -> DataFrame:
         """Members with their component (`label`, null if there is none) of (node, component)."""
@@ -450,7 +451,7 @@ class Join:
         facts = member.groupBy("g").agg(F.when(low == high, F.max("label")).alias("label"), (low != high).alias("several"))
         prefix = self.base.where("n > 0").groupBy(F.col("g").alias("whole")).agg(*(F.first(x).alias(x) for x in ("n", "prefix", "rare"))).withColumn("g", F.xxhash64("whole"))
         wide = index_rows(self.base.where("n > 0 and rare < size(prefix)").withColumns({"g": F.lit(0).cast("long"), "label": F.lit(None).cast("long"), "several": F.lit(False)})).where("wide")
-        hot = settle(wide.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.lit(True).alias("hot")))
+        hot = settle(wide.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.lit(True).alias("hot")), self.classes)
         index = _noted(index_rows(prefix.join(facts, "g")).drop("wide"), hot, "token").select("token", "g", "meta", "label", F.coalesce("hot", F.lit(False)).alias("hot"))
         salt = F.when(F.col("hot"), F.col("g")).otherwise(0)
         return settle(partnered(index.repartition("token", salt).sortWithinPartitions("token"), self.percent))
@@ -458,7 +459,7 @@ class Join:
     def candidates(self, rows: DataFrame, member: DataFrame, whole: bool = False) -> DataFrame:
         """Pairs (a, b, na, nb) of members not linked yet; a spanning forest of each block's, or all."""
         found = rows.join(member, "g").drop("g")
-        many = settle(found.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        many = settle(found.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), self.classes)
         dealt = _noted(found, many, "token").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -472,15 +473,15 @@ class Join:
         links = self.by_keys()
         member = self.labelled(components(links))
         rows = self.rows_of(member)
-        pairs = settle(self.candidates(rows, member))
-        links = settle(links.unionByName(self.verified(pairs)))
+        pairs = settle(self.candidates(rows, member), self.classes)
+        links = settle(links.unionByName(self.verified(pairs)), self.classes)
         label = components(links)
         # A forest of which no pair proved too far apart has connected all that its blocks could.
         at = [label.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab"]
-        apart = settle(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"))
+        apart = settle(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"), self.classes)
         if apart.isEmpty():
             return links
-        maybe = settle(components(links.unionByName(pairs.select("a", "b"))).withColumnsRenamed({"node": "c", "component": "part"}))
+        maybe = settle(components(links.unionByName(pairs.select("a", "b"))).withColumnsRenamed({"node": "c", "component": "part"}), self.classes)
         parts = apart.select(F.col("a").alias("c")).join(maybe, "c").select("part").distinct()
         member = self.labelled(label).join(maybe.join(parts, "part", "left_semi").select("c"), "c", "left_semi")
         rest = self.candidates(rows, member, whole=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")

@@ -27,10 +27,19 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{base if ':' in base else 'file://' + base}/{kind}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so lost executors cost no recomputation."""
+#: Rows of a narrow table in one file of the shared folder.
+FILE_ROWS = 200_000
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder, so lost executors cost no recomputation.
+
+    rows: about how many there are at most, where that is known; a narrow table
+    then has a file for every FILE_ROWS, at least eight, instead of one for each
+    partition of the session.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import slices
+from .shared import texts
+from .textbatch import HELD, slices
 
 #: Entries of the two halves of the cache of encoded pieces, in each Python worker.
 CACHE = 300_000
@@ -200,6 +201,7 @@ def vocabulary(path: str) -> Vocabulary:
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = Vocabulary(path)
+    HELD["bpe"] = _LOADED.clear
     return _LOADED[path]
 
 
@@ -220,7 +222,7 @@ def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", owner="bpe"):
                 coded = [vocab.encode(t or "") for t in part.column(1).to_pylist()]
                 ids = np.frombuffer(b"".join(coded), "<u4")
                 ends = np.cumsum([len(c) // 4 for c in coded])
@@ -233,7 +235,7 @@ def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return texts(df).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def _valid(data: bytes) -> bool:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import texts
 from .textbatch import LOWER, U64, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 #: Words of a seed and of the least tile; share of an item's words that makes it leaked.
@@ -199,7 +200,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], k) for j, k in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
+        part = texts(df).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -217,5 +218,5 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
                     keep[[x[0] for x in leaks(part, at, sent.value)]] = False
                     yield part.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = texts(df).mapInArrow(run, df.schema)
     return df

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import texts
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。、，；：！？]")
@@ -223,4 +225,4 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
                 texts = [main_text(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return df.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).mapInArrow(run, SCHEMA)
+    return texts(df).select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).mapInArrow(run, SCHEMA)

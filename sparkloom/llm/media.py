@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import new_folder
+from .shared import new_folder, texts
 
 #: Pixels in a row of the image, so payloads are padded to a multiple of it.
 WIDTH = 64
@@ -106,7 +106,7 @@ def store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -
             _finish(files, out, stream, hidden, f"{root}/{part:06d}-{number:04d}.zip")
         yield pa.RecordBatch.from_pydict({"members": pa.array([seq], pa.int64())})
 
-    df.select(F.col(n_key).cast("long").alias("k"), F.col(n_text).alias("t")).mapInArrow(write, "members long").write.format("noop").mode("overwrite").save()
+    texts(df).select(F.col(n_key).cast("long").alias("k"), F.col(n_text).alias("t")).mapInArrow(write, "members long").write.format("noop").mode("overwrite").save()
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
 

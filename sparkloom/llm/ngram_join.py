@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import settle
+from .shared import settle, texts
 from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 #: Words of a shingle; least similarity in hundredths.
@@ -408,7 +408,7 @@ class Join:
 
     def __init__(self, df: DataFrame, key: str, text: str, width: int, percent: int):
         self.spark, self.percent = df.sparkSession, percent
-        self.source = (df, key, text, width)
+        self.source = (texts(df), key, text, width)
         counts = self.spark.sparkContext.broadcast(sketch(df, text, width))
         self.base = settle(prefixes(df, key, text, width, percent, counts))
         counts.destroy()

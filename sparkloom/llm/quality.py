@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import texts
 from .textbatch import BLANK, U64, mix, slices, span_hashes, utf8, word_spans
 
 #: Rows that train the scorer, buckets of hashed features, and the score from which a text is kept.
@@ -236,7 +237,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
                     total[int(c)] = total.get(int(c), 0) + int(k)
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
-    counted = df.select(F.col(text).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect()
+    counted = texts(df).select(F.col(text).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect()
     counted = sorted((r[0], r[1]) for r in counted)
     codes, counts = np.array([c for c, _ in counted], np.int64), np.array([n for _, n in counted], float)
     posterior, share, accuracy = estimate(codes, counts) if len(codes) else (np.empty(0), 0.5, np.full(len(NAMES), 0.5))
@@ -282,7 +283,7 @@ def classify(df: DataFrame, model: Model | None = None, key: str = "doc_id", tex
                 score = np.round(sent.value.scores(s), 6)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(np.round(sent.value.posteriors(s.votes()), 6)), pa.array(score >= KEEP)], names=["doc_id", "score", "posterior", "keep"])
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
+    return texts(df).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
 
 
 def keep(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,4 +296,4 @@ def keep(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: s
             for part in slices(batch, text):
                 yield part.filter(pa.array(sent.value.scores(Slice(part.column(at))) >= KEEP))
 
-    return df.mapInArrow(run, df.schema)
+    return texts(df).mapInArrow(run, df.schema)

@@ -42,5 +42,17 @@ def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both sides hold a few at a time.
+BATCH_BYTES, _BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """df, with the session's limit on Arrow batches lowered to BATCH_BYTES if it is higher; rows of texts vary too much to be limited by number."""
+    have = df.sparkSession.conf.get(_BATCH_CONF, None)
+    if have is None or not have.rstrip("b").isdigit() or int(have.rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import new_folder, texts
 from .textbatch import U64, mix, slices, span_hashes, utf8
 
 SPAN, GRAM = 200, 32
@@ -336,7 +336,7 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked for)."""
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("k"), F.hash(text).alias("th"), F.col(text).alias("t"))
+    docs = texts(df).select(F.col(key).cast("long").alias("k"), F.hash(text).alias("th"), F.col(text).alias("t"))
     folder = new_folder(spark, "anchors")
     count_anchors(docs).where("n > 1").write.parquet(folder)
     anchors = spark.read.schema("anchor long, n long").parquet(folder)

@@ -9,7 +9,9 @@ A null text counts as an empty one everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of about `limit` text bytes; a longer text is a slice by itself."""
+#: What operators keep in a Python worker beyond a task: by operator, what lets go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def _let_go(owner: str) -> None:
+    others = [name for name in HELD if name != owner]
+    for name in others:
+        HELD.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Row ranges of about `limit` text bytes; a longer text is a slice by itself.
+
+    What operators other than `owner` have kept in this worker goes: an executor's
+    workers serve all operators of a session in turn.
+    """
+    _let_go(owner)
     if not batch.num_rows:
         return
     _, at = utf8(batch.column(batch.schema.get_field_index(text)))

@@ -25,7 +25,7 @@ their own hash, to as many collections as there are tasks.
 
 Edge cases: a null text is an empty one; a text under SPAN bytes loses nothing;
 equal rows count as places of their own; null and repeated keys are told apart
-by their texts; an empty table gives no rows; other columns are not read.
+by 128 bits of hash of their texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -145,12 +145,12 @@ def count_anchors(df: DataFrame) -> DataFrame:
     return df.select("t").mapInArrow(run, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-PLACES = "k long, th int, start int, anchor long, fh long"
+PLACES = "k long, th long, tl long, start int, anchor long, fh long"
 PIECES = "anchor long, fh long, windows int, rel int, weight int, bytes binary"
 
 
 def _marked(part: pa.RecordBatch, maps) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
-    raw, rows = utf8(part.column(2))
+    raw, rows = utf8(part.column(3))
     repeated, hot = maps.value
     found = fragments(raw, rows)
     keep = _has(repeated, found[4])
@@ -166,7 +166,7 @@ def places(df: DataFrame, maps) -> DataFrame:
             for part in slices(batch, "t"):
                 _, rows, (row, start, _, _, anchor), fh = _marked(part, maps)
                 row_of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row_of), part.column(1).take(row_of), pa.array(start - rows[row], pa.int32()), pa.array(anchor.view(np.int64)), pa.array(fh.view(np.int64))], names=[c.split()[0] for c in PLACES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row_of) for i in range(3)), pa.array(start - rows[row], pa.int32()), pa.array(anchor.view(np.int64)), pa.array(fh.view(np.int64))], names=[c.split()[0] for c in PLACES.split(", ")])
 
     return df.mapInArrow(run, PLACES)
 
@@ -336,7 +336,7 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked for)."""
     spark = df.sparkSession
-    docs = texts(df).select(F.col(key).cast("long").alias("k"), F.hash(text).alias("th"), F.col(text).alias("t"))
+    docs = texts(df).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(7), text).alias("tl"), F.col(text).alias("t"))
     folder = new_folder(spark, "anchors")
     count_anchors(docs).where("n > 1").write.parquet(folder)
     anchors = spark.read.schema("anchor long, n long").parquet(folder)
@@ -345,7 +345,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT
     many = bit_map(anchors.where(F.col("n") > hot).select("anchor"))
     maps = spark.sparkContext.broadcast((none if repeated is None else repeated, many))
     windows = repeats(pieces(docs, maps))
-    found = places(docs, maps).join(windows, ["anchor", "fh"]).groupBy("k", "th").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))
-    found = found.withColumnsRenamed({"k": "_k", "th": "_th"})
-    joined = docs.join(found, F.col("k").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_th")), "left").select("k", "t", "spans")
+    found = places(docs, maps).join(windows, ["anchor", "fh"]).groupBy("k", "th", "tl").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))
+    found = found.withColumnsRenamed({"k": "_k", "th": "_th", "tl": "_tl"})
+    joined = docs.join(found, F.col("k").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_th")) & (F.col("tl") == F.col("_tl")), "left").select("k", "t", "spans")
     return cut(joined, with_text)

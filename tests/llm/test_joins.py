@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import components as components_module
 from sparkloom.llm import ngram_join, suffix_dedup
@@ -144,6 +145,17 @@ def test_removed_bytes_equal_brute_force(spark, documents, hot):
     assert sorted(str(tuple(r)) for r in got.collect()) == plain_dedup(rows)
 
 
+def test_rows_of_one_key_are_told_apart(spark):
+    """Two equal texts and a third whose 32-bit hash is theirs, all without a key."""
+    text = F.concat(F.lit("x" * 100), *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(i)), 256) for i in range(3)])
+    texts = spark.range(200_000).select(text.alias("text"))
+    one, other = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_set("text").alias("t")).where("size(t) > 1").first().t[:2]
+    rows = [(None, one), (None, one), (None, other), (1, other[:150])]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == plain_dedup(rows)
+    assert sorted(r.n_removed for r in got) == [0, 0, len(one), len(one)]
+
+
 def test_dedup_edges(edge):
     assert suffix_dedup.dedup(edge.limit(0)).count() == 0
     rows = [(r.doc_id, r.text) for r in edge.collect()]

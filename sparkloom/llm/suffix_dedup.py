@@ -16,8 +16,8 @@ so the transform falls into one segment per column.  Segments go to a sequential
 file outside memory, from which a second pass reads, column by column, the runs
 of neighbours with SPAN bytes in common; a run with two places or more repeats.
 
-The steps over all rows: count anchors; mark the repeated ones in a bit map of
-fixed size; write the places of fragments with a marked anchor; send each task's
+The steps over all rows: count anchors; mark the repeated ones in a bit map
+sized by their number, up to a bound beyond which more fragments travel; write the places of fragments with a marked anchor; send each task's
 distinct fragments to their anchors' collections; join the repeated windows to
 the places; cut them from the texts.  An anchor with more than HOT places would
 make one large collection; its windows become fragments of their own, dealt by
@@ -43,8 +43,8 @@ from .shared import new_folder, texts
 from .textbatch import U64, mix, slices, span_hashes, utf8
 
 SPAN, GRAM = 200, 32
-#: Places of an anchor above which its windows are dealt one by one; fragments built together; bits of each map.
-HOT, CHUNK, MAP_BITS = 200_000, 20_000, 1 << 26
+#: Places of an anchor above which its windows are dealt one by one; fragments built together; least and most bits of a map of anchors.
+HOT, CHUNK, LEAST_BITS, MOST_BITS = 200_000, 20_000, 1 << 20, 1 << 29
 PIECE = 1 << 16
 
 
@@ -103,17 +103,18 @@ def _refined(raw: np.ndarray, found: tuple, hot: np.ndarray | None) -> tuple[np.
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & U64(MAP_BITS - 1)).astype(np.int64)
+    at = (keys & U64(8 * len(bits) - 1)).astype(np.int64)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def bit_map(keys: DataFrame) -> np.ndarray | None:
-    """Bits of the keys (longs); None if there are none.  MAP_BITS at most come to the driver."""
+def bit_map(keys: DataFrame, rows: int) -> np.ndarray | None:
+    """Bits of the keys (longs), 16 for each within LEAST_BITS and MOST_BITS; None if there are none."""
+    size = min(max(LEAST_BITS, 1 << (16 * max(rows, 1)).bit_length()), MOST_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(U64) & U64(MAP_BITS - 1)).astype(np.int64)
+            at = (batch.column(0).to_numpy().view(U64) & U64(size - 1)).astype(np.int64)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = [k for k in range(0, len(bits), PIECE) if bits[k : k + PIECE].any()]
         yield pa.RecordBatch.from_pydict({"at": pa.array([k // PIECE for k in used], pa.int32()), "bits": pa.array([bits[k : k + PIECE].tobytes() for k in used], pa.binary())})
@@ -126,7 +127,7 @@ def bit_map(keys: DataFrame) -> np.ndarray | None:
                 sums[at] = sums[at] | data if at in sums else data.copy()
         yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "bits": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
-    out, any_ = np.zeros(MAP_BITS // 8, np.uint8), False
+    out, any_ = np.zeros(size // 8, np.uint8), False
     for r in keys.mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(unite, "at int, bits binary").collect():
         out[r[0] * PIECE : (r[0] + 1) * PIECE] = np.frombuffer(r[1], np.uint8)
         any_ = True
@@ -340,9 +341,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT
     folder = new_folder(spark, "anchors")
     count_anchors(docs).where("n > 1").write.parquet(folder)
     anchors = spark.read.schema("anchor long, n long").parquet(folder)
-    none = np.zeros(MAP_BITS // 8, np.uint8)
-    repeated = bit_map(anchors.select("anchor"))
-    many = bit_map(anchors.where(F.col("n") > hot).select("anchor"))
+    none = np.zeros(LEAST_BITS // 8, np.uint8)
+    repeated = bit_map(anchors.select("anchor"), anchors.count())
+    hottest = anchors.where(F.col("n") > hot)
+    many = bit_map(hottest.select("anchor"), hottest.count())
     maps = spark.sparkContext.broadcast((none if repeated is None else repeated, many))
     windows = repeats(pieces(docs, maps))
     found = places(docs, maps).join(windows, ["anchor", "fh"]).groupBy("k", "th", "tl").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import settle, texts
+from .shared import fresh, settle, texts
 from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 #: Words of a shingle; least similarity in hundredths.
@@ -506,14 +506,6 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    """The name, made longer until no column has it, in any case."""
-    have = {c.lower() for c in df.columns}
-    while name in have:
-        name += "_"
-    return name
-
-
 def _unmarked(df: DataFrame, key: str, bits) -> DataFrame:
     """Rows of df whose key's bit is not set, or that have no key."""
     at = df.columns.index(key)
@@ -561,7 +553,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     rows = some.unionByName(keyed.where("n = 0").select("doc_id", F.lit(True).alias("stays")))
     doubtful = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.col("doc_id").alias("rep")))
     bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful, doubtful.count()))
-    c, k, row = (_fresh(df, x) for x in ("_c", "_key", "_row"))
+    c, k, row = (fresh(df, x) for x in ("_c", "_key", "_row"))
     marked = _marked(df, key, text, width, bits, c)
     one = marked.where(F.col(c).isNotNull()).groupBy(F.col(key).cast("long").alias(k), c).agg(F.min_by(F.struct(*df.columns), text).alias(row))
     kept = one.join(chosen, (one[k] == chosen["least"]) & (one[c] == chosen["c"]), "left_semi").select(f"{row}.*")

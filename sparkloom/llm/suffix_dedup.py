@@ -46,6 +46,8 @@ SPAN, GRAM = 200, 32
 #: Places of an anchor above which its windows are dealt one by one; fragments built together; least and most bits of a map of anchors.
 HOT, CHUNK, LEAST_BITS, MOST_BITS = 200_000, 20_000, 1 << 20, 1 << 29
 PIECE = 1 << 16
+#: Fragments that a task remembers having sent.
+MET = 1 << 20
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -193,6 +195,8 @@ def pieces(df: DataFrame, maps) -> DataFrame:
                     elif not told:
                         again.append(i)
                         met[x] = True
+                if len(met) > MET:  # what is forgotten is sent with its bytes once more
+                    met.clear()
                 take = np.array(fresh + again, np.int64)
                 data = [raw[start[i] : start[i] + windows[i] + SPAN - 1].tobytes() for i in fresh] + [None] * len(again)
                 yield pa.RecordBatch.from_arrays(

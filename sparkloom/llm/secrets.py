@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import fresh, settle
 
 #: Code points around a weak part in which its complement must begin.
 SCOPE = 400
@@ -42,22 +42,61 @@ KEY40 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 IDENT = r"""(?<![A-Za-z0-9_])(?:user(?:name)?|client_id|account|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+_.-]{3,}"""
 ENDPOINT = r"(?<![A-Za-z0-9_])(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|s3)(?::[a-z]+)?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
 KINDS = ("assign", "access", "hex", "key40", "ident", "endpoint")
+#: Matches handled together.
+CHUNK = 100
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """Numbers of the chunks of CHUNK items."""
+    last = ((F.size(items) - 1) / CHUNK).cast("int")
+    return F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _chunk(items: Column, number: Column) -> Column:
+    return F.slice(items, number * CHUNK + 1, CHUNK)
+
+
+def running(items: Column, made: str, step) -> Column:
+    """What `step` makes of each item and the number that it passes on, starting from 0.
+
+    step(at, item) -> (at of the next item, what is made); made: its type.  An
+    array cannot grow in place, so the results are gathered by chunks: the work is
+    the items' number times CHUNK, not its square.
+    """
+
+    def add(state, item):
+        at, out = step(state["at"], item)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    def whole(xs):
+        def chunk(state, number):
+            part = F.aggregate(_chunk(xs, number), F.struct(state["at"].alias("at"), F.array().cast(f"array<{made}>").alias("out")), add)
+            return _let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+
+        empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{made}>>").alias("out"))
+        return F.aggregate(_chunks(xs), empty, chunk, lambda state: F.flatten(state["out"]))
+
+    return _let(items, whole)
+
+
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost non-overlapping matches, with code point offsets."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     steps = F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("m"), F.coalesce(F.length(p), F.lit(0)).cast("bigint").alias("gap")))
 
-    def add(state, step):
-        start = state["at"] + step["gap"]
+    def place(at, step):
+        start = at + step["gap"]
         end = start + F.length(step["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), step["m"].alias("text")))).alias("out"))
+        return end, F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), step["m"].alias("text"))
 
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.filter(steps, lambda s: s["m"].isNotNull()), empty, add, lambda s: s["out"])
+    return running(F.filter(steps, lambda s: s["m"].isNotNull()), SPAN[6:-1], place)
 
 
 def base_spans(text: Column, low: Column) -> Column:
@@ -104,39 +143,55 @@ def link(parts: DataFrame) -> DataFrame:
     return kept.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
 
 
+SHORT = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
 def _found(df: DataFrame, key: str, text: str) -> DataFrame:
-    """df with base, weak and, where a link is possible, a digest of the text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    found = df.withColumn("base", base_spans(t, low)).withColumn("weak", weak_spans(t, low))
-    return found.withColumn("digest", F.when((F.size("weak") > 0) & (F.size("base") > 0), F.sha2(t, 256)))
+    """row (all columns of df), key, t, base, weak and, where a link is possible, a digest of the text."""
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    found = found.withColumn("base", base_spans(F.col("t"), F.lower("t"))).withColumn("weak", weak_spans(F.col("t"), F.lower("t")))
+    return found.withColumn("digest", F.when((F.size("weak") > 0) & (F.size("base") > 0), F.sha2("t", 256)))
+
 
+def _plain() -> Column:
+    return F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(SHORT)
 
-def _spanned(found: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    short = "array<struct<start:bigint,kind:int,end:bigint>>"
-    linked = link(parts.select(F.col(key).alias("key"), "digest", "base", "weak")).withColumnsRenamed({"key": "_key", "digest": "_digest"})
+
+def _spanned(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """found with base and spans, from the parts (key, digest, base, weak)."""
+    linked = link(parts).withColumnsRenamed({"key": "_key", "digest": "_digest"})
     # Nearly all rows have no digest and find no partner; AQE splits a heavy key of the left side.
-    joined = found.join(linked, F.col(key).eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")), "left")
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(short)
-    out = joined.withColumn("spans", F.array_sort(F.concat(plain, F.coalesce(F.col("linked"), F.array().cast(short)))))
-    return out.withColumn("base", plain).drop("weak", "digest", "_key", "_digest", "linked")
+    joined = found.join(linked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")), "left")
+    out = joined.withColumn("spans", F.array_sort(F.concat(_plain(), F.coalesce(F.col("linked"), F.array().cast(SHORT)))))
+    return out.withColumn("base", _plain()).drop("weak", "digest", "_key", "_digest", "linked")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, base (array of spans) and spans (base and linked ones by start, then kind)."""
-    found = settle(_found(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text"))
-    return _spanned(found, found, "doc_id")
+    found = settle(_found(df, key, text).select("key", "base", "weak", "digest"))
+    return _spanned(found, found).withColumnsRenamed({"key": "doc_id"})
 
 
-def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of df and the columns `base` and `spans`."""
-    found = _found(df, key, text)
-    # Only texts that may hold a link are shuffled; the others pass by, at the price of matching twice.
+def _with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """row, base and spans of all rows.  Only texts that may hold a link are shuffled; the others pass by, at the price of matching twice."""
+    found = _found(df, key, text).drop("t")
     some = found.where("digest is not null")
-    short = "array<struct<start:bigint,kind:int,end:bigint>>"
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(short)
-    rest = found.where("digest is null").withColumn("base", plain).withColumn("spans", F.col("base")).drop("weak", "digest")
-    return rest.unionByName(_spanned(some, some.select(key, "digest", "base", "weak"), key))
+    rest = found.where("digest is null").withColumn("base", _plain()).select("row", "base", F.col("base").alias("spans"))
+    return rest.unionByName(_spanned(some, some.select("key", "digest", "base", "weak")).select("row", "base", "spans"))
+
+
+def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns of df and the columns `base` and `spans`, with underscores behind them where df has such columns."""
+    return _with_spans(df, key, text).select("row.*", F.col("base").alias(fresh(df, "base")), F.col("spans").alias(fresh(df, "spans")))
+
+
+def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """df with the secrets masked in its texts, and the new number of code points in the column `length` where a text changed."""
+    old, spans = F.col("row").getField(text), F.col("spans")
+    new = {text: redact(old, spans)}
+    found = _with_spans(df, key, text).withColumn("text", new[text])
+    cols = {text: F.col("text")} | ({} if length is None else {length: F.when(F.size("spans") > 0, F.length("text").cast(df.schema[length].dataType)).otherwise(F.col("row").getField(length))})
+    return found.select(*[cols.get(c, F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -146,14 +201,27 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with each run of overlapping spans (sorted by start) replaced by the mask."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping spans (sorted by start) replaced by the mask.
+
+    A cut into a string walks through it from the front, so the text is cut into
+    chunks of gaps first and those into gaps.
+    """
+
+    def gap(at, s):
+        return F.greatest(at, s["end"]), F.struct(at.alias("from"), s["start"].alias("to"))
+
+    def cut(t, start, end):
+        return F.substr(t, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def joined(gaps):
+        def part(number):
+            def inside(some):
+                first, last = F.element_at(some, 1)["from"], F.array_max(F.transform(some, lambda g: F.greatest(g["from"], g["to"])))
+                return _let(F.struct(cut(text, first, last).alias("t"), first.alias("at")), lambda c: F.array_join(F.transform(some, lambda g: F.when(g["to"] >= g["from"], F.concat(cut(c["t"], g["from"] - c["at"], g["to"] - c["at"]), F.lit(mask))).otherwise(F.lit(""))), ""))
+
+            return _let(_chunk(gaps, number), inside)
 
-    def step(state, s):
-        fresh = s["start"] >= state["at"]
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.array_join(F.transform(_chunks(gaps), part), "")
 
-    rest = lambda state: F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    rest = cut(text, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(_let(running(spans, "struct<from:bigint,to:bigint>", gap), joined), rest))

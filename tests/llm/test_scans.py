@@ -81,3 +81,27 @@ def test_licence_base_matches_plain_words(spark, documents, edge):
     labels = {r.doc_id: r.labels for r in got}
     assert labels[1003] == "apache-2.0" and labels[1004] == "mit" and "gpl-3.0" in labels[1002] and labels[1005] == ""
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def plain_redaction(t, spans):
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [t[at:a], "[REDACTED]"]
+        at = max(at, b)
+    return "".join([*out, t[at:]])
+
+
+def test_many_spans_and_clashing_columns(spark, edge):
+    """Texts of more spans than a chunk holds, overlapping ones among them, in a table whose columns have the operator's names."""
+    texts = [" ".join(f"é{i} token={i:016x} {i:064x}" if i % 7 else f"password=AKIA{i:016d}" for i in range(n)) for n in (1, 99, 100, 101, 750)] + [None, "", "none"]
+    df = spark.createDataFrame([(i, t, [i], "w", "d", "s", "r", "k", "x") for i, t in enumerate(texts)], "doc_id long, text string, base array<int>, weak string, digest string, spans string, row string, key string, t string")
+    rows = secrets.with_spans(df).collect()
+    assert secrets.with_spans(df).columns == [*df.columns, "base_", "spans_"]
+    masked = {r.doc_id: r for r in secrets.redacted(df).collect()}
+    for r in rows:
+        assert [(s.start, s.kind, s.end) for s in r.base_] == plain_spans(r.text or "")
+        assert masked[r.doc_id].text == (r.text and plain_redaction(r.text, [(s.start, s.end) for s in r.spans_]))
+        assert tuple(masked[r.doc_id])[2:] == ([r.doc_id], "w", "d", "s", "r", "k", "x")
+    assert sorted(str(tuple(r)) for r in secrets.report(secrets.scan(df)).select("doc_id", "n_hex").collect()) == sorted(str((r.doc_id, sum(s.kind == 2 for s in r.base_))) for r in rows)
+    assert secrets.redacted(edge, length="k").columns == edge.columns and secrets.redacted(edge).count() == edge.count()

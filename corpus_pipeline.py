@@ -8,7 +8,6 @@ columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, ngram_join, quality, secrets
 from sparkloom.llm.shared import new_folder, table
@@ -31,10 +30,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; all documents stay."""
-    found = secrets.with_spans(docs)
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    masked = F.size("spans") > 0
-    return found.withColumns({"text": text, "n_chars": F.when(masked, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    return secrets.redacted(docs, length="n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded, so
 punctuation and line breaks do not hide a passage.  Seeds are shared runs of
-SEED words: a text is looked at for an item only if they share one.  For such a
-pair the matches are tiled greedily: longest first, none overlapping, by running
+SEED words.  Every tile is made of seeds, so a text is looked at for an item only
+if the seeds that they share cover COVERAGE of the item's words: an item that
+merely begins like a thousand others costs nothing more.  For such a pair the
+matches are tiled greedily: longest first, none overlapping, by running
 Karp-Rabin over the words that no tile has taken yet, with the window going down
 from the longest possible match to the least.  An item is leaked if its tiles
 cover COVERAGE of its words, in whatever order they stand in the text.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text, each broadcast
-by itself, so what is sent is bounded by a constant and every text meets every
-block.  Texts are never shuffled.
+The benchmark is read in blocks of about BLOCK_BYTES of text, one at a time on
+the driver, each broadcast by itself, so what is held and sent is bounded by a
+constant and every text meets every block.  Texts are never shuffled.
 
 Edge cases: null and empty texts are clean; an item of fewer than SEED words
 matches as a whole; an item without words matches nothing; null item ids are
@@ -40,7 +42,7 @@ APART[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 
 
 class Items:
-    """One block of the benchmark: word hashes by item, and which items hold which seed."""
+    """One block of the benchmark: word hashes by item, and which items hold which seed where."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         raw, rows = utf8(pa.array(texts, pa.string()))
@@ -50,7 +52,7 @@ class Items:
         bounds = np.searchsorted(row, np.arange(len(texts) + 1))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.seeds: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in range(1, SEED + 1):  # short items are seeds of their own length
             mine = np.flatnonzero(np.diff(bounds) == k) if k < SEED else np.flatnonzero(np.diff(bounds) >= SEED)
             if len(mine):
@@ -58,7 +60,8 @@ class Items:
                 r = np.repeat(np.arange(len(mine)), [len(self.words[i]) for i in mine])
                 h, r = shingle_hashes(w, r, len(mine), k)
                 order = np.argsort(h, kind="stable")
-                self.seeds[k] = (h[order], mine[r[order]])
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                self.seeds[k] = (h[order], mine[r[order]], place[order])
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -134,7 +137,7 @@ def leaks(part: pa.RecordBatch, column: int, items: Items) -> list[tuple[int, in
     words = span_hashes(raw, starts, ends)
     bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
     out = []
-    for k, (seed, holder) in items.seeds.items():
+    for k, (seed, holder, place) in items.seeds.items():
         if len(words) < k:
             continue
         h = words[: len(words) - k + 1].copy()
@@ -145,39 +148,48 @@ def leaks(part: pa.RecordBatch, column: int, items: Items) -> list[tuple[int, in
         hit = np.flatnonzero((seed[np.minimum(lo, len(seed) - 1)] == h) & (row[: len(h)] == row[k - 1 :][: len(h)]))
         if not len(hit):
             continue
-        hi = np.searchsorted(seed, h[hit], side="right")
-        count = hi - lo[hit]
-        place = np.repeat(hit, count)
-        item = holder[np.repeat(lo[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        order = np.lexsort((place, item, row[place]))
-        place, item = place[order], item[order]
-        key = row[place] * (len(items.ids) + 1) + item
-        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])), strict=True):
-            i, r = int(item[a]), int(row[place[a]])
-            near = np.unique((place[a:b, None] + np.arange(k)).ravel())  # all words of all seeds
-            found = tiles(items.words[i], _apart(words[bounds[r] : bounds[r + 1]], near - bounds[r]), k)
-            covered = sum(t[2] for t in found) / len(items.words[i])
-            if covered >= COVERAGE:
-                out.append((r, i, covered, len(found), found[0][2]))
+        shared = np.unique(row[hit] * (len(seed) + 1) + lo[hit])  # a seed counts once in a text
+        for r in np.unique(shared // (len(seed) + 1)).tolist():
+            mine = shared[np.searchsorted(shared, r * (len(seed) + 1)) : np.searchsorted(shared, (r + 1) * (len(seed) + 1))] % (len(seed) + 1)
+            for i in _covered(items, seed, holder, place, mine, k):
+                text, window = words[bounds[r] : bounds[r + 1]], h[bounds[r] : bounds[r + 1] - k + 1]
+                near = np.flatnonzero(np.isin(window, shingle_hashes(items.words[i], np.zeros(len(items.words[i]), np.int64), 1, k)[0]))
+                near = np.unique((near[:, None] + np.arange(k)).ravel())  # all words of all seeds
+                found = tiles(items.words[i], _apart(text, near), k)
+                covered = sum(t[2] for t in found) / len(items.words[i])
+                if covered >= COVERAGE:
+                    out.append((r, i, covered, len(found), found[0][2]))
     return out
 
 
+def _covered(items: Items, seed: np.ndarray, holder: np.ndarray, place: np.ndarray, first: np.ndarray, k: int) -> list[int]:
+    """Items of whose words the seeds that begin at `first` in the index cover enough."""
+    count = np.searchsorted(seed, seed[first], side="right") - first
+    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    size = max(map(len, items.words)) + 1
+    key = np.unique(holder[at] * size + place[at])
+    item, place = key // size, key % size
+    fresh = np.full(len(key), k)
+    same = item[1:] == item[:-1]
+    fresh[1:][same] = np.minimum(k, (place[1:] - place[:-1])[same])
+    covered = np.bincount(item, weights=fresh, minlength=len(items.words))
+    return [i for i in np.unique(item).tolist() if covered[i] >= COVERAGE * len(items.words[i])]
+
+
 def _apart(words: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Only the words near seeds; a word that is in no item stands between runs that are apart."""
     gap = np.flatnonzero(np.diff(near) > 1) + 1
     return np.insert(words[near], gap, np.arange(len(gap), dtype=U64))
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str) -> list[Items]:
-    """The benchmark in blocks of bounded size; each is fetched by itself."""
+def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size; each is fetched by itself when it is asked for."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n = int(size // BLOCK_BYTES) + 1
     at = F.pmod(F.xxhash64(item, text), F.lit(n))
-    found = []
     for k in range(n):
         rows = benchmark.where(at == k).select(F.col(item).cast("long"), text).collect()
-        found.append(Items([r[0] for r in rows], [r[1] for r in rows]))
-    return found
+        yield Items([r[0] for r in rows], [r[1] for r in rows])
 
 
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles int, longest int"

@@ -1,9 +1,11 @@
 """Extraction, tokens, leaks and quality."""
 
 import hashlib
+import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import bpe, decontaminate, html_text, quality
@@ -95,6 +97,49 @@ def test_tiles_cover_as_much_as_brute_force():
         assert sum(t[2] for t in got) == brute_tiles(item.tolist(), text.tolist(), 2)
 
 
+def plain_words(text):
+    return [w for w in re.split(r"[^0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+def test_leaks_equal_brute_force(spark):
+    """All pairs of texts and items, tiled by trying every pair of places; items of every length, many with one beginning."""
+    import random
+
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(25)]
+    stock = "which of the following is"
+    items = [" ".join(rnd.choices(vocabulary, k=n)) for n in (1, 2, 3, 4, 5, 6, 9, 14, 20, 30)] + [f"{stock} " + " ".join(rnd.choices(vocabulary, k=rnd.randrange(12))) for _ in range(25)] + [None, "", "!?"]
+    texts = [None, "", "..."]
+    for _ in range(60):
+        parts = []
+        for item in rnd.sample(items[:-3], 3):
+            w = item.split()
+            a = rnd.randrange(len(w))
+            parts += [*w[a:], *rnd.choices(vocabulary, k=rnd.randrange(4)), *(w[:a] if rnd.random() < 0.7 else [])]
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(parts).title() if rnd.random() < 0.2 else " ".join(parts))
+    want = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            words = plain_words(item)
+            if words and brute_tiles(words, plain_words(text), min(decontaminate.SEED, len(words))) >= decontaminate.COVERAGE * len(words):
+                want.append((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in enumerate(texts)], "doc_id long, text string, item_id string, k string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want) and len(want) > 30
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_items_of_one_beginning_cost_little():
+    import time
+
+    items = decontaminate.Items(list(range(2000)), [f"which of the following is the q{i} a{i} b{i} c{i} d{i}" for i in range(2000)])
+    part = pa.RecordBatch.from_pydict({"t": pa.array([" ".join(["which of the following is the word"] * 2000 + [f"x{i}" for i in range(100_000)])])})
+    began = time.process_time()
+    assert decontaminate.leaks(part, 0, items) == [] and time.process_time() - began < 3
+
+
 def test_reordered_and_clean_passages(spark):
     words = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words)), (2, "two words"), (3, None), (None, "a b c d e f g")], "item_id long, text string")

@@ -23,6 +23,32 @@ def test_page_text():
     assert html_text.main_text("plain text & more") == "plain text & more"
 
 
+PROSE = "<p>A sentence with words, marks, and more; it goes on as prose does, for a while.</p>"
+
+
+def test_names_inside_an_article_only_weigh():
+    page = f"<html><body><article><h1>Title</h1>{PROSE * 4}<div class='related-work'>{PROSE}</div><p class='legal'>Some lawful sentence, with marks, as long as others are; it stays.</p><div class='related'><a>More</a></div></article></body></html>"
+    text = html_text.main_text(page)
+    assert text.count("A sentence") == 5 and text.endswith("it stays.")
+
+
+def test_a_menu_that_does_not_say_so():
+    page = f"<html><body><div class='content'><h1>Title</h1>{PROSE * 6}<ul><li><a href=/>Share this</a></li><li><a href=/>Home</a></li><li><a href=/>About</a></li></ul></div></body></html>"
+    text = html_text.main_text(page)
+    assert text.startswith("Title A sentence") and text.endswith("for a while.")
+    assert html_text.main_text(f"<article>{PROSE * 6}<ul><li><a href=/>A source</a></li></ul></article>").endswith("A source")
+
+
+@pytest.mark.parametrize("broken", ["<div>" * 20_000, "<a " * 20_000, "<span>" * 20_000 + "<p>" * 2000, "</b>" * 20_000, "<!--" * 5000, "<script </script " * 5000, "<a '" * 5000, '<a "x<b ' * 5000, "<div><b>" * 10_000 + "</i></div>" * 10_000])
+def test_broken_pages_take_time_in_proportion(broken):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(f"<article>{PROSE}</article>{broken}")
+    assert time.process_time() - began < 2
+    assert html_text.main_text(f"{'<div>' * 5000}{PROSE}{'</div>' * 5000}").startswith("A sentence")
+
+
 def test_pages_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html_text.extract(df).collect()

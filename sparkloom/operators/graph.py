@@ -233,32 +233,38 @@ def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(count("error"), count("warning"), count("info"))
 
 
-def prop_drilling(components: DataFrame, least: int = 3, most: int = 30) -> DataFrame:
-    """Chains (prop, chain) of a prop handed down, by name, from component to child, at least `least` long.
+def prop_drilling(components: DataFrame, least: int = 3) -> DataFrame:
+    """Chains (prop, chain, files) of a prop handed down, by name, from component to child, at least `least` long.
 
     components: name, file_path, props (array of names), children (array of
     names), ord.  Each step goes to the first child, by ord, that has the prop
-    and is not in the chain yet.
+    and is not in the chain yet, so no chain is longer than there are names and
+    the loop ends by itself.
     """
     one = components.groupBy("name").agg(F.min_by(F.struct("file_path", "props", "children"), "ord").alias("v"), F.min("ord").alias("ord")).select("name", "ord", "v.*")
-    owns = one.select("name", F.explode(F.array_distinct("props")).alias("prop"))
-    child = one.select("name", F.posexplode("children").alias("pos", "child")).join(owns.select(F.col("name").alias("child"), "prop"), "child")
-    starts = owns.select("name", "prop", F.array("name").alias("chain"))
-    done, open_ = None, starts
-    for _ in range(most):
-        step = open_.join(child.select("name", "prop", "child", "pos"), ["name", "prop"], "left").withColumn("child", F.when(~F.array_contains("chain", F.col("child")), F.col("child")))
-        best = step.groupBy("name", "prop", "chain").agg(F.min_by("child", F.when(F.col("child").isNotNull(), F.col("pos"))).alias("child"))
-        best = settle(best)
-        ended = best.where("child is null").select("prop", "chain")
+    owns = one.select("name", "file_path", F.explode(F.array_distinct("props")).alias("prop"))
+    child = one.select("name", F.posexplode("children").alias("pos", "child")).join(owns.select(F.col("name").alias("child"), F.col("file_path").alias("file"), "prop"), "child")
+    open_ = owns.select("name", "prop", F.array("name").alias("chain"), F.array("file_path").alias("files"))
+    done = None
+    while True:
+        step = open_.join(child.select("name", "prop", "child", "file", "pos"), ["name", "prop"], "left").withColumn("fresh", ~F.array_contains("chain", F.col("child")))
+        best = settle(step.groupBy("name", "prop", "chain", "files").agg(F.min_by(F.struct("child", "file"), F.when(F.col("fresh"), F.col("pos"))).alias("to")))
+        ended = best.where("to is null").select("prop", "chain", "files")
         done = ended if done is None else done.unionByName(ended)
-        open_ = best.where("child is not null").select(F.col("child").alias("name"), "prop", F.concat("chain", F.array("child")).alias("chain"))
+        open_ = best.where("to is not null").select(F.col("to.child").alias("name"), "prop", F.concat("chain", F.array("to.child")).alias("chain"), F.concat("files", F.array("to.file")).alias("files"))
         if open_.isEmpty():
             break
     return done.where(F.size("chain") >= least)
 
 
+def prop_issues(components: DataFrame, least: int = 3) -> DataFrame:
+    """An issue for each chain of `prop_drilling`."""
+    chains = prop_drilling(components, least)
+    return chains.select(*_issue("prop-drilling", "warning", F.format_string('Prop "%s" drilled through %d levels: %s', "prop", F.size("chain"), F.array_join("chain", " \u2192 ")), F.col("files")))
+
+
 def god_components(components: DataFrame, children: int = 20, hooks: int = 15) -> DataFrame:
     """Components of very many children or hooks."""
-    many = components.where(F.size("children") > children).select(*_issue("god-module", "warning", F.format_string("Component %s renders %d child components", "name", F.size("children")), F.array("file_path")))
-    hooked = components.where(F.size("hooks") > hooks).select(*_issue("high-coupling", "warning", F.format_string("Component %s uses %d hooks", "name", F.size("hooks")), F.array("file_path")))
+    many = components.where(F.size("children") > children).select(*_issue("god-module", "warning", F.format_string('God component "%s" renders %d child components', "name", F.size("children")), F.array("file_path")))
+    hooked = components.where(F.size("hooks") > hooks).select(*_issue("high-coupling", "warning", F.format_string('Component "%s" uses %d hooks (consider splitting)', "name", F.size("hooks")), F.array("file_path")))
     return many.unionByName(hooked)

@@ -48,6 +48,7 @@ def analyze(files: DataFrame, changes: DataFrame | None = None, now: Column | No
     labels = graph.label_nodes(nodes.select("id", "file_path", "label"))
     nodes = nodes.drop("label").join(labels, "id")
     edges = extract.import_edges(files, aliases, go_module)
+    comps = None
     if framework in dims.COMPONENT_FRAMEWORKS:
         comps = extract.components(files)
         edges = edges.unionByName(extract.render_edges(comps))
@@ -65,6 +66,9 @@ def analyze(files: DataFrame, changes: DataFrame | None = None, now: Column | No
         security.issues(sources),
         *[run(nodes, edges) for run in DETECTORS.values()],
     ]
+    if comps is not None and with_issues:
+        named = comps.withColumn("props", F.transform("props", lambda p: p["name"]))
+        detectors += [graph.prop_issues(named), graph.god_components(comps)]
     spots = couplings = None
     if changes is not None:
         now = F.current_timestamp() if now is None else now
@@ -87,7 +91,7 @@ def analyze_tree(spark: SparkSession, root: str, changes: DataFrame | None = Non
     """Scans a tree and analyses it; a root without source files is an error."""
     tree = project.read_tree(spark, root, focus)
     names = [m for _, _, ms in dims.LANGUAGES for m in ms] + ["tsconfig.app.json", "jsconfig.json", "AndroidManifest.xml", "app/build.gradle", "app/build.gradle.kts"]
-    small = tree.where((F.col("path").isin(*names) | F.col("path").endswith(".csproj")) & (F.col("n_bytes") < 1_000_000)).limit(200)
+    small = tree.where((F.col("path").isin(*names) | F.col("path").endswith(".csproj")) & (F.col("n_bytes") < 1_000_000))  # a few names at the root, and project files
     manifests = {r.path: bytes(r.content).decode("utf-8", "replace") for r in small.collect()}
     files = project.scan(tree, depth).cache()
     if files.isEmpty():

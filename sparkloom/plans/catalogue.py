@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from sparkloom.functions import dims, rules, text
 from sparkloom.operators import enrich, extract, graph, graph_metrics, history, layout, security
+from sparkloom.plans import project_queries
 from sparkloom.plans.roles import COMMITS_SQL, PARTS_SQL, TRADE_SQL, commits, parts, successions, successions_sql, table, trade
 from sparkloom.streaming import windows
 
@@ -570,6 +571,10 @@ def dedup_events(spark, sf):
     return windows.without_repeats(_events(spark, sf)).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
+QUERIES.update(project_queries.QUERIES)
+SQL.update(project_queries.SQL)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

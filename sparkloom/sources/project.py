@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sparkloom.functions import dims
 from sparkloom.functions.text import basename, directory, language_of, posix
 from sparkloom.operators.extract import Aliases
+from sparkloom.operators.iterate import settle
 
 
 def ignored(path: Column) -> Column:
@@ -59,23 +60,50 @@ def read_tree(spark: SparkSession, root: str, focus: str | None = None, most_byt
     return out if most_bytes is None else out.where(F.col("n_bytes") <= most_bytes)
 
 
+#: Extensions that a scan falls back to where no language is found.
+SCRIPTS = r"(?i)\.(ts|tsx|js|jsx)$"
+
+
+def numbered(paths: DataFrame) -> DataFrame:
+    """(path, ord): the place of each distinct path in path order, without one task that holds them all.
+
+    Ranges of paths are numbered apart and shifted by how many stand before them;
+    as many numbers as there are ranges come to the driver.
+    """
+    from pyspark.sql import Window as W
+
+    ranged = paths.select("path").distinct().repartitionByRange("path").withColumn("range", F.spark_partition_id())
+    ranged = settle(ranged)
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("range").count().collect())
+    before, shifts = 0, []
+    for number, n in counts:
+        shifts.append((number, before))
+        before += n
+    shift = paths.sparkSession.createDataFrame(shifts, "range int, before long")
+    place = F.row_number().over(W.partitionBy("range").orderBy("path")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(shift), "range").select("path", (F.col("before") + F.col("place")).cast("long").alias("ord"))
+
+
 def scan(files: DataFrame, depth: int | None = None, exact_depth: bool = False, ignore_text: str | None = None) -> DataFrame:
     """Source files (path, text, language, ord) of a tree from `read_tree`, in path order.
 
     depth keeps files at most so many directories deep, or exactly so many.
-    Where no file has a known language nothing is left but script files, so none.
+    Where no file has a known language and no manifest names one, script files by
+    extension are what is left.
     """
-    from pyspark.sql import Window as W
-
     p = F.col("path")
-    some = files.where(language_of(p).isNotNull() & ~ignored(p))
+    known = language_of(p)
+    if files.where(known.isNotNull()).isEmpty():
+        known = F.when(p.rlike(SCRIPTS), "javascript")
+    some = files.where(known.isNotNull() & ~ignored(p))
     if ignore_text:
         some = some.where(~ignored_by(p, ignore_patterns(ignore_text)))
     if depth is not None:
         deep = F.size(F.split(p, "/")) - 1
         some = some.where(deep == depth if exact_depth else deep <= depth)
     text = F.decode(F.col("content"), "UTF-8")
-    return some.select("path", text.alias("text"), language_of(p).alias("language"), (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("ord"))
+    # Only paths are numbered; texts stay where they are read.
+    return some.select("path", text.alias("text"), known.alias("language")).join(numbered(some), "path")
 
 
 def languages(files: DataFrame) -> DataFrame:
@@ -192,7 +220,7 @@ def parse_log(log: DataFrame) -> DataFrame:
     """
     lines = F.split("value", "\n", -1)
     head = F.split(F.get(lines, 0), r"\|\|\|", 3)
-    paths = F.filter(F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.trim(x)), lambda x: x != "")
+    paths = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x != "")
     return log.where(F.col("value").contains("|||")).select(F.get(head, 0).alias("commit_id"), F.get(head, 1).alias("author"), F.to_timestamp(F.get(head, 2)).alias("ts"), F.explode(paths).alias("path")).withColumn("path", posix(F.regexp_replace("path", '^"(.*)"$', "$1")))
 
 
@@ -242,8 +270,12 @@ def save_state(state: DataFrame, folder: str) -> None:
     state.withColumn("version", F.lit(1)).write.mode("overwrite").json(new)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(hadoop(folder), True)
+    old = f"{folder}.old"
+    files.delete(hadoop(old), True)
+    if files.exists(hadoop(folder)):
+        files.rename(hadoop(folder), hadoop(old))  # at no time is there neither the old state nor the new one
     files.rename(hadoop(new), hadoop(folder))
+    files.delete(hadoop(old), True)
 
 
 def next_state(previous: DataFrame | None, current: DataFrame, now: Column) -> DataFrame:

@@ -233,7 +233,7 @@ def routes(places: DataFrame, edges: DataFrame) -> DataFrame:
 def zones(tiles: DataFrame, anchors: DataFrame) -> DataFrame:
     """(x, y, biome) of each tile: the anchor (biome, ax, ay, weight) of most influence; anchors are one per biome."""
     pull = F.col("weight") / (1 + F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2))
-    return tiles.crossJoin(F.broadcast(anchors.limit(16))).groupBy("x", "y").agg(F.max_by("biome", F.struct(pull.alias("p"), "biome")).alias("biome"))
+    return tiles.crossJoin(F.broadcast(anchors)).groupBy("x", "y").agg(F.max_by("biome", F.struct(pull.alias("p"), "biome")).alias("biome"))
 
 
 def hit_test(rects: DataFrame, x: float, y: float) -> DataFrame:

@@ -37,6 +37,7 @@ def _tagged(specifiers: Column, kind: str) -> Column:
 
 def specifiers(language: str, text: Column) -> Column:
     """Array of (kind, spec) of the imports in a source."""
+    # The patterns of import statements by language.
     if language in ("javascript", "typescript"):
         found = [("script", r"""(?:import|export)\s+(?:[\s\S]*?\s+from\s+)?["']([^"']+)["']"""), ("script", r"""require\s*\(\s*["']([^"']+)["']\s*\)"""), ("script", r"""import\s*\(\s*["']([^"']+)["']\s*\)""")]
     elif language == "python":

@@ -318,13 +318,16 @@ def _rank_sql(rounds: int) -> str:
         steps.append(
             f"r{k + 1} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE id NOT IN (SELECT source FROM edges)) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(sum(r.rank / d.o), 0) AS rank FROM nodes n LEFT JOIN edges e ON e.target = n.id LEFT JOIN r{k} r ON r.id = e.source LEFT JOIN outs d ON d.source = e.source GROUP BY n.id)"
         )
-    return f"WITH {TRADE_SQL}, outs AS (SELECT source, count(*) AS o FROM edges GROUP BY source), {', '.join(steps)} SELECT id, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS rank FROM r{rounds}"
+    changes = " UNION ALL ".join(f"SELECT {k + 1} AS k, (SELECT sum(abs(a.rank - b.rank)) FROM r{k + 1} a JOIN r{k} b USING (id)) AS change" for k in range(rounds))
+    every = " UNION ALL ".join(f"SELECT {k + 1} AS k, id, rank FROM r{k + 1}" for k in range(rounds))
+    return f"WITH {TRADE_SQL}, outs AS (SELECT source, count(*) AS o FROM edges GROUP BY source), {', '.join(steps)}, last AS (SELECT min(k) AS k FROM ({changes}) WHERE change < 1e-6 OR k = {rounds}) SELECT id, round(rank / max(rank) OVER (), 6) AS rank FROM ({every}) JOIN last USING (k)"
 
 
-@query(_rank_sql(8))
+@query(_rank_sql(30))
 def pagerank(spark, sf):
+    """The operator's own bound and tolerance; the SQL is unrolled to thirty rounds and takes the first after which ranks change too little."""
     nodes, edges = trade(spark, sf)
-    return graph_metrics.pagerank(nodes, edges, most=8, tolerance=0.0).withColumn("rank", F.round("rank", 6))
+    return graph_metrics.pagerank(nodes, edges).withColumn("rank", F.round("rank", 6))
 
 
 def _next_supplier(spark, sf):
@@ -365,12 +368,31 @@ def dependency_layers(spark, sf):
     return graph_metrics.dependency_layers(nodes, edges)
 
 
+@query(f"WITH RECURSIVE {NEXT}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), reach(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM reach JOIN edges ON b = source), ring AS (SELECT a AS id FROM reach WHERE a = b), walk(id, at, d) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT id, target, d + 1 FROM walk JOIN edges ON at = source WHERE at NOT IN (SELECT id FROM ring)) SELECT id, CAST(max(d) AS INT) AS layer FROM walk GROUP BY id")
+def dependency_layers_cyclic(spark, sf):
+    """Every path of this graph ends in a cycle, whose members share the lowest layer."""
+    edges = _next_supplier(spark, sf)
+    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    return graph_metrics.dependency_layers(nodes, edges).select("id", "layer")
+
+
 @query(f"WITH {TRADE_SQL}, u AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), w AS (WITH RECURSIVE walk(a, b) AS (SELECT id, id FROM nodes UNION SELECT a, target FROM walk JOIN u ON b = source) SELECT a AS id, min(b) AS component FROM walk GROUP BY a) SELECT * FROM w")
 def weak_components(spark, sf):
     return graph_metrics.components(*trade(spark, sf))
 
 
-@query()
+def _between_sql(levels: int) -> str:
+    """Numbers of shortest paths, level by level, and of those through each node."""
+    steps = ["l0 AS (SELECT id AS s, id AS t, 0 AS d, CAST(1 AS DOUBLE) AS paths FROM nodes)"]
+    for k in range(1, levels + 1):
+        before = " UNION ALL ".join(f"SELECT s, t FROM l{j}" for j in range(k))
+        steps.append(f"l{k} AS MATERIALIZED (SELECT s, target AS t, {k} AS d, sum(paths) AS paths FROM l{k - 1} JOIN edges ON t = source WHERE (s, target) NOT IN ({before}) GROUP BY s, target)")
+    every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(levels + 1))
+    through = "SELECT a.t AS id, sum(a.paths * b.paths / c.paths) AS b FROM far a JOIN far b ON a.t = b.s JOIN far c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.t"
+    return f"WITH {TRADE_SQL}, {', '.join(steps)}, far AS MATERIALIZED ({every}), through AS ({through}) SELECT id, round(coalesce(b, 0) / (SELECT max(b) FROM through), 6) AS betweenness FROM nodes LEFT JOIN through USING (id)"
+
+
+@query(_between_sql(12))
 def betweenness(spark, sf):
     return graph_metrics.betweenness(*trade(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 

@@ -368,9 +368,9 @@ def dependency_layers(spark, sf):
     return graph_metrics.dependency_layers(nodes, edges)
 
 
-@query(f"WITH RECURSIVE {NEXT}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), reach(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM reach JOIN edges ON b = source), ring AS (SELECT a AS id FROM reach WHERE a = b), walk(id, x, d) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT id, target, d + 1 FROM walk JOIN edges ON x = source WHERE x NOT IN (SELECT id FROM ring)) SELECT id, CAST(max(d) AS INT) AS layer FROM walk GROUP BY id")
+@query(f"WITH RECURSIVE {NEXT}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), reach(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM reach JOIN edges ON b = source), ring AS (SELECT a AS id FROM reach WHERE a = b), walk(id, x, d) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT id, target, d + 1 FROM walk JOIN edges ON x = source WHERE x NOT IN (SELECT id FROM ring)) SELECT id, CAST(max(d) + 1 AS INT) AS layer FROM walk GROUP BY id")
 def dependency_layers_cyclic(spark, sf):
-    """Every path of this graph ends in a cycle, whose members share the lowest layer."""
+    """Every path of this graph ends in a cycle; a cycle counts as one step, so its members share layer 1."""
     edges = _next_supplier(spark, sf)
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return graph_metrics.dependency_layers(nodes, edges).select("id", "layer")

@@ -1,13 +1,15 @@
 """Licence scans by a positional index of rare words, in DataFrame functions only.
 
-Templates are short licence notices with a label and mandatory key phrases.
-Their words with the highest inverse document frequency over the templates are
-the index: word -> (template, position).  In a text, only words of that index
-count; each gives, per posting, a relative position (place in the text less
-place in the template).  Postings of one template that agree on it, give or take
-a few words, support one placement.  A placement with enough support is accepted
-if every key phrase of its template stands in the text.  The index is a literal
-of a few hundred rows, whatever the data, so it is broadcast.
+Templates are licence notices and whole short licences with a label and mandatory
+key phrases.  In how many texts each of their words stands is counted over the
+whole table; the words of highest inverse document frequency of each template are
+the index: word -> (template, position).  In a file, the LOOKUP index words of
+highest inverse document frequency are looked up; each place gives, per posting, a
+relative position (place in the file less place in the template).  Postings of
+one template that agree on it, give or take a few words, support one placement.
+A placement with enough support is accepted if every key phrase of its template
+stands in the file.  Counts and index have a row for each template word at most,
+whatever the data; they go to the driver and are broadcast.
 
 Base phrases (cc by, general public license, all rights reserved) are counted in
 every text by pattern on the raw text; word numbers are looked for only in texts
@@ -15,16 +17,15 @@ that have one.  Case is ASCII case: only A-Z are folded.
 
 Edge cases: a null or empty text has no words, no labels and score 0; equal
 texts get equal results; nulls and repeats in the key do not matter, since
-results are joined back by a digest of the text; an empty table gives no rows.
+results are joined back by a digest of the text; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import operator
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from .shared import settle
 
 # What a word is, on raw text, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+FOLDED, CAPITALS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -56,25 +58,37 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0.", ["cc by sa"]),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike International License", ["creative commons attribution sharealike"]),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial International License", ["creative commons attribution noncommercial"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ["permission is hereby granted", "substantial portions of the software"]),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["redistributions of source code must retain"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", ["with or without fee is hereby granted", "author disclaims all warranties"]),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented", ["the origin of this software must not be misrepresented"]),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ["specific language governing permissions"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", ["distributed in the hope that it will be useful", "gnu general public license"]),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential", ["strictly prohibited"]),
 ]
-#: Index words of each template, slack of a relative position in words, and least share of index words in agreement.
-RARE, SLACK, SUPPORT = 6, 3, 0.6
+#: Index words of each template, words looked up for a file, slack of a relative position in words, and least share of index words in agreement.
+RARE, LOOKUP, SLACK, SUPPORT = 6, 48, 3, 0.6
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
-def index_rows() -> list[tuple[str, int, int, int]]:
-    """(word, template, position, index words of the template): the RARE words of highest IDF, ties by place."""
-    all_words = [words_of(t) for _, t, _ in TEMPLATES]
-    holders = Counter(w for ws in all_words for w in set(ws))
+def postings() -> list[tuple[str, int, int]]:
+    """(word, template, position of its first place) of all template words."""
+    out = []
+    for n, (_, text, _) in enumerate(TEMPLATES):
+        ws = words_of(text)
+        out += [(w, n, i) for w, i in {w: i for i, w in reversed(list(enumerate(ws)))}.items()]
+    return sorted(out, key=lambda p: (p[1], p[2]))
+
+
+def index_rows(holders: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """(word, template, position, index words of the template): the RARE words in the fewest texts, ties by place."""
     rows = []
-    for n, ws in enumerate(all_words):
-        first = {w: i for i, w in reversed(list(enumerate(ws)))}
-        rare = sorted(first, key=lambda w: (-math.log(len(all_words) / holders[w]), first[w]))[:RARE]
-        rows += [(w, n, first[w], len(rare)) for w in rare]
+    for n in range(len(TEMPLATES)):
+        mine = sorted((p for p in postings() if p[1] == n), key=lambda p: (holders.get(p[0], 0), p[2]))[:RARE]
+        rows += [(*p, len(mine)) for p in mine]
     return rows
 
 
@@ -84,11 +98,6 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<!{WORD[:-1]}){words}(?!{WORD[:-1]})"
 
 
-def _words(text: Column) -> Column:
-    folded = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return folded
-
-
 def _starts(words: Column, phrase: str) -> Column:
     """Numbers of the words at which the phrase stands."""
     parts = phrase.split()
@@ -101,31 +110,30 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = index_rows()
     phrases = list(BASE)
-    # Nearly every text needs only its number of words: plain substring tests go before all patterns.
+    # Nearly every text needs its words only to be counted: plain substring tests go before all patterns.
     low = F.lower(t)
     lookup = lambda marks: functools.reduce(operator.or_, [low.contains(m) for m in marks])
     has_base = lookup(["cc", "general", "reserved"]) & functools.reduce(operator.or_, [t.rlike(phrase_pattern(p)) for p in phrases])
-    rarest = sorted({w for w, *_ in rows})
     maybe = lookup(sorted({max((w for k in ks for w in k.split()), key=len) for *_, ks in TEMPLATES}))
     none = F.array().cast("array<string>")
-    one = df.select(F.col(key).alias("doc_id"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"), has_base.alias("has_base"), maybe.alias("maybe"), t.alias("t"))
-    one = one.withColumn("words", F.when(F.col("has_base") | F.col("maybe"), _words(F.col("t"))).otherwise(none))
+    words = F.regexp_extract_all(F.translate(t, CAPITALS, CAPITALS.lower()), F.lit(FOLDED), F.lit(0))
+    one = df.select(F.col(key).alias("doc_id"), has_base.alias("has_base"), maybe.alias("maybe"), t.alias("t"), words.alias("words")).withColumn("n_words", F.size("words").cast("long"))
     for n, p in enumerate(phrases):
         one = one.withColumn(f"at{n}", F.when(F.col("has_base"), _starts(F.col("words"), p)).otherwise(F.array().cast("array<bigint>")))
     keys = sorted({k for *_, ks in TEMPLATES for k in ks})
     inside = F.array_compact(F.array(*[F.when(F.col("t").rlike(phrase_pattern(k)), F.lit(i)) for i, k in enumerate(keys)]))
-    vocabulary = F.array(*map(F.lit, rarest))
-    seen = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocabulary, x["word"]))
-    one = one.withColumn("seen", F.when(F.col("maybe"), seen).otherwise(F.array().cast("array<struct<word:string,at:int>>"))).withColumn("keys", F.when(F.col("maybe"), inside).otherwise(F.array().cast("array<int>")))
-    one = one.withColumn("digest", F.when(F.size("keys") > 0, F.sha2("t", 256))).drop("t", "words", "has_base", "maybe")
+    vocabulary = F.array(*[F.lit(w) for w in sorted({p[0] for p in postings()})])
+    one = one.withColumn("present", F.array_intersect(vocabulary, F.col("words"))).withColumn("keys", F.when(F.col("maybe"), inside).otherwise(F.array().cast("array<int>")))
+    some = F.size("keys") > 0
+    one = one.withColumn("digest", F.when(some, F.sha2("t", 256))).withColumn("words", F.when(some, F.col("words")).otherwise(none)).drop("t", "has_base", "maybe")
     one = settle(one)
-    best = _placements(spark, one, rows, keys)
+    holders = {r[0]: r[1] for r in one.select(F.explode("present").alias("word")).groupBy("word").count().collect()}  # words of templates only
+    best = _placements(spark, one, index_rows(holders), holders, keys)
     starts = F.concat(*[F.col(f"at{n}") for n in range(len(phrases))])
     based = F.array_compact(F.array(*[F.when(F.size(f"at{n}") > 0, F.lit(BASE[p])) for n, p in enumerate(phrases)]))
     # A row without a digest has no partner; its own key spreads such rows over the tasks.
-    spread = one.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.col("doc_id").cast("string"))))
+    spread = one.drop("words", "present").withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.col("doc_id").cast("string"))))
     joined = spread.join(best, "digest", "left").withColumn("starts", starts).withColumn("based", based)
     labels = F.array_sort(F.array_distinct(F.concat("based", F.coalesce("found", none))))
     return joined.select(
@@ -140,13 +148,16 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def _placements(spark: SparkSession, one: DataFrame, rows: list, keys: list[str]) -> DataFrame:
+def _placements(spark: SparkSession, one: DataFrame, rows: list, holders: dict[str, int], keys: list[str]) -> DataFrame:
     """(digest, found, score): accepted templates' labels and the best share of index words in agreement."""
     index = spark.createDataFrame(rows, "word string, template int, position int, of int")
     needs = [(n, label, [keys.index(k) for k in ks]) for n, (label, _, ks) in enumerate(TEMPLATES)]
     need = spark.createDataFrame(needs, "template int, label string, need array<int>")
-    texts = one.where("digest is not null").select("digest", "seen", "keys").dropDuplicates(["digest"])
-    hits = texts.select("digest", "keys", F.explode("seen").alias("s")).select("digest", "keys", "s.*").join(F.broadcast(index), "word")
+    texts = one.where("digest is not null").select("digest", "words", "keys").dropDuplicates(["digest"])
+    ranked = sorted({r[0] for r in rows}, key=lambda w: (holders.get(w, 0), w))  # highest inverse document frequency first
+    texts = texts.withColumn("mine", F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), F.col("words")), 1, LOOKUP))
+    seen = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("mine", x["word"]))
+    hits = texts.select("digest", "keys", F.explode(seen).alias("s")).select("digest", "keys", "s.*").join(F.broadcast(index), "word")
     # A placement counts in its own band of relative positions and the next, so near ones meet in at least one.
     band = F.explode(F.array(F.floor((F.col("at") - F.col("position")) / SLACK), F.floor((F.col("at") - F.col("position")) / SLACK) + 1))
     support = hits.withColumn("band", band).groupBy("digest", "template", "band").agg((F.size(F.collect_set("word")) / F.first("of")).alias("share"), F.first("keys").alias("keys"))

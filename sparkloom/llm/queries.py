@@ -90,10 +90,14 @@ def _phrase_at(phrase: str) -> str:
 LICENCE_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
  b AS MATERIALIZED (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line, {", ".join(f"{_phrase_at(p)} AS at{n}" for n, p in enumerate(licences.BASE))} FROM d),
- idx(word, template, position, total) AS (VALUES {_rows_sql(licences.index_rows())}),
+ posting(word, template, position) AS (VALUES {_rows_sql(licences.postings())}),
  need(template, label, phrase) AS (VALUES {_rows_sql([(n, label, k) for n, (label, _, ks) in enumerate(licences.TEMPLATES) for k in ks])}),
  w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
- hit AS (SELECT doc_id, template, word, total, unnest([floor((i - position) / {licences.SLACK}), floor((i - position) / {licences.SLACK}) + 1]) AS band FROM w JOIN idx USING (word)),
+ holders AS MATERIALIZED (SELECT word, count(DISTINCT doc_id) AS k FROM w WHERE word IN (SELECT word FROM posting) GROUP BY word),
+ chosen AS (SELECT word, template, position, coalesce(k, 0) AS k, row_number() OVER (PARTITION BY template ORDER BY coalesce(k, 0), position) AS place FROM posting LEFT JOIN holders USING (word)),
+ idx AS MATERIALIZED (SELECT word, template, position, k, count(*) OVER (PARTITION BY template) AS total FROM chosen WHERE place <= {licences.RARE}),
+ mine AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY k, word) AS place FROM (SELECT DISTINCT doc_id, word, k FROM w JOIN (SELECT DISTINCT word, k FROM idx) USING (word))) WHERE place <= {licences.LOOKUP}),
+ hit AS (SELECT doc_id, template, word, total, unnest([floor((i - position) / {licences.SLACK}), floor((i - position) / {licences.SLACK}) + 1]) AS band FROM w JOIN mine USING (doc_id, word) JOIN idx USING (word)),
  placed AS (SELECT doc_id, template, max(share) AS share FROM (SELECT doc_id, template, band, count(DISTINCT word) / max(total) AS share FROM hit GROUP BY ALL) WHERE share >= {licences.SUPPORT} GROUP BY ALL),
  good AS (SELECT doc_id, share, max(label) AS label FROM placed JOIN need USING (template) JOIN b USING (doc_id) GROUP BY doc_id, template, share HAVING bool_and(contains(line, ' ' || phrase || ' '))),
  per AS (SELECT doc_id, list(DISTINCT label) AS found, round(max(share), 6) AS score FROM good GROUP BY doc_id),

@@ -46,14 +46,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary file with its matcher, pair table and offset table."""
+    """A byte-level BPE vocabulary (the bytes of its file) with its matcher, pair table and offset table."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(data)
         letters = byte_letters()
         ids: dict[str, int] = spec["model"]["vocab"]
         tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items()}
@@ -196,13 +195,19 @@ class _Pieces(dict):
 _LOADED: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, once per Python worker."""
-    if path not in _LOADED:
+def vocabulary(data: bytes) -> Vocabulary:
+    """The vocabulary of a file's bytes, once per Python worker."""
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[path] = Vocabulary(path)
+        _LOADED[name] = Vocabulary(data)
     HELD["bpe"] = _LOADED.clear
-    return _LOADED[path]
+    return _LOADED[name]
+
+
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def default_path() -> str:
@@ -216,11 +221,12 @@ SCHEMA = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per row: key, number of tokens, digests of the ids and of the decoded text, and the ids themselves if asked for."""
-    path = path or default_path()
+    # The driver reads the file, a few MB whatever the data; executors need not have it.
+    sent = df.sparkSession.sparkContext.broadcast(read_file(path or default_path()))
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(sent.value)
         for batch in batches:
             for part in slices(batch, "t", owner="bpe"):
                 coded = [vocab.encode(t or "") for t in part.column(1).to_pylist()]

@@ -3,8 +3,9 @@
 Overlapping heuristic labellers vote junk, good or nothing on each text.  How
 often each pattern of votes occurs is counted over the whole table; there are at
 most 3 ** labellers patterns, so the counts fit the driver.  Expectation
-maximisation over the patterns estimates the share of good texts and each
-labeller's accuracy; with them every pattern has a posterior.  A linear scorer over hashed features (word shapes, pairs of shapes,
+maximisation over the patterns estimates each labeller's accuracy, within bounds,
+and with them every pattern has a posterior; the share of good texts comes out
+too, but classes count as equally likely (see `estimate`).  A linear scorer over hashed features (word shapes, pairs of shapes,
 binned statistics) is then trained on the posteriors of a sample of at most
 SAMPLE rows, drawn by hash of the row, and scores every text.
 
@@ -257,7 +258,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
     rows = df.count()
     drawn = F.xxhash64(F.col(key), F.col(text))
     share_of = min(1.0, 1.3 * sample / max(rows, 1))
-    chosen = df.select(drawn.alias("h"), F.col(text).alias("t")).where((F.col("h") <= int(-(2**63) + share_of * (2**64 - 1))) & F.col("t").isNotNull()) if share_of < 1 else df.select(drawn.alias("h"), F.col(text).alias("t"))
+    chosen = texts(df).select(drawn.alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    if share_of < 1:
+        chosen = chosen.where(F.col("h") <= int(-(2**63) + share_of * (2**64 - 1)))
     got = chosen.mapInArrow(describe, "h long, code long, bucket array<int>, value array<float>").orderBy("h", "code").limit(sample).toArrow()
     if not got.num_rows or not len(codes):
         return Model(codes, posterior, share, accuracy, np.zeros(BUCKETS, np.float32), 0.0)

@@ -27,6 +27,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{base if ':' in base else 'file://' + base}/{kind}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that is no longer read, on any file system that Spark writes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a narrow table in one file of the shared folder.
 FILE_ROWS = 200_000
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, texts
+from .shared import drop_folder, new_folder, texts
 from .textbatch import U64, mix, slices, span_hashes, utf8
 
 SPAN, GRAM = 200, 32
@@ -349,6 +349,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT
     repeated = bit_map(anchors.select("anchor"), anchors.count())
     hottest = anchors.where(F.col("n") > hot)
     many = bit_map(hottest.select("anchor"), hottest.count())
+    drop_folder(spark, folder)
     maps = spark.sparkContext.broadcast((none if repeated is None else repeated, many))
     windows = repeats(pieces(docs, maps))
     found = places(docs, maps).join(windows, ["anchor", "fh"]).groupBy("k", "th", "tl").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))

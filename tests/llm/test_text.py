@@ -83,7 +83,7 @@ def test_bpe_on_random_texts(library):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    vocabulary = bpe.vocabulary(bpe.default_path())
+    vocabulary = bpe.vocabulary(bpe.read_file(bpe.default_path()))
     pieces = st.lists(st.sampled_from(["the", " ", "\n", "  ", "ing", "é", "漢", "🎉", "1", "'s", "<|endoftext|>", ".", "Ab", "\t", "aaaa", "zq"]), max_size=30).map("".join)
 
     @settings(max_examples=300, deadline=None)
@@ -180,6 +180,71 @@ def test_reordered_and_clean_passages(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def plain_stats(text):
+    """The eight statistics of a text, word by word."""
+    words = re.findall(rb"[^ \t-\r]+", (text or "").encode())
+    n = max(len(words), 1)
+    lines = [x for x in re.split(rb"[\n\r]+", (text or "").encode()) if x]
+    windows = [words[min(k, max(len(words) - 3000, 0)) :][:3000] for k in range(0, len(words), 3000)]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    small = lambda w: sum(97 <= b < 123 or b >= 128 for b in w)
+    caps = lambda w: sum(65 <= b < 91 for b in w)
+    return [
+        sum(any(chr(b) in "#$%&*|{}<>~^\\=_@`" for b in w) for w in words) / n,
+        sum(caps(w) >= 2 and small(w) == 0 for w in words) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        np.mean([len(set(w)) / len(w) for w in windows]) if windows else 0,
+        1 - len(set(lines)) / max(len(lines), 1),
+        sum(b in b".!?" for w in words for b in w) / n,
+        sum(small(w) + caps(w) for w in words) / max(sum(map(len, words)), 1),
+        1 - len(set(triples)) / max(len(triples), 1),
+    ]
+
+
+def test_quality_statistics_equal_plain_ones(documents):
+    texts = [r.text for r in documents.limit(60).collect()] + ["a a a b", "AB CD x!", "one\none\ntwo", "x" * 500, "#a $b c", "é漢 é漢 é漢"]
+    got = quality.Slice(pa.array(texts)).stats[:8].T
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_stats(text)), text
+
+
+def test_expectation_maximisation_equals_a_plain_one():
+    """Row by row instead of by pattern."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, len(quality.NAMES))) < 0.5, 0, np.where(rng.random((400, len(quality.NAMES))) < 0.85, truth[:, None] + 1, 2 - truth[:, None]))
+    codes = (votes * 3 ** np.arange(len(quality.NAMES))).sum(1)
+    patterns, counts = np.unique(codes, return_counts=True)
+    got, share, accuracy = quality.estimate(patterns, counts.astype(float))
+    p = [0.05 if 1 in v else 0.95 for v in votes.tolist()]
+    for _ in range(quality.ROUNDS):
+        acc = []
+        for k in range(len(quality.NAMES)):
+            right = sum(x if v[k] == 2 else 1 - x for x, v in zip(p, votes.tolist(), strict=True) if v[k])
+            acc.append(min(max((right + 2) / (sum(v[k] > 0 for v in votes.tolist()) + 3), 0.55), 0.98))
+        before = sum(p) / len(p)
+        p = [1 / (1 + np.exp(-sum((1 if x == 2 else -1) * np.log(a / (1 - a)) for x, a in zip(v, acc, strict=True) if x))) for v in votes.tolist()]
+    assert np.allclose(got[np.searchsorted(patterns, codes)], p) and np.allclose(accuracy, acc) and abs(share - before) < 1e-9
+    assert ((np.array(p) > 0.5) == truth).mean() > 0.95
+
+
+def test_the_scorer_equals_a_dense_one(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 12)
+    rng = np.random.default_rng(6)
+    x, y = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4), rng.random(30)
+    row, bucket = np.nonzero(x)
+    weights, bias = quality.train(row, bucket, x[row, bucket], y)
+    w, b, seen, seen_b = np.zeros(12), 0.0, np.full(12, 1e-8), 1e-8
+    for _ in range(quality.STEPS):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        slope = x.T @ error / 30 + 1e-6 * w
+        seen += slope**2
+        w -= 0.5 * slope / np.sqrt(seen)
+        seen_b += error.mean() ** 2
+        b -= 0.5 * error.mean() / np.sqrt(seen_b)
+    assert np.allclose(weights, w, atol=1e-4) and abs(bias - b) < 1e-6
+
+
 def test_quality_on_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs).join(labels, "doc_id").select("quality", "keep").collect()

@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs.  All but the last return the
-columns of `documents`.
+columns of `documents`, and further ones that a table has, whatever their names.
+
+Edge cases: rows whose text is null, empty or blank are rejected by the first
+stage; later stages alone let them pass.  Equal rows are copies of each other, so
+one of them stays.  A row without an id is never a copy's representative and
+stays; rows of one id and different texts are told apart by their texts.  An
+empty table gives no rows, from every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, decontaminate, ngram_join, quality, secrets
-from sparkloom.llm.shared import new_folder, table
+from sparkloom.llm.shared import drop_folder, new_folder, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +52,18 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL cannot express the trained classifier; tests compare run() with the operators' brute-force versions.
+#: SQL cannot express the trained classifier; tests compare each stage with a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
+    folder, before = new_folder(spark, "pipeline"), None
     for n, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{n}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            drop_folder(spark, before)
+        before = out
     return docs

@@ -127,7 +127,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     one = one.withColumn("present", F.array_intersect(vocabulary, F.col("words"))).withColumn("keys", F.when(F.col("maybe"), inside).otherwise(F.array().cast("array<int>")))
     some = F.size("keys") > 0
     one = one.withColumn("digest", F.when(some, F.sha2("t", 256))).withColumn("words", F.when(some, F.col("words")).otherwise(none)).drop("t", "has_base", "maybe")
-    one = settle(one)
+    one = settle(one, df.count(), wide=True)
     holders = {r[0]: r[1] for r in one.select(F.explode("present").alias("word")).groupBy("word").count().collect()}  # words of templates only
     best = _placements(spark, one, index_rows(holders), holders, keys)
     starts = F.concat(*[F.col(f"at{n}") for n in range(len(phrases))])

@@ -43,15 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import fresh, settle, texts
+from .shared import compact, few, fresh, settle, texts
 from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, PERCENT = 3, 90
 #: Buckets of the sketch, dealt in rows of ROW bytes; least and most bits of the map of wanted rows.
 BUCKETS, ROW, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 16, 1 << 20, 1 << 29
-#: Min-wise keys of a class, 64-bit words of its parity map, members of a block, rows and pairs that a task looks at together, keys that may be broadcast.
-KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS, FEW = 3, 8, 2048, 1 << 17, 1 << 21, 100_000
+#: Min-wise keys of a class, 64-bit words of its parity map, members of a block, rows and pairs that a task looks at together.
+KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS = 3, 8, 2048, 1 << 17, 1 << 21
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,11 +394,6 @@ def index_rows(groups: DataFrame) -> DataFrame:
     return groups.select("g", "n", "prefix", "rare", "label", "several").mapInArrow(run, "token long, g long, meta long, label long, wide boolean")
 
 
-def _noted(df: DataFrame, notes: DataFrame, on: str) -> DataFrame:
-    """df left-joined with a settled table of distinct keys; broadcast only if its counted rows are few."""
-    return df.join(F.broadcast(notes) if notes.count() <= FEW else notes, on, "left")
-
-
 def _differ(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -410,24 +405,26 @@ class Join:
         self.spark, self.percent = df.sparkSession, percent
         self.source = (texts(df), key, text, width)
         counts = self.spark.sparkContext.broadcast(sketch(df, text, width))
-        self.base = settle(prefixes(df, key, text, width, percent, counts))
+        rows = df.count()
+        self.base = settle(prefixes(df, key, text, width, percent, counts), rows, wide=True)
         counts.destroy()
         some = self.base.where("n > 0")
         first = [F.first(x).alias(x) for x in ("n", "g", "keys", "maps", "common")]
-        self.member = settle(some.groupBy("c").agg(F.min("doc_id").alias("rep"), *first).withColumn("g", F.xxhash64("g")))
+        self.member = settle(some.groupBy("c").agg(F.min("doc_id").alias("rep"), *first).withColumn("g", F.xxhash64("g")), rows)
         self.classes = self.member.count()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, na, nb): those whose whole sets are similar enough."""
-        wanted = settle(self.member.join(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", "left_semi").select("rep"), self.classes)
-        bits = self.spark.sparkContext.broadcast(bit_map(wanted, wanted.count()))
-        found = settle(sets(*self.source, bits))
+        wanted = self.member.join(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", "left_semi").select("rep")
+        most = min(2 * pairs.count(), self.classes)
+        bits = self.spark.sparkContext.broadcast(bit_map(wanted, most))
+        found = settle(sets(*self.source, bits), most, wide=True)
         bits.destroy()
         right = found.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
         left = found.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
         shared = F.size(F.array_intersect("ta", "tb"))
         near = pairs.join(right, "b").join(left, "a").where((100 + self.percent) * shared >= self.percent * (F.col("na") + F.col("nb")))
-        return settle(near.select("a", "b"), self.classes)
+        return settle(near.select("a", "b"), self.classes, wide=True)
 
     def by_keys(self) -> DataFrame:
         """Links of classes to the class of the commonest shingles that shares a min-wise key."""
@@ -451,16 +448,16 @@ class Join:
         facts = member.groupBy("g").agg(F.when(low == high, F.max("label")).alias("label"), (low != high).alias("several"))
         prefix = self.base.where("n > 0").groupBy(F.col("g").alias("whole")).agg(*(F.first(x).alias(x) for x in ("n", "prefix", "rare"))).withColumn("g", F.xxhash64("whole"))
         wide = index_rows(self.base.where("n > 0 and rare < size(prefix)").withColumns({"g": F.lit(0).cast("long"), "label": F.lit(None).cast("long"), "several": F.lit(False)})).where("wide")
-        hot = settle(wide.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.lit(True).alias("hot")), self.classes)
-        index = _noted(index_rows(prefix.join(facts, "g")).drop("wide"), hot, "token").select("token", "g", "meta", "label", F.coalesce("hot", F.lit(False)).alias("hot"))
+        hot = few(wide.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.lit(True).alias("hot")))
+        index = index_rows(prefix.join(facts, "g")).drop("wide").join(hot, "token", "left").select("token", "g", "meta", "label", F.coalesce("hot", F.lit(False)).alias("hot"))
         salt = F.when(F.col("hot"), F.col("g")).otherwise(0)
-        return settle(partnered(index.repartition("token", salt).sortWithinPartitions("token"), self.percent))
+        return settle(partnered(index.repartition("token", salt).sortWithinPartitions("token"), self.percent), self.classes, wide=True)
 
     def candidates(self, rows: DataFrame, member: DataFrame, whole: bool = False) -> DataFrame:
         """Pairs (a, b, na, nb) of members not linked yet; a spanning forest of each block's, or all."""
         found = rows.join(member, "g").drop("g")
-        many = settle(found.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), self.classes)
-        dealt = _noted(found, many, "token").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        many = few(found.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        dealt = found.join(many, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "c", "n", "pos", "label", "maps")
@@ -478,14 +475,14 @@ class Join:
         label = components(links)
         # A forest of which no pair proved too far apart has connected all that its blocks could.
         at = [label.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab"]
-        apart = settle(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"), self.classes)
+        apart = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
         if apart.isEmpty():
             return links
-        maybe = settle(components(links.unionByName(pairs.select("a", "b"))).withColumnsRenamed({"node": "c", "component": "part"}), self.classes)
+        maybe = components(links.unionByName(pairs.select("a", "b"))).withColumnsRenamed({"node": "c", "component": "part"})
         parts = apart.select(F.col("a").alias("c")).join(maybe, "c").select("part").distinct()
         member = self.labelled(label).join(maybe.join(parts, "part", "left_semi").select("c"), "c", "left_semi")
         rest = self.candidates(rows, member, whole=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        return links.unionByName(self.verified(settle(rest)))
+        return links.unionByName(self.verified(settle(rest, self.classes)))
 
 
 def _classes(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -547,14 +544,14 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     may be chance, are shuffled and joined.
     """
     base, _, named = _classes(df, key, text, width, percent)
-    chosen = settle(named.where("least is not null").groupBy("component").agg(F.min(F.struct("least", "c")).alias("k")).select("k.c", "k.least"))
+    chosen = settle(named.where("least is not null").groupBy("component").agg(F.min(F.struct("least", "c")).alias("k")).select("k.c", "k.least"), base.count())
     keyed = base.where("doc_id is not null")
     some = keyed.where("n > 0").join(chosen, "c", "left").select("doc_id", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("stays"))
     rows = some.unionByName(keyed.where("n = 0").select("doc_id", F.lit(True).alias("stays")))
-    doubtful = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.col("doc_id").alias("rep")))
-    bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful, doubtful.count()))
+    doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 or not stays").select(F.col("doc_id").alias("rep"))
+    bits = df.sparkSession.sparkContext.broadcast(bit_map(doubtful, base.count()))
     c, k, row = (fresh(df, x) for x in ("_c", "_key", "_row"))
     marked = _marked(df, key, text, width, bits, c)
     one = marked.where(F.col(c).isNotNull()).groupBy(F.col(key).cast("long").alias(k), c).agg(F.min_by(F.struct(*df.columns), text).alias(row))
     kept = one.join(chosen, (one[k] == chosen["least"]) & (one[c] == chosen["c"]), "left_semi").select(f"{row}.*")
-    return _unmarked(df, key, bits).unionByName(marked.where(F.col(c).isNull()).select(df.columns)).unionByName(kept)
+    return compact(_unmarked(df, key, bits).unionByName(marked.where(F.col(c).isNull()).select(df.columns)).unionByName(kept), base.count(), wide=True)

@@ -168,7 +168,7 @@ def _spanned(found: DataFrame, parts: DataFrame) -> DataFrame:
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, base (array of spans) and spans (base and linked ones by start, then kind)."""
-    found = settle(_found(df, key, text).select("key", "base", "weak", "digest"))
+    found = settle(_found(df, key, text).select("key", "base", "weak", "digest"), df.count(), wide=True)
     return _spanned(found, found).withColumnsRenamed({"key": "doc_id"})
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,19 +34,36 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a narrow table in one file of the shared folder.
-FILE_ROWS = 200_000
+#: Rows in one file of the shared folder, of narrow tables and of tables with texts or sets.
+NARROW, WIDE = 200_000, 20_000
 
 
-def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+def compact(df: DataFrame, rows: int, wide: bool = False) -> DataFrame:
+    """df in no more partitions than files of a decent size need, for about so many rows at most.
+
+    Partitions follow the input's or the session's number otherwise; each is a
+    file to make, open and clear away, however little it holds.
+    """
+    return df.coalesce(max(24, -(-rows // WIDE)) if wide else max(4, -(-rows // NARROW)))
+
+
+def settle(df: DataFrame, rows: int | None = None, wide: bool = False) -> DataFrame:
     """The same rows, computed once and kept in the shared folder, so lost executors cost no recomputation.
 
-    rows: about how many there are at most, where that is known; a narrow table
-    then has a file for every FILE_ROWS, at least eight, instead of one for each
-    partition of the session.
+    rows: about how many there are at most, where that is known (see `compact`).
     """
     shared_folder(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
+    return (df if rows is None else compact(df, rows, wide)).checkpoint(eager=True)
+
+
+#: Rows of a table that may be collected and broadcast.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows of a small aggregate as a literal to broadcast; if there are more than FEW, df as it is, to be shuffled."""
+    rows = df.limit(FEW + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= FEW else df
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker; both sides hold a few at a time.

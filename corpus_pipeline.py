@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, decontaminate, ngram_join, quality, secrets
-from sparkloom.llm.shared import drop_folder, new_folder, table
+from sparkloom.llm.shared import compact, drop_folder, new_folder, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.keep(docs)
+    return compact(quality.keep(docs), docs.count(), wide=True)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +31,17 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return compact(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), docs.count(), wide=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; all documents stay."""
-    return secrets.redacted(docs, length="n_chars")
+    return compact(secrets.redacted(docs, length="n_chars"), docs.count(), wide=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document."""
-    return bpe.encode_table(docs, with_ids=True).withColumnRenamed("key", "doc_id")
+    return compact(bpe.encode_table(docs, with_ids=True).withColumnRenamed("key", "doc_id"), docs.count(), wide=True)
 
 
 STAGES = [

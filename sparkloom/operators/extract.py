@@ -97,7 +97,8 @@ def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_mo
         root = "" if aliases.base == "." else aliases.base.rstrip("/") + "/"
         bases.append(F.when(~relative, F.concat(F.lit(root), spec)))
     bases.append(F.when(~relative, spec))
-    script = F.flatten(F.array(*[F.when(b.isNotNull(), _script_files(b)).otherwise(F.array().cast("array<string>")) for b in bases]))
+    # Each base is computed once: inside the lambda it is a value, not an expression.
+    script = F.flatten(F.transform(F.array_compact(F.array(*bases)), _script_files))
     dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
     package = F.split(here, "/")
     up = F.slice(package, 1, F.greatest(F.size(package) - (dots - 1), F.lit(0)))

@@ -17,7 +17,6 @@ from sparkloom.streaming import windows
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-LATE = "2001-01-01"
 
 
 def query(sql: str | None = None):
@@ -30,21 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(f: Query) -> Query:
-    """Registers a query of late lines over all lines as well, under its name with `_whole`, with the same SQL over the whole graph."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda spark, sf: f(spark, sf, None)
-    SQL[name] = SQL[f.__name__].replace(LATE_GRAPH, GRAPH)
-    return f
-
-
 def _values(rows) -> str:
     q = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
 
 
 GRAPH = f"nodes AS MATERIALIZED ({PARTS_SQL}), edges AS MATERIALIZED ({successions_sql()})"
-LATE_GRAPH = f"nodes AS MATERIALIZED ({PARTS_SQL}), edges AS MATERIALIZED ({successions_sql(LATE)})"
 DEGREES = "deg AS MATERIALIZED (SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source, 0, 1 FROM edges) GROUP BY id)"
 FULL = "full_nodes AS MATERIALIZED (SELECT n.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM nodes n LEFT JOIN deg USING (id))"
 MEDIAN = "med AS (SELECT coalesce(list_sort(list(loc))[CAST(floor(count(*) / 2) AS INT) + 1], 100) AS median FROM nodes WHERE loc > 0)"
@@ -90,13 +80,8 @@ def high_coupling(spark, sf):
     return graph.high_coupling(parts(spark, sf), successions(spark, sf)).select(F.get("files", 0).alias("id"), "message")
 
 
-@query(f"WITH {LATE_GRAPH}, {DEGREES}, {FULL} SELECT id, module_type FROM full_nodes WHERE fan_in = 0 AND fan_out = 0 AND module_type NOT IN {dims.STANDALONE}")
-def orphans(spark, sf):
-    return graph.orphans(parts(spark, sf), successions(spark, sf, LATE)).select("id", "module_type")
-
-
 @query(f"SELECT 'o' || o_orderkey AS id, o_orderpriority AS module_type FROM orders WHERE o_orderpriority NOT IN {dims.STANDALONE} AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def orphans_whole(spark, sf):
+def orphans(spark, sf):
     """Orders as modules and their lines as imports of parts: all parts have lines, but not all orders."""
     key = F.concat(F.lit("o"), "o_orderkey")
     nodes = table(spark, sf, "orders").select(key.alias("id"), F.concat(F.lit("orders/"), key).alias("file_path"), F.col("o_orderpriority").alias("module_type"))
@@ -420,47 +405,43 @@ def cycle_issues(spark, sf):
 # ---- enrichment ----
 
 
-def _wide(spark, sf, since):
-    n, e = parts(spark, sf), successions(spark, sf, since)
+def _wide(spark, sf):
+    n, e = parts(spark, sf), successions(spark, sf)
     issues = graph.god_modules(n, e).unionByName(graph.high_coupling(n, e)).unionByName(graph.orphan_issues(n, e))
     return enrich.wide_nodes(n, e, issues), issues
 
 
-_LATE_CHAIN = f"{LATE_GRAPH}, {DEGREES}, {FULL}, {MEDIAN}, {LIMITS}, {JUDGED}, god AS MATERIALIZED (SELECT id FROM judged WHERE (module_type NOT IN ('entry-point', 'config') AND fan_out > lim) OR loc > most), high AS (SELECT id FROM judged WHERE fan_in > hi AND fan_out > ho), orp AS MATERIALIZED (SELECT id FROM full_nodes WHERE fan_in = 0 AND fan_out = 0 AND module_type NOT IN {dims.STANDALONE})"
+_ISSUES = f"{GRAPH}, {DEGREES}, {FULL}, {MEDIAN}, {LIMITS}, {JUDGED}, god AS MATERIALIZED (SELECT id FROM judged WHERE (module_type NOT IN ('entry-point', 'config') AND fan_out > lim) OR loc > most), high AS (SELECT id FROM judged WHERE fan_in > hi AND fan_out > ho), orp AS MATERIALIZED (SELECT id FROM full_nodes WHERE fan_in = 0 AND fan_out = 0 AND module_type NOT IN {dims.STANDALONE})"
 _BIOMES = f"biomes(module_type, biome) AS (VALUES {_values(dims.BIOME_OF.items())})"
 
 
-@whole
 @query(
-    f"""WITH {_LATE_CHAIN}, {_BIOMES} SELECT id, round((fan_in + fan_out) * 3 + log2(loc + 1) * 2 + CASE WHEN id IN (SELECT id FROM god) THEN 25 ELSE 0 END, 6) AS importance,
+    f"""WITH {_ISSUES}, {_BIOMES} SELECT id, round((fan_in + fan_out) * 3 + log2(loc + 1) * 2 + CASE WHEN id IN (SELECT id FROM god) THEN 25 ELSE 0 END, 6) AS importance,
     CASE WHEN id IN (SELECT id FROM god) OR loc > 200 OR fan_in + fan_out > 8 THEN 'large' WHEN loc > 50 OR fan_in + fan_out > 3 THEN 'medium' ELSE 'small' END AS size_category, coalesce(biome, 'plains') AS biome,
     CASE WHEN id IN (SELECT id FROM orp) THEN 'ruined' WHEN id IN (SELECT id FROM god) OR id IN (SELECT id FROM high) THEN 'damaged' ELSE 'healthy' END AS condition FROM full_nodes LEFT JOIN biomes USING (module_type)"""
 )
-def importance_size(spark, sf, since=LATE):
-    wide, issues = _wide(spark, sf, since)
+def importance_size(spark, sf):
+    wide, issues = _wide(spark, sf)
     wide = wide.withColumns({"is_hotspot": F.lit(False), "hotspot_score": F.lit(0.0)})
     return enrich.locations(wide, issues).select("id", F.round("importance", 6).alias("importance"), "size_category", "biome", "condition")
 
 
-@whole
-@query(f"WITH {_LATE_CHAIN}, p AS (SELECT (SELECT count(*) FROM god) * 3 + (SELECT count(*) FROM high) * 3 + (SELECT count(*) FROM orp) AS penalty), s AS (SELECT CAST(greatest(0, floor(100 - penalty / greatest(1, (SELECT count(*) FROM nodes) * 5) * 100 + 0.5)) AS BIGINT) AS score FROM p) SELECT score, CASE WHEN score >= 80 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 40 THEN 2 WHEN score >= 20 THEN 1 ELSE 0 END AS tier FROM s")
-def health_score(spark, sf, since=LATE):
-    _, issues = _wide(spark, sf, since)
+@query(f"WITH {_ISSUES}, p AS (SELECT (SELECT count(*) FROM god) * 3 + (SELECT count(*) FROM high) * 3 + (SELECT count(*) FROM orp) AS penalty), s AS (SELECT CAST(greatest(0, floor(100 - penalty / greatest(1, (SELECT count(*) FROM nodes) * 5) * 100 + 0.5)) AS BIGINT) AS score FROM p) SELECT score, CASE WHEN score >= 80 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 40 THEN 2 WHEN score >= 20 THEN 1 ELSE 0 END AS tier FROM s")
+def health_score(spark, sf):
+    _, issues = _wide(spark, sf)
     return enrich.health(issues, parts(spark, sf))
 
 
-@whole
-@query(f"WITH {_LATE_CHAIN}, t AS (SELECT id, 'god-module' AS type, 'warning' AS severity FROM god UNION ALL SELECT id, 'high-coupling', 'warning' FROM high UNION ALL SELECT id, 'orphan-module', 'info' FROM orp) SELECT id, type, severity, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS rank FROM t")
-def threat_log(spark, sf, since=LATE):
-    wide, issues = _wide(spark, sf, since)
+@query(f"WITH {_ISSUES}, t AS (SELECT id, 'god-module' AS type, 'warning' AS severity FROM god UNION ALL SELECT id, 'high-coupling', 'warning' FROM high UNION ALL SELECT id, 'orphan-module', 'info' FROM orp) SELECT id, type, severity, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS rank FROM t")
+def threat_log(spark, sf):
+    wide, issues = _wide(spark, sf)
     wide = wide.withColumns({"is_hotspot": F.lit(False), "hotspot_score": F.lit(0.0)})
     return enrich.threat_log(enrich.threats(wide, issues)).select("id", "type", "severity", "rank")
 
 
-@whole
-@query(f"WITH {_LATE_CHAIN} SELECT id, CASE WHEN fan_in >= 8 THEN 'blast-radius' WHEN id IN (SELECT id FROM god) THEN 'oversized' WHEN id IN (SELECT id FROM orp) THEN 'unused' ELSE 'fine' END AS verdict FROM full_nodes")
-def verdicts(spark, sf, since=LATE):
-    wide, _ = _wide(spark, sf, since)
+@query(f"WITH {_ISSUES} SELECT id, CASE WHEN fan_in >= 8 THEN 'blast-radius' WHEN id IN (SELECT id FROM god) THEN 'oversized' WHEN id IN (SELECT id FROM orp) THEN 'unused' ELSE 'fine' END AS verdict FROM full_nodes")
+def verdicts(spark, sf):
+    wide, _ = _wide(spark, sf)
     return enrich.verdicts(wide.withColumns({"normalized_complexity": F.lit(0.0), "change_frequency": F.lit(0.0)}))
 
 
@@ -498,10 +479,9 @@ def neighborhood(spark, sf):
     return enrich.neighbourhood(successions(spark, sf), "p7")
 
 
-@whole
-@query(f"WITH {_LATE_CHAIN}, help(type, title, suggestion) AS (VALUES {_values([(k, v[0], v[2]) for k, v in dims.ISSUE_HELP.items()])}), t AS (SELECT 'god-module' AS type FROM god UNION ALL SELECT 'high-coupling' FROM high UNION ALL SELECT 'orphan-module' FROM orp) SELECT type, title, suggestion, count(*) AS n FROM t JOIN help USING (type) GROUP BY ALL")
-def issue_help(spark, sf, since=LATE):
-    _, issues = _wide(spark, sf, since)
+@query(f"WITH {_ISSUES}, help(type, title, suggestion) AS (VALUES {_values([(k, v[0], v[2]) for k, v in dims.ISSUE_HELP.items()])}), t AS (SELECT 'god-module' AS type FROM god UNION ALL SELECT 'high-coupling' FROM high UNION ALL SELECT 'orphan-module' FROM orp) SELECT type, title, suggestion, count(*) AS n FROM t JOIN help USING (type) GROUP BY ALL")
+def issue_help(spark, sf):
+    _, issues = _wide(spark, sf)
     return graph.with_help(issues).groupBy("type", "title", "suggestion").agg(F.count("*").alias("n"))
 
 
@@ -517,10 +497,9 @@ def dominant_biome(spark, sf):
     return enrich.dominant_biome(places)
 
 
-@whole
-@query(f"WITH {LATE_GRAPH}, {DEGREES}, d AS (SELECT id, fan_in + fan_out AS degree FROM deg), m AS (SELECT list_sort(list(degree))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM d) SELECT source, target FROM edges JOIN d a ON source = a.id JOIN d b ON target = b.id, m WHERE (SELECT count(*) FROM edges) <= 100 OR a.degree > median OR b.degree > median")
-def quiet_edges(spark, sf, since=LATE):
-    return enrich.quiet_edges(successions(spark, sf, since)).select("source", "target")
+@query(f"WITH {GRAPH}, {DEGREES}, d AS (SELECT id, fan_in + fan_out AS degree FROM deg), m AS (SELECT list_sort(list(degree))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM d) SELECT source, target FROM edges JOIN d a ON source = a.id JOIN d b ON target = b.id, m WHERE (SELECT count(*) FROM edges) <= 100 OR a.degree > median OR b.degree > median")
+def quiet_edges(spark, sf):
+    return enrich.quiet_edges(successions(spark, sf)).select("source", "target")
 
 
 @query(f"WITH nodes AS ({PARTS_SQL}) SELECT module_type, count(*) AS n FROM nodes GROUP BY module_type ORDER BY n DESC, module_type LIMIT 8")
@@ -551,13 +530,8 @@ def treemap_directories(spark, sf):
     return boxes.select(F.col("id").alias("directory"), "value", F.round(F.col("w") * F.col("h"), 3).alias("area"))
 
 
-@query(f"WITH nodes AS ({PARTS_SQL}) SELECT id, directory, round(sqrt(greatest(loc, 1)), 6) AS r FROM nodes WHERE directory IN ('src/d1', 'src/d2')")
-def packed_circles(spark, sf):
-    return layout.pack_circles(parts(spark, sf).where("directory in ('src/d1', 'src/d2')")).select("id", "directory", F.round("r", 6).alias("r"))
-
-
 @query(f"WITH nodes AS ({PARTS_SQL}) SELECT id, directory, round(sqrt(greatest(loc, 1)), 6) AS r FROM nodes")
-def packed_circles_whole(spark, sf):
+def packed_circles(spark, sf):
     return layout.pack_circles(parts(spark, sf)).select("id", "directory", F.round("r", 6).alias("r"))
 
 

@@ -22,30 +22,30 @@ def test_graph_queries_see_every_line(spark):
             degree[x] = degree.get(x, 0) + 1
     median = sorted(degree.values())[len(degree) // 2]
     quiet = {e for e in edges if max(degree[x] for x in e) > median}
-    assert {(r.source, r.target) for r in rows(spark, "quiet_edges_whole")} == quiet
+    assert {(r.source, r.target) for r in rows(spark, "quiet_edges")} == quiet
 
     god, high = ({r.id for r in rows(spark, n)} for n in ("god_modules", "high_coupling"))
-    threats = rows(spark, "threat_log_whole")
+    threats = rows(spark, "threat_log")
     assert {r.id for r in threats if r.type == "god-module"} == god and {r.id for r in threats if r.type == "high-coupling"} == high
-    assert {r.type: r.n for r in rows(spark, "issue_help_whole") if r.type != "orphan-module"} == {k: len(v) for k, v in (("god-module", god), ("high-coupling", high)) if v}
+    assert {r.type: r.n for r in rows(spark, "issue_help") if r.type != "orphan-module"} == {k: len(v) for k, v in (("god-module", god), ("high-coupling", high)) if v}
     fan_in = {r.id: r.fan_in for r in rows(spark, "degree_fan_in_out")}
-    assert {r.id for r in rows(spark, "verdicts_whole") if r.verdict == "blast-radius"} == {i for i, n in fan_in.items() if n >= 8}
+    assert {r.id for r in rows(spark, "verdicts") if r.verdict == "blast-radius"} == {i for i, n in fan_in.items() if n >= 8}
     n = parts(spark, SF).count()
     orphans = sum(r.type == "orphan-module" for r in threats)
     penalty = 3 * (len(god) + len(high)) + orphans
-    assert rows(spark, "health_score_whole")[0].score == max(0, int(100 - penalty / (5 * n) * 100 + 0.5))
-    sizes = {r.id: r.size_category for r in rows(spark, "importance_size_whole")}
+    assert rows(spark, "health_score")[0].score == max(0, int(100 - penalty / (5 * n) * 100 + 0.5))
+    sizes = {r.id: r.size_category for r in rows(spark, "importance_size")}
     assert all(sizes[i] == "large" for i, d in degree.items() if d > 8)
 
 
 def test_orphans_are_orders_without_lines(spark):
     with_lines = {r[0] for r in table(spark, SF, "lineitem").select("l_orderkey").collect()}
     want = {f"o{r[0]}" for r in table(spark, SF, "orders").select("o_orderkey").collect() if r[0] not in with_lines}
-    assert want and {r.id for r in rows(spark, "orphans_whole")} == want
+    assert want and {r.id for r in rows(spark, "orphans")} == want
 
 
 def test_circles_of_every_directory_are_packed(spark):
-    got = rows(spark, "packed_circles_whole")
+    got = rows(spark, "packed_circles")
     assert sorted((r.id, r.directory) for r in got) == sorted((r.id, r.directory) for r in parts(spark, SF).collect())
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, licences, media, ngram_join, quality, reshard, secrets, suffix_dedup
+from . import bpe, decontaminate, html_text, licences, lines, media, ngram_join, quality, resample, reshard, secrets, suffix_dedup, vectors
 from .shared import table
 
 
@@ -50,7 +50,19 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_quality, op2_html_extraction, op3_suffix_dedup, op4_decontamination, op5_ngram_join, op6_resharding, op7_media_columns, op8_secret_scan, op9_bpe, op10_licence_scan)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ALL = (op1_quality, op2_html_extraction, op3_suffix_dedup, op4_decontamination, op5_ngram_join, op6_resharding, op7_media_columns, op8_secret_scan, op9_bpe, op10_licence_scan, op11_line_dedup, op12_vector_codes, op13_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -105,8 +117,50 @@ WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(tex
 SELECT doc_id, len(ws) AS n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word, array_to_string(list_sort(based), ',') AS base_labels,
  array_to_string(list_sort(list_distinct(list_concat(based, coalesce(found, [])))), ',') AS labels, coalesce(score, CASE WHEN len(based) > 0 THEN 0.5 ELSE 0.0 END) AS score FROM r LEFT JOIN per USING (doc_id)"""
 
+LINE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ l AS MATERIALIZED (SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.CAPITALS}', '{lines.CAPITALS.lower()}') AS k FROM (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d)),
+ f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= {lines.THRESHOLD}),
+ x AS (SELECT r, count(f.k) AS gone, string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY i) AS kept FROM l LEFT JOIN f USING (k) GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, gone AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN x USING (r)"""
+
+_SIZE = f"(len(v) // {vectors.PARTS})"
+#: One round of assigning parts p to entries of a codebook c, and the next codebook.
+_NEAREST = "SELECT r, p, min_by(e, (away, e)) AS e, min(away) AS away FROM (SELECT r, p, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS BIGINT) AS away FROM part JOIN {0} USING (p)) GROUP BY r, p"
+_NEXT = "SELECT p, e, coalesce(z, y) AS y FROM {0} LEFT JOIN (SELECT p, e, list(z ORDER BY i) AS z FROM (SELECT p, e, i, CAST((sum(xi) - ((sum(xi) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS z FROM (SELECT p, e, unnest(x) AS xi, generate_subscripts(x, 1) AS i FROM part JOIN {1} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e) USING (p, e)"
+VECTOR_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vectors.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ part AS MATERIALIZED (SELECT r, p, v[p * {_SIZE} + 1 : (p + 1) * {_SIZE}] AS x FROM kept, range({vectors.PARTS}) AS t(p)),
+ c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM part WHERE r <= {vectors.ENTRIES}),
+ {" ".join(f"a{n} AS MATERIALIZED ({_NEAREST.format(f'c{n}')}), c{n + 1} AS MATERIALIZED ({_NEXT.format(f'c{n}', f'a{n}')})," for n in range(vectors.ROUNDS))}
+ last AS ({_NEAREST.format(f"c{vectors.ROUNDS}")}),
+ codes AS MATERIALIZED (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(away) AS BIGINT) AS error FROM last GROUP BY r),
+ books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{vectors.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (r), books"""
+
+_GRAMS = "SELECT {1} unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM (SELECT {1} regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {0})"
+RESAMPLE_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ df AS MATERIALIZED ({_GRAMS.format("d", "r,")}),
+ bf AS MATERIALIZED ({_GRAMS.format("benchmark", "")}),
+ crc AS MATERIALIZED (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)),
+ gram AS MATERIALIZED (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM df UNION SELECT g FROM bf)),
+ step(g, h, i, c) AS (SELECT g, h, 0, 4294967295 FROM gram UNION ALL SELECT g, h, i + 1, xor(c >> 8, v) FROM step JOIN crc ON n = xor(c & 255, CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) WHERE 2 * i < length(h)),
+ bucket AS MATERIALIZED (SELECT g, xor(c, 4294967295) % {resample.BUCKETS} AS b FROM step WHERE 2 * i = length(h)),
+ s AS (SELECT b, count(*) AS s FROM df JOIN bucket USING (g) GROUP BY b),
+ t AS (SELECT b, count(*) AS t FROM bf JOIN bucket USING (g) GROUP BY b),
+ gain AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM df) + {resample.BUCKETS}) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bf) + {resample.BUCKETS}) AS DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b)),
+ w AS (SELECT r, count(*) AS k, CAST(sum(gain) AS BIGINT) AS total FROM df JOIN bucket USING (g) JOIN gain USING (b) GROUP BY r),
+ x AS MATERIALIZED (SELECT doc_id, coalesce(k, 0) AS n_features, CASE WHEN k > 0 THEN CAST((total - ((total % k) + k) % k) // k AS BIGINT) ELSE 0 END AS weight, CAST('0x' || sha256('{resample.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+ y AS MATERIALIZED (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, CASE WHEN n_features > 0 THEN (n_features + 1) // 2 ELSE 0 END AS words FROM x),
+ z AS (SELECT doc_id, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place, {resample.PERCENT} * count(*) OVER () // 100 AS most FROM y WHERE words >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM z UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM y WHERE words < {resample.LEAST_WORDS}"""
+
 SQL = {
     "op10_licence_scan": LICENCE_SQL,
+    "op11_line_dedup": LINE_SQL,
+    "op12_vector_codes": VECTOR_SQL,
+    "op13_resampling": RESAMPLE_SQL,
     "op8_secret_scan": SECRET_SQL,
     "op3_suffix_dedup": """
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),

@@ -230,8 +230,16 @@ def routes(places: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("source", "target", points.alias("points"), ((F.col("a_importance") + F.col("b_importance")) / 2).alias("importance"), (F.col("a_community") != F.col("b_community")).alias("is_cross_region"))
 
 
+#: Anchors that are sent to every task; there is one for each biome.
+MOST_ANCHORS = 1000
+
+
 def zones(tiles: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(x, y, biome) of each tile: the anchor (biome, ax, ay, weight) of most influence; anchors are one per biome."""
+    """(x, y, biome) of each tile: the anchor (biome, ax, ay, weight) of most influence; anchors are one per biome, so few."""
+    few = anchors.limit(MOST_ANCHORS + 1).collect()
+    if len(few) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    anchors = anchors.sparkSession.createDataFrame(few, anchors.schema)
     pull = F.col("weight") / (1 + F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2))
     return tiles.crossJoin(F.broadcast(anchors)).groupBy("x", "y").agg(F.max_by("biome", F.struct(pull.alias("p"), "biome")).alias("biome"))
 

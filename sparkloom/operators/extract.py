@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import rules
+from sparkloom.functions.patterns import GO_BLOCK, GO_LINE, IMPORTS
 from sparkloom.functions.text import directory, language_of, loc, module_name, normalise
 
 #: Extensions tried in turn for a script import.
@@ -37,29 +38,13 @@ def _tagged(specifiers: Column, kind: str) -> Column:
 
 def specifiers(language: str, text: Column) -> Column:
     """Array of (kind, spec) of the imports in a source."""
-    # The patterns of import statements by language.
-    if language in ("javascript", "typescript"):
-        found = [("script", r"""(?:import|export)\s+(?:[\s\S]*?\s+from\s+)?["']([^"']+)["']"""), ("script", r"""require\s*\(\s*["']([^"']+)["']\s*\)"""), ("script", r"""import\s*\(\s*["']([^"']+)["']\s*\)""")]
-    elif language == "python":
-        found = [("python", r"(?m)^import\s+([\w.]+)"), ("python", r"(?m)^from\s+(\.*(?:\w[\w.]*)?)\s+import\s+")]
-    elif language == "go":
-        found = [("go", r'import\s+"([^"]+)"')]
-    elif language in ("java", "kotlin"):
-        found = [("java", r"(?m)^import\s+(?:static\s+)?([\w.]+)")]
-    elif language == "rust":
-        found = [("crate", r"use\s+(crate(?:::\w+)+)"), ("mod", r"(?m)^mod\s+(\w+)\s*;"), ("super", r"use\s+super::(\w+(?:::\w+)*)")]
-    elif language == "csharp":
-        found = [("csharp", r"(?m)^using\s+(?:static\s+)?([\w.]+)\s*;")]
-    elif language == "php":
-        found = [("php", r"(?m)^use\s+([\w\\]+)"), ("include", r"""(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]""")]
-    elif language == "ruby":
-        found = [("ruby", r"""require\s+['"]([^'"]+)['"]"""), ("ruby_relative", r"""require_relative\s+['"]([^'"]+)['"]""")]
-    else:
+    found = IMPORTS.get(language)
+    if found is None:
         return F.array().cast("array<struct<kind:string,spec:string>>")
     parts = [_tagged(_all(text, p), kind) for kind, p in found]
     if language == "go":
-        blocks = F.array_join(_all(text, r"import\s*\(([\s\S]*?)\)"), "\n")
-        parts.append(_tagged(_all(blocks, r'"([^"]+)"'), "go"))
+        blocks = F.array_join(_all(text, GO_BLOCK), "\n")
+        parts.append(_tagged(_all(blocks, GO_LINE), "go"))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -189,8 +174,10 @@ def import_edges(files: DataFrame, aliases: Aliases | None = None, go_module: st
     keyed = wanted.withColumn("keys", candidates(F.col("kind"), F.col("spec"), F.col("source"), aliases or Aliases([]), go_module))
     tried = keyed.select("source", "nth", "kind", F.posexplode("keys").alias("rank", "key")).where("key is not null")
     hits = tried.join(keys_of(files), ["kind", "key"])
-    best = hits.groupBy("source", "nth").agg(F.min("rank").alias("rank"))
-    edges = hits.join(best, ["source", "nth", "rank"]).where("source <> target or kind in ('script', 'python', 'go')")
+    # A namespace alone has many files, and only one candidate: there all hits stay, elsewhere that of the least rank.
+    each = F.when(F.col("kind") == "csharp", F.col("target")).alias("each")
+    best = hits.groupBy("source", "nth", "kind", each).agg(F.min_by("target", "rank").alias("target"))
+    edges = best.where("source <> target or kind in ('script', 'python', 'go')")
     return edges.select("source", "target").distinct().withColumn("type", F.lit("import"))
 
 

@@ -1,44 +1,24 @@
-"""Graph algorithms: strongly connected components, PageRank, communities, layers, betweenness, cut nodes.
+"""Graph algorithms: strongly connected components, PageRank, layers, reachability, and all metrics of a graph at once.
 
-Cycles, ranks and layers are distributed loops of joins and aggregations whose
-steps are kept in the shared folder.  Label propagation in visiting order and
-depth-first cut nodes are sequential by definition: they run per connected
-component, so many small graphs spread over the cluster, and one graph is
-limited by one task's memory.  Betweenness is parallel over source nodes.
+All are loops of joins and aggregations whose steps are kept in the shared
+folder.  Communities, betweenness and cut nodes have modules of their own.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .betweenness import betweenness
+from .communities import communities
+from .connected import components
+from .cut_nodes import articulation_points
 from .iterate import settle
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """Each pair of different neighbours in both directions, once."""
-    return edges.select("source", "target").union(edges.select("target", "source")).where("source <> target").distinct()
-
-
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component): weakly connected, the component being its least id; shortcuts make rounds logarithmic in most graphs."""
-    near = settle(undirected(edges))
-    label = settle(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most_rounds):
-        seen = near.join(label, near.source == label.id).groupBy("target").agg(F.min("component").alias("least"))
-        step = label.join(seen, label.id == seen.target, "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        now = settle(step.join(jump, "component").select("id", F.col("far").alias("component"), F.col("component").alias("mid")))
-        now = settle(now.select("id", F.least("component", "mid").alias("component")))
-        if now.join(label, ["id", "component"], "left_anti").isEmpty():
-            return now
-        label = now
-    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
-
-
 #: Edges up to which a graph algorithm runs in one task, which then holds the whole graph.
 SMALL_EDGES = 500_000
 
@@ -235,167 +215,6 @@ def reachable(edges: DataFrame, start: str, most: int = 100_000, small: int = SM
     return seen
 
 
-def _per_component(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
-    """Applies a sequential algorithm to each connected component: run(ids, neighbours) -> rows."""
-    home = settle(components(nodes, edges))
-    near = undirected(edges)
-    links = near.join(home, near.source == home.id).select("component", "source", "target")
-    rows = links.unionByName(home.select("component", F.col("id").alias("source"), F.lit(None).cast("string").alias("target")))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {i: set() for i in pdf["source"]}
-        for a, b in zip(pdf["source"], pdf["target"], strict=True):
-            if b is not None:
-                near[a].add(b)
-        return pd.DataFrame(run(near), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.groupBy("component").applyInPandas(one, schema)
-
-
-def propagate(near: dict, labels: dict, rounds: int, inertia: bool) -> dict:
-    """Label propagation in id order, in place: the commonest label of the neighbours, the least of equals."""
-    for _ in range(rounds):
-        changed = False
-        for node in sorted(near):
-            if not near[node]:
-                continue
-            count: dict = defaultdict(int)
-            for other in near[node]:
-                count[labels[other]] += 1
-            top = max(count.values())
-            ties = [x for x, k in count.items() if k == top]
-            best = labels[node] if inertia and labels[node] in ties else min(ties)
-            if best != labels[node]:
-                labels[node], changed = best, True
-        if not changed:
-            break
-    return labels
-
-
-def communities(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """(id, community): label propagation in id order; labels start as places in id order, or from seeds (id, community).
-
-    With seeds, a new node takes the commonest label of its seeded neighbours or
-    a fresh one, ties keep the label there is, and there are half as many rounds.
-    Communities are numbered by label.
-    """
-    from pyspark.sql import Window as W
-
-    if seeds is None:
-        start = nodes.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("label"))
-        seeded = False
-    else:
-        near = undirected(edges)
-        votes = near.join(seeds, near.target == seeds.id).groupBy("source", "community").agg(F.count("*").alias("k")).groupBy("source").agg(F.max_by("community", F.struct("k", -F.col("community"))).alias("adopted"))
-        top = seeds.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("top"))
-        joined = nodes.select("id").join(seeds, "id", "left").join(votes, F.col("id") == F.col("source"), "left").withColumn("label", F.coalesce("community", "adopted"))
-        fresh = F.row_number().over(W.partitionBy(F.col("label").isNull()).orderBy("id"))
-        start = joined.crossJoin(F.broadcast(top)).select("id", F.coalesce("label", F.col("top") + fresh).cast("int").alias("label"))
-        seeded = True
-    named = settle(start)
-    keyed = edges.select("source", "target")
-    pairs = {"left": named.withColumnsRenamed({"id": "source", "label": "ls"}), "right": named.withColumnsRenamed({"id": "target", "label": "lt"})}
-    tagged = keyed.join(pairs["left"], "source").join(pairs["right"], "target").select(F.format_string("%s\u0001%d", "source", "ls").alias("source"), F.format_string("%s\u0001%d", "target", "lt").alias("target"))
-    ids = named.select(F.format_string("%s\u0001%d", "id", "label").alias("id"))
-
-    def run(near: dict) -> list:
-        labels = {x: int(x.rsplit("\u0001", 1)[1]) for x in near}
-        done = propagate(near, labels, min(rounds, 10) if seeded else rounds, seeded)
-        return [(x.rsplit("\u0001", 1)[0], label) for x, label in done.items()]
-
-    found = settle(_per_component(ids, tagged, run, "id string, label int"))
-    number = found.select("label").distinct().select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("community"))
-    return found.join(number, "label").select("id", "community")
-
-
-def cut_nodes(near: dict) -> list:
-    """Articulation points of a simple graph, without recursion."""
-    found, low, order = set(), {}, {}
-    for root in sorted(near):
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        stack, children = [(root, None, iter(sorted(near[root])))], 0
-        while stack:
-            node, parent, rest = stack[-1]
-            for other in rest:
-                if other == parent:
-                    continue
-                if other in order:
-                    low[node] = min(low[node], order[other])
-                else:
-                    order[other] = low[other] = len(order)
-                    children += node == root
-                    stack.append((other, node, iter(sorted(near[other]))))
-                    break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[node])
-                    if parent != root and low[node] >= order[parent]:
-                        found.add(parent)
-        if children > 1:
-            found.add(root)
-    return [(x,) for x in found]
-
-
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _per_component(nodes, edges, cut_nodes, "id string")
-
-
-#: Edges up to which the graph is sent to every task that computes betweenness.
-BROADCAST_EDGES = 5_000_000
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, scaled: bool = True) -> DataFrame:
-    """(id, betweenness): directed shortest paths, parallel edges counted; over the greatest.
-
-    Sources spread over the tasks and each walks the whole graph, which is sent
-    to all of them; its size is checked first.
-    """
-    spark = nodes.sparkSession
-    ids = nodes.select("id")
-    inside = settle(edges.select("source", "target").join(ids, edges.source == ids.id, "left_semi").join(ids, edges.target == ids.id, "left_semi"))
-    n = inside.count()
-    if n > BROADCAST_EDGES:
-        raise ValueError(f"{n} edges: more than {BROADCAST_EDGES} are not sent to every task")
-    out: dict = defaultdict(list)
-    for a, b in inside.orderBy("source", "target").collect():
-        out[a].append(b)
-    sent = spark.sparkContext.broadcast(dict(out))
-
-    def run(batches):
-        graph = sent.value
-        for pdf in batches:
-            total: dict = defaultdict(float)
-            for s in pdf["id"]:
-                order, before, paths, far, queue = [], defaultdict(list), {s: 1.0}, {s: 0}, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in graph.get(v, ()):
-                        if w not in far:
-                            far[w], paths[w] = far[v] + 1, 0.0
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share: dict = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-            yield pd.DataFrame({"id": list(total), "b": list(total.values())})
-
-    parts = ids.repartition("id").mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
-    all_ = ids.join(parts, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
-    if not scaled:
-        return all_
-    top = all_.agg(F.max("betweenness").alias("top"))
-    return all_.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("betweenness") / F.col("top")).otherwise(0.0).alias("betweenness"))
-
-
 def graph_metrics(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(id, page_rank, community, layer, betweenness, is_articulation)."""
     cut = articulation_points(nodes, edges).withColumn("cut", F.lit(True))

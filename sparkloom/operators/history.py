@@ -22,20 +22,38 @@ def change_frequency(changes: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(top)).select("path", "changes", (F.col("changes") / F.col("top")).alias("frequency"))
 
 
-def co_changes(changes: DataFrame, least: int = 1) -> DataFrame:
+#: Files of a commit that meet in one task.
+BLOCK = 1000
+
+
+def _pairs(one: DataFrame, block: int) -> DataFrame:
+    """(file_a, file_b) of the files of each commit, a < b, one row for each commit that has both.
+
+    The files of a commit are dealt into blocks of about so many, and a file is
+    sent to every pair of blocks that its own is part of.  What meets in a task is
+    two blocks, however many files a commit has; a commit of one block is joined
+    with itself as it is.
+    """
+    sizes = one.groupBy("commit_id").agg(F.count("*").alias("files")).where(F.col("files") > block)
+    blocks = F.coalesce(F.ceil(F.col("files") / block).cast("int"), F.lit(1))
+    dealt = one.join(sizes, "commit_id", "left").select("commit_id", "path", blocks.alias("k"), F.pmod(F.xxhash64("path"), blocks).cast("int").alias("own"))
+    a = dealt.select("commit_id", F.col("path").alias("a"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"))
+    b = dealt.select("commit_id", F.col("path").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    met = a.join(b, ["commit_id", "i", "j"]).where("i <> j or a < b")
+    return met.select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b"))
+
+
+def co_changes(changes: DataFrame, least: int = 1, block: int = BLOCK) -> DataFrame:
     """(file_a, file_b, co_changes, confidence) of pairs in one commit, confidence by the greater of the two counts.
 
     A file with fewer than `least` changes is in no pair of that support, so it
-    goes before the join.  The join emits the pairs of each commit, which are
-    small by nature; AQE splits a commit that is not.
+    goes before the join.  Pairs are counted before they are shuffled.
     """
     one = changes.select("commit_id", "path").distinct()
     counts = one.groupBy("path").agg(F.count("*").alias("n"))
     if least > 1:
         one = one.join(counts.where(F.col("n") >= least).select("path"), "path", "left_semi")
-    a, b = one.alias("a"), one.alias("b")
-    pairs = a.join(b, (F.col("a.commit_id") == F.col("b.commit_id")) & (F.col("a.path") < F.col("b.path")))
-    pairs = pairs.groupBy(F.col("a.path").alias("file_a"), F.col("b.path").alias("file_b")).agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
+    pairs = _pairs(one, block).groupBy("file_a", "file_b").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
     na, nb = (counts.select(F.col("path").alias(f"file_{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     return pairs.join(na, "file_a").join(nb, "file_b").select("file_a", "file_b", "co_changes", (F.col("co_changes") / F.greatest("na", "nb")).alias("confidence"))
 

@@ -91,8 +91,10 @@ def analyze_tree(spark: SparkSession, root: str, changes: DataFrame | None = Non
     """Scans a tree and analyses it; a root without source files is an error."""
     tree = project.read_tree(spark, root, focus)
     names = [m for _, _, ms in dims.LANGUAGES for m in ms] + ["tsconfig.app.json", "jsconfig.json", "AndroidManifest.xml", "app/build.gradle", "app/build.gradle.kts"]
-    small = tree.where((F.col("path").isin(*names) | F.col("path").endswith(".csproj")) & (F.col("n_bytes") < 1_000_000))  # a few names at the root, and project files
-    manifests = {r.path: bytes(r.content).decode("utf-8", "replace") for r in small.collect()}
+    small = tree.where(F.col("n_bytes") < 1_000_000)
+    named = small.where(F.col("path").isin(*names)).select("path", "content")  # a few names at the root
+    project_file = small.where(F.col("path").endswith(".csproj")).groupBy().agg(F.min("path").alias("path"), F.min_by("content", "path").alias("content"))
+    manifests = {r.path: bytes(r.content).decode("utf-8", "replace") for r in named.unionByName(project_file).collect() if r.path is not None}
     files = project.scan(tree, depth).cache()
     if files.isEmpty():
         raise ValueError(f"no source files below {root}")

@@ -337,6 +337,17 @@ def reachability(spark, sf):
     return graph_metrics.reachable(_next_supplier(spark, sf), "s00001")
 
 
+@query(SQL["strong_components"])
+def strong_components_distributed(spark, sf):
+    """The loop of joins that graphs of any size take."""
+    return graph_metrics.strong_components(_next_supplier(spark, sf), small=0)
+
+
+@query(SQL["reachability"])
+def reachability_distributed(spark, sf):
+    return graph_metrics.reachable(_next_supplier(spark, sf), "s00001", small=0)
+
+
 _TREE = "edges(source, target) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
 
 
@@ -382,18 +393,79 @@ def betweenness(spark, sf):
     return graph_metrics.betweenness(*trade(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+def _visits_sql(graph: str, rounds: int, seeds: str | None = None) -> str:
+    """Labels as one list that is changed node by node in id order, so many rounds over all nodes.
+
+    seeds: SQL of (id, community), with which labels start and whose ties keep the label there is.
+    """
+    best = "list_sort(list_transform(list_distinct(vs), lambda x: {'n': -len(list_filter(vs, lambda y: y = x)), 'o': " + ("x <> labels[i]" if seeds else "false") + ", 'x': x}))[1].x"
+    start = "i - 1"
+    if seeds:
+        votes = "SELECT source AS id, community, count(*) AS k FROM u JOIN seed ON seed.id = target GROUP BY ALL"
+        start = f"coalesce((SELECT community FROM seed WHERE seed.id = ids.id), (SELECT arg_min(community, (-k, community)) FROM ({votes}) v WHERE v.id = ids.id), (SELECT max(community) FROM seed) + i)"
+    return f"""WITH RECURSIVE {graph}, u AS MATERIALIZED (SELECT source, target FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target), {f"seed AS MATERIALIZED ({seeds})," if seeds else ""}
+ ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM nodes), first AS MATERIALIZED (SELECT id, i, CAST({start} AS BIGINT) AS label FROM ids),
+ near AS MATERIALIZED (SELECT a.i, list(b.i) AS others FROM ids a JOIN u ON a.id = source JOIN ids b ON b.id = target GROUP BY a.i),
+ visits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r, i) AS k, i, others FROM near, range({rounds}) t(r)),
+ walk(k, labels) AS (SELECT 1, list(label ORDER BY i) FROM first UNION ALL SELECT k + 1, list_concat(labels[1 : i - 1], [{best}], labels[i + 1 :]) FROM (SELECT k, labels, i, list_transform(others, lambda o: labels[o]) AS vs FROM walk JOIN visits USING (k))),
+ last AS (SELECT labels FROM walk ORDER BY k DESC LIMIT 1)
+SELECT id, CAST(dense_rank() OVER (ORDER BY labels[i]) - 1 AS INT) AS community FROM ids, last"""
+
+
+@query(_visits_sql(TRADE_SQL, 20))
 def communities(spark, sf):
     return graph_metrics.communities(*trade(spark, sf))
 
 
+def _with_ends(edges):
+    return edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), edges
+
+
+NEXT_GRAPH = f"{NEXT}, nodes AS MATERIALIZED (SELECT source AS id FROM edges UNION SELECT target FROM edges)"
+
+
+@query(_visits_sql(NEXT_GRAPH, 20))
+def communities_of_suppliers(spark, sf):
+    return graph_metrics.communities(*_with_ends(_next_supplier(spark, sf)))
+
+
+@query(_visits_sql(NEXT_GRAPH, 10, "SELECT printf('s%05d', s_suppkey) AS id, s_nationkey AS community FROM supplier WHERE s_suppkey % 3 <> 0"))
+def seeded_communities(spark, sf):
+    """Suppliers begin in their nation's community, every third one in what its neighbours have."""
+    seeds = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.format_string("s%05d", "s_suppkey").alias("id"), F.col("s_nationkey").cast("int").alias("community"))
+    return graph_metrics.communities(*_with_ends(_next_supplier(spark, sf)), seeds)
+
+
+def _places(spark, sf):
+    """Regions, nations and chains of seven suppliers that hang on a nation by one end, or by both; neighbouring nations are linked, by fives."""
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    nation, supplier = (lambda c: F.format_string("n%02d", c)), (lambda c: F.format_string("s%05d", c))
+    links = [
+        n.select(nation(F.col("n_nationkey")).alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target")),
+        n.where("n_nationkey % 5 <> 0").select(nation(F.col("n_nationkey")), nation(F.col("n_nationkey") - 1)),
+        s.where("s_suppkey % 7 <> 0").select(supplier(F.col("s_suppkey")), supplier(F.col("s_suppkey") - 1)),
+        s.where("s_suppkey % 7 = 0 or (s_suppkey % 7 = 6 and floor(s_suppkey / 7) % 2 = 0)").select(supplier(F.col("s_suppkey")), nation(F.col("s_nationkey"))),
+    ]
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
+
+
+PLACES = """edges AS MATERIALIZED (SELECT printf('n%02d', n_nationkey) AS source, 'r' || n_regionkey AS target FROM nation
+ UNION ALL SELECT printf('n%02d', n_nationkey), printf('n%02d', n_nationkey - 1) FROM nation WHERE n_nationkey % 5 <> 0
+ UNION ALL SELECT printf('s%05d', s_suppkey), printf('s%05d', s_suppkey - 1) FROM supplier WHERE s_suppkey % 7 <> 0
+ UNION ALL SELECT printf('s%05d', s_suppkey), printf('n%02d', s_nationkey) FROM supplier WHERE s_suppkey % 7 = 0 OR (s_suppkey % 7 = 6 AND (s_suppkey // 7) % 2 = 0))"""
+
+
 @query(
-    f"""WITH RECURSIVE {_TREE}, ids AS (SELECT DISTINCT source AS id FROM edges) SELECT id FROM ids"""
+    f"""WITH RECURSIVE {PLACES}, u AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges), start AS (SELECT source AS x, min(target) AS v FROM u GROUP BY source),
+    reach(x, v) AS (SELECT x, v FROM start UNION SELECT x, target FROM reach JOIN u ON source = v WHERE target <> x)
+    SELECT DISTINCT source AS id FROM u WHERE NOT EXISTS (SELECT 1 FROM reach WHERE x = source AND v = target)"""
 )
 def articulation_points(spark, sf):
-    """In a forest every node with two neighbours or more cuts; here those are the inner nodes."""
-    edges = _tree(spark, sf)
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    """A graph of many cycles and bridges; the SQL takes each node out and looks which of its neighbours cannot be reached any more."""
+    nodes, edges = _with_ends(_places(spark, sf))
     return graph_metrics.articulation_points(nodes, edges)
 
 

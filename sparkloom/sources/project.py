@@ -13,6 +13,7 @@ from sparkloom.functions import dims
 from sparkloom.functions.text import basename, directory, language_of, posix
 from sparkloom.operators.extract import Aliases
 from sparkloom.operators.iterate import settle
+from sparkloom.sources import listing
 
 
 def ignored(path: Column) -> Column:
@@ -24,6 +25,12 @@ def ignored(path: Column) -> Column:
     return hit
 
 
+def pruned_folder(path: Column) -> Column:
+    """Whether a scan never enters a directory (its path ends in a slash), whatever the language."""
+    inside = "|".join(re.escape(n) for n in dims.COMMON_IGNORES)
+    return path.endswith("/") & path.rlike(rf"(^|/)({inside})/$")
+
+
 def ignore_patterns(text: str) -> list[tuple[str, bool]]:
     """(regex, keep) of the lines of an ignore file, in order; a later match overrides an earlier one."""
     out = []
@@ -51,12 +58,15 @@ def ignored_by(path: Column, patterns: list[tuple[str, bool]]) -> Column:
 def read_tree(spark: SparkSession, root: str, focus: str | None = None, most_bytes: int | None = None) -> DataFrame:
     """(path, n_bytes, content) of the files below root; paths are relative and content is read only where it is used.
 
-    Spark's reader passes over files of no bytes, so they are no nodes.
+    Spark's reader passes over files of no bytes; they come from the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if focus is None else f"{root.rstrip('/')}/{focus}")
+    top = root if focus is None else f"{root.rstrip('/')}/{focus}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
     base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}/", "")
-    out = files.select(posix(rel).alias("path"), F.col("length").alias("n_bytes"), "content")
+    inside = "" if focus is None else f"{focus.strip('/')}/"
+    none = listing.empty_files(spark, top, pruned_folder(F.concat(F.lit(inside), F.col("path")))).withColumn("path", posix(F.concat(F.lit(inside), F.col("path"))))
+    out = files.select(posix(rel).alias("path"), F.col("length").alias("n_bytes"), "content").unionByName(none)
     return out if most_bytes is None else out.where(F.col("n_bytes") <= most_bytes)
 
 
@@ -229,12 +239,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\ncommit ").text(path).select(F.regexp_replace("value", "^commit ", "").alias("value"))
 
 
-def carry_headers(lines: DataFrame) -> DataFrame:
+def carry_headers(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """(commit_id, path) from single lines (file, line_no, value): the last header before each path, per file."""
     from pyspark.sql import Window as W
 
     header = F.when(F.col("value").startswith("commit "), F.substring("value", 8, 40))
-    carried = F.last(header, ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    carried = F.last(header, ignorenulls=True).over(W.partitionBy("file").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return lines.withColumn("commit_id", carried).where(~F.col("value").startswith("commit ") & (F.trim("value") != "") & F.col("commit_id").isNotNull()).select("commit_id", F.col("value").alias("path"))
 
 

@@ -56,20 +56,59 @@ def track_new(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_type string, first_seen timestamp, is_new boolean", "seen string", "append", "NoTimeout")
 
 
-def upsert_into(folder: str):
-    """A foreachBatch sink that keeps the least first_seen per key in a table of its own, batch by batch."""
+#: Parts of a state table; a batch rewrites those that its keys fall into.
+PARTS = 64
+
+
+def _versions(spark, folder: str) -> dict[int, list[int]]:
+    """The batches that wrote each part, in order; a batch counts only when it is complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for batch in files.listStatus(path(folder)) if files.exists(path(folder)) else []:
+        if files.exists(path(batch.getPath(), "_SUCCESS")):
+            for part in files.listStatus(batch.getPath()):
+                if part.getPath().getName().startswith("part_of="):
+                    found.setdefault(int(part.getPath().getName()[8:]), []).append(int(batch.getPath().getName()[1:]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+_SEEN = "user_id long, event_type string, first_seen timestamp"
+
+
+def _read_parts(spark, folder: str, newest: dict[int, int]) -> DataFrame:
+    paths = [f"{folder}/b{n}/part_of={k}" for k, n in newest.items()]
+    return spark.read.schema(_SEEN).parquet(*paths) if paths else spark.createDataFrame([], _SEEN)
+
+
+def read_upserted(spark, folder: str) -> DataFrame:
+    """(user_id, event_type, first_seen): the state that `upsert_into` has written so far."""
+    return _read_parts(spark, folder, {k: v[-1] for k, v in _versions(spark, folder).items()})
+
+
+def upsert_into(folder: str, parts: int = PARTS):
+    """A foreachBatch sink that keeps the least first_seen per key in a table of its own.
+
+    The state lies in parts by a hash of the key.  A batch reads and writes only the
+    parts that its own keys fall into; parts that no key falls into stay as they
+    are, and versions of a part older than the last two are deleted.  A batch that
+    runs again reads what was there before it and writes the same place.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = first_seen(batch)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        last = sorted(int(s.getPath().getName()[1:]) for s in files.listStatus(path)) if files.exists(path) else []
-        old = [n for n in last if n < number]
-        if old:
-            new = spark.read.parquet(f"{folder}/b{old[-1]}").unionByName(new).groupBy("user_id", "event_type").agg(F.min("first_seen").alias("first_seen"))
-        new.write.mode("overwrite").parquet(f"{folder}/b{number}")  # a batch that runs again writes the same place
-        for n in old[:-1]:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/b{n}"), True)
+        part = F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")
+        new = first_seen(batch).persist()
+        touched = {r[0] for r in new.select(part).distinct().collect()}  # at most `parts`
+        before = {k: [n for n in v if n < number] for k, v in _versions(spark, folder).items()}
+        old = _read_parts(spark, folder, {k: v[-1] for k, v in before.items() if v and k in touched})
+        merged = old.unionByName(new.select(*old.columns)).groupBy("user_id", "event_type").agg(F.min("first_seen").alias("first_seen"))
+        merged.withColumn("part_of", part).repartition("part_of").write.mode("overwrite").partitionBy("part_of").parquet(f"{folder}/b{number}")
+        new.unpersist()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for k in touched:
+            for n in before.get(k, [])[:-1]:
+                files.delete(path(f"{folder}/b{n}/part_of={k}"), True)
 
     return run

@@ -185,4 +185,4 @@ def test_streams_agree_with_tables(spark, tmp_path):
     new = run(windows.track_new(stream), "fresh", "append")
     assert {(r.user_id, r.event_type, r.first_seen) for r in new.collect()} == {tuple(r) for r in windows.first_seen(events).collect()}
     stream.writeStream.foreachBatch(windows.upsert_into(str(tmp_path / "seen"))).option("checkpointLocation", str(tmp_path / "c_seen")).trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "seen" / "b0")).count() == windows.first_seen(events).count()
+    assert windows.read_upserted(spark, str(tmp_path / "seen")).count() == windows.first_seen(events).count()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions import dims, rules, text
-from sparkloom.operators import enrich, extract, graph, graph_metrics, history, layout, security
+from sparkloom.operators import drilldown, enrich, extract, graph, graph_metrics, history, layout, security
 from sparkloom.plans import project_queries
 from sparkloom.plans.roles import COMMITS_SQL, PARTS_SQL, TRADE_SQL, commits, parts, successions, successions_sql, table, trade
+from sparkloom.sources import project
 from sparkloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +238,14 @@ def carried_headers(spark, sf):
     return e.select("user_id", "event_id", F.coalesce(F.last("k", ignorenulls=True).over(w), F.lit(0)).cast("long").alias("header"))
 
 
+@query("SELECT commit_id, path FROM (SELECT last_value(CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS commit_id, event_type, event_type || '/' || event_id AS path FROM events) WHERE event_type <> 'signup' AND commit_id IS NOT NULL")
+def carried_commits(spark, sf):
+    """A user's events as the lines of a log: a sign-up is a header, the others are paths below it."""
+    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("commit "), "event_id")).otherwise(F.concat("event_type", F.lit("/"), "event_id"))
+    lines = table(spark, sf, "events").select(F.col("user_id").alias("file"), "ts", "event_id", line.alias("value"))
+    return project.carry_headers(lines, ("ts", "event_id"))
+
+
 # ---- text ----
 
 
@@ -294,6 +303,11 @@ def link_edges(spark, sf):
     return extract.link_edges(table(spark, sf, "pages"))
 
 
+@query(f"WITH nodes AS ({PARTS_SQL}), p AS (SELECT loc, string_split(file_path, '/') AS ps FROM nodes), l AS (SELECT loc, ps, unnest(range(len(ps))) AS depth FROM p) SELECT array_to_string(ps[1 : depth + 1], '/') AS path, array_to_string(ps[1 : depth], '/') AS parent, CAST(depth AS INT) AS depth, depth = len(ps) - 1 AS is_file, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM l GROUP BY ALL")
+def subtree_sums(spark, sf):
+    return drilldown.subtrees(parts(spark, sf))
+
+
 # ---- graph algorithms ----
 
 

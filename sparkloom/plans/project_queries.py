@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import udtf
 from sparkloom.operators import extract, graph, security
 from sparkloom.plans.roles import table
 
@@ -211,5 +212,17 @@ def component_issues(spark, sf):
 GOD_SQL = """SELECT 'god-module' AS type, 'God component "C' || p_partkey || '" renders ' || (p_partkey % 30) || ' child components' AS message, 'C' || p_partkey || '.tsx' AS file FROM part WHERE p_partkey % 30 > 20
 UNION ALL SELECT 'high-coupling', 'Component "C' || p_partkey || '" uses ' || (p_partkey % 20) || ' hooks (consider splitting)', 'C' || p_partkey || '.tsx' FROM part WHERE p_partkey % 20 > 15"""
 
+def imports_by_table_function(spark, sf):
+    """The Ruby edges in SQL alone: the table function gives the specifiers, a join finds the files."""
+    udtf.register(spark)
+    files = _files(spark, sf, *LANGUAGES["ruby"][:2])
+    return spark.sql(
+        r"""SELECT DISTINCT f.path AS source, t.path AS target, 'import' AS type FROM {files} f JOIN LATERAL import_edges(f.text, 'ruby') i
+        JOIN {files} t ON t.path = concat('lib/', regexp_replace(i.spec, '^[.][.]/', ''), '.rb') WHERE f.path <> t.path""",
+        files=files,
+    )
+
+
 QUERIES = {f"import_edges_{x}": _edges_query(x) for x in LANGUAGES} | {f.__name__: f for f in (components, render_edges, data_flows, security_rules, security_issues, prop_issues, component_issues)}
 SQL = {f"import_edges_{x}": _edges_sql(x) for x in LANGUAGES} | {"components": COMPONENTS_SQL, "render_edges": RENDER_SQL, "data_flows": FLOWS_SQL, "security_rules": RULES_SQL, "security_issues": ISSUES_SQL, "prop_issues": PROPS_SQL, "component_issues": GOD_SQL}
+QUERIES["imports_by_table_function"], SQL["imports_by_table_function"] = imports_by_table_function, SQL["import_edges_ruby"]

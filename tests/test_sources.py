@@ -117,7 +117,7 @@ def test_tree_scan_and_whole_analysis(spark, tmp_path):
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(t)
     tree = project.read_tree(spark, str(tmp_path))
-    full = {p for p, t in FILES.items() if t}
+    full = set(FILES)
     assert {r.path for r in project.scan(tree).collect()} == full
     assert {r.path for r in project.scan(tree, 0).collect()} == {"r.rb"}
     langs = [r.language for r in project.languages(tree).collect()]

@@ -192,10 +192,50 @@ def link_edges(pages: DataFrame, key: str = "url", source: str = "html") -> Data
     return links.select("source", target.alias("target")).distinct()
 
 
-# Components.  There is no syntax tree here: a component is a top-level declaration with a capital name
-# whose text, up to the next top-level declaration, holds markup.  Nested declarations count as their parent's.
-DECLARATION = r"(?m)^(?=(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|const|let|var|class|interface|type|enum)\b)"
-NAMED = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|const|let|var)\s+([A-Z]\w*)"
+# Components.  Tokens and the brackets and tags among them give the depth of every place in a source.  A declaration
+# is what begins with a keyword at depth 0, up to the next one; what is nested in it is its own, as are its calls and tags.
+_STRINGS = r"""(?s:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)"""
+_COMMENTS = rf"({_STRINGS})|//[^\n]*|/\*[\s\S]*?\*/"
+_NAME = r"[\w$]+(?:\.[\w$]+)*"
+#: Strings; tags that open, close or end themselves; calls with their bracket; names with type arguments; names; marks.
+TOKEN = rf"{_STRINGS}|<>|</[\w.]*\s*>|<[A-Za-z][\w.]*(?=[\s/>])(?!\s+extends\b)|/>|=>|{_NAME}\s*(?:<(?:[^<>()]++|<[^<>()]*>)*+>\s*)?\(|(?:[\w$]+\.)*[A-Z][\w$]*<[^<>(){{}};=/]*>(?=\s*[=,;)\]|&{{>:])|{_NAME}|[{{}}()\[\];=,:?>]"
+_DECLARE = ("function", "const", "let", "var", "class", "interface", "type", "enum")
+_MODIFY = ("export", "default", "async", "declare", "abstract")
+#: After these a keyword goes on with what has begun.
+_GOES_ON = (*_MODIFY, "=", "(", ",", ":", "=>", "?", "as", "typeof", "return")
+
+
+def without_comments(text: Column) -> Column:
+    return F.regexp_replace(text, _COMMENTS, "$1")
+
+
+def declarations(sources: DataFrame) -> DataFrame:
+    """(path, nth, name, kind, body) of the declarations at the top of each source (path, text), in order; kind is the keyword, `var` for further names of one."""
+    from pyspark.sql import Window as W
+
+    clean = sources.select("path", without_comments(F.col("text")).alias("text"))
+    pairs = F.arrays_zip(F.split("text", TOKEN, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("token"))
+    rows = clean.select("path", F.posexplode(pairs).alias("at", "t")).select("path", "at", F.coalesce("t.gap", F.lit("")).alias("gap"), F.coalesce("t.token", F.lit("")).alias("token"))
+    token = F.col("token")
+    opens = token.rlike(r"(?:^[\w$][^\"'`]*\($)|^[{(\[]$|^<[A-Za-z>]")
+    closes = token.isin(")", "}", "]", "/>") | token.startswith("</")
+    by = W.partitionBy("path").orderBy("at")
+    before = F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.select("path", "at", "gap", "token", before.alias("depth"), F.coalesce(F.lag("token").over(by), F.lit("")).alias("prev"), F.lead("token").over(by).alias("next"), F.lead("token", 2).over(by).alias("second"))
+    top = F.col("depth") == 0
+    last = F.last(F.when(top & token.isin(*_DECLARE), token), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
+    begins = top & (token.isin(*_DECLARE, "export", "import") | ((token == "async") & (F.col("next") == "function"))) & ~F.col("prev").isin(*_GOES_ON)
+    further = top & (token == ",") & last.isin("const", "let", "var") & F.col("second").isin("=", ":")
+    parted = placed.withColumn("begins", begins | further).withColumn("nth", F.sum(F.col("begins").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    named = ~token.isin(*_DECLARE, *_MODIFY, "import", ",")
+    found = parted.groupBy("path", "nth").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("gap", "token").alias("s")))), lambda x: x["s"]), "").alias("body"),
+        F.regexp_extract(F.min_by(F.when(named, token), F.when(named, F.col("at"))), r"^([\w$]+)", 1).alias("name"),
+        F.coalesce(F.min_by(F.when(token.isin(*_DECLARE), token), F.when(token.isin(*_DECLARE), F.col("at"))), F.lit("var")).alias("kind"),
+    )
+    return found.where("nth > 0").select("path", "nth", "name", "kind", "body")
+
+
 #: Data sources: (type, name or empty for the callee itself, callee).
 SOURCES = [
     ("context", "", "useContext"),
@@ -210,16 +250,18 @@ SOURCES = [
 
 
 def _declarations(files: DataFrame) -> DataFrame:
+    """Functions and variables with a capital name, with their source."""
     some = files.where(F.lower("path").rlike(r"\.[tj]sx$"))
-    parts = some.select("path", "text", "ord", F.posexplode(F.split("text", DECLARATION, -1)).alias("nth", "body"))
-    return parts.withColumn("name", F.regexp_extract("body", NAMED, 1)).where("name <> ''")
+    found = declarations(some).where(F.col("kind").isin("function", "const", "let", "var") & F.col("name").rlike("^[A-Z]"))
+    return found.join(some.select("path", without_comments(F.col("text")).alias("text"), "ord"), "path")
 
 
 def components(files: DataFrame) -> DataFrame:
     """(name, file_path, props, hooks, children, is_default_export, ord); props are (name, type, is_required)."""
-    found = _declarations(files).where(F.col("body").rlike(r"<[A-Za-z][\w.]*[\s/>]|<>"))
-    hooks = F.array_distinct(_all(F.col("body"), r"\b(use[A-Z]\w*)\s*[(<]"))
-    children = F.array_distinct(_all(F.col("body"), r"<([A-Z][\w.]*)(?=[\s/>])"))
+    tokens = F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))
+    found = _declarations(files).withColumn("tokens", tokens).where(F.exists("tokens", lambda t: t.rlike("^<[A-Za-z>]")))
+    one = lambda pattern: F.array_distinct(F.transform(F.filter("tokens", lambda t: t.rlike(pattern)), lambda t: F.regexp_extract(t, pattern, 1)))
+    hooks, children = one(r"^(use[A-Z][\w$.]*)[^\"'`]*\($"), one(r"^<([A-Z][\w.]*)$")
     shape = F.expr(r"regexp_extract(text, concat('(?s)(?:interface|type)\\s+', name, 'Props\\b[^{]*\\{(.*?)\\}'), 1)")
     fields = _all(shape, r"(?:^|[;,\n{])\s*(?:readonly\s+)?(\w+\??\s*:\s*[^;,\n]+)")
     props = F.transform(fields, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("name"), F.trim(F.regexp_extract(x, r":\s*(.*)$", 1)).alias("type"), (~x.rlike(r"^\w+\?")).alias("is_required")))
@@ -250,7 +292,7 @@ def data_flows(files: DataFrame) -> DataFrame:
     """(component_name, file_path, type, name, detail): one row per use of a data source."""
     calls = []
     for kind, name, callee in SOURCES:
-        found = _all(F.col("body"), rf"(?<![\w.])((?:{callee})\s*(?:<[^>]*>)?\([^(),]*)", 1)
+        found = _all(F.col("body"), rf"(?<![\w.])((?:{callee})\s*(?:<(?:[^<>()]++|<[^<>()]*>)*+>)?\([^(),]*)", 1)
         calls.append(F.transform(found, _use_of(kind, name)))
     given = F.regexp_extract("body", r"^[^(]*\(\s*(\{[^}]*\}|\w+\s*:\s*\w*Props)", 1)
     calls.append(F.when(given != "", F.array(F.struct(F.lit("props").alias("type"), F.lit("props").alias("name"), F.substring(given, 1, 60).alias("detail")))).otherwise(F.array().cast("array<struct<type:string,name:string,detail:string>>")))

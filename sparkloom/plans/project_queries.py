@@ -212,6 +212,35 @@ def component_issues(spark, sf):
 GOD_SQL = """SELECT 'god-module' AS type, 'God component "C' || p_partkey || '" renders ' || (p_partkey % 30) || ' child components' AS message, 'C' || p_partkey || '.tsx' AS file FROM part WHERE p_partkey % 30 > 20
 UNION ALL SELECT 'high-coupling', 'Component "C' || p_partkey || '" uses ' || (p_partkey % 20) || ' hooks (consider splitting)', 'C' || p_partkey || '.tsx' FROM part WHERE p_partkey % 20 > 15"""
 
+NESTED_PATH = "src/d<dk>/P<k>.tsx"
+NESTED = """// const Ghost<k> = () => <Lost />;
+interface P<k>Props { id: string }
+export const P<k> = ({ id }: P<k>Props) => {
+  const t = useContext(Theme<dk>);
+  const [s] = useState<Map<string, number>>(new Map());
+  const Inner = () => { const r = useReducer(f, "const X = () => <Y />"); return <P<a> />; };
+  const c = useSelector(pick), d = useDispatch(), e = useCartStore();
+  const r = useSWR("/k<k>"); fetch("/x<b>"); /* useQuery("no") */
+  return <Box.Row>{c ? <Inner /> : <P<b> />}</Box.Row>;
+}, Q<k>: React.FC<P<k>Props> = () => <P<k> />;
+"""
+_KINDS = [("context", None), ("local-state", "useState"), ("local-state", "useReducer"), ("store", "redux"), ("store", "redux-dispatch"), ("store", "useCartStore"), ("api", "fetch"), ("api", "useSWR"), ("props", "props")]
+FLOW_KINDS_SQL = f"{_P}, f(type, name) AS (VALUES {', '.join(f'({t!r}, {n!r})' if n else f'({t!r}, NULL)' for t, n in _KINDS)}) SELECT 'P' || k AS component_name, {_sql_filled(NESTED_PATH, 'k')} AS file_path, type, coalesce(name, 'Theme' || (k % 50)) AS name FROM p, f"
+NESTED_SQL = f"""{_P} SELECT 'P' || k AS name, {_sql_filled(NESTED_PATH, 'k')} AS file_path, 'useCartStore,useContext,useDispatch,useReducer,useSWR,useSelector,useState' AS hooks, array_to_string(list_sort(list_distinct(['Box.Row', 'Inner', 'P' || ({_A}), 'P' || ({_B})])), ',') AS children, 'id:string' AS props FROM p
+ UNION ALL SELECT 'Q' || k, {_sql_filled(NESTED_PATH, 'k')}, '', 'P' || k, '' FROM p"""
+
+
+def nested_components(spark, sf):
+    """Components that hold others, two of one keyword, beside code in comments and strings."""
+    found = extract.components(_files(spark, sf, NESTED_PATH, NESTED))
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return found.select("name", "file_path", joined("hooks"), joined("children"), F.array_join(F.transform("props", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",").alias("props"))
+
+
+def data_flow_kinds(spark, sf):
+    return extract.data_flows(_files(spark, sf, NESTED_PATH, NESTED)).select("component_name", "file_path", "type", "name")
+
+
 def imports_by_table_function(spark, sf):
     """The Ruby edges in SQL alone: the table function gives the specifiers, a join finds the files."""
     udtf.register(spark)
@@ -226,3 +255,5 @@ def imports_by_table_function(spark, sf):
 QUERIES = {f"import_edges_{x}": _edges_query(x) for x in LANGUAGES} | {f.__name__: f for f in (components, render_edges, data_flows, security_rules, security_issues, prop_issues, component_issues)}
 SQL = {f"import_edges_{x}": _edges_sql(x) for x in LANGUAGES} | {"components": COMPONENTS_SQL, "render_edges": RENDER_SQL, "data_flows": FLOWS_SQL, "security_rules": RULES_SQL, "security_issues": ISSUES_SQL, "prop_issues": PROPS_SQL, "component_issues": GOD_SQL}
 QUERIES["imports_by_table_function"], SQL["imports_by_table_function"] = imports_by_table_function, SQL["import_edges_ruby"]
+QUERIES |= {f.__name__: f for f in (nested_components, data_flow_kinds)}
+SQL |= {"nested_components": NESTED_SQL, "data_flow_kinds": FLOW_KINDS_SQL}

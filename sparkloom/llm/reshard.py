@@ -116,13 +116,14 @@ def _size(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _block(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(blocks)).cast("int")
+def _block(key: str, text: str, blocks: int) -> Column:
+    """By key and text, so that rows without a key, or of one key, are dealt as well; only equal rows share a block."""
+    return F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(blocks)).cast("int")
 
 
 def plan(df: DataFrame, old: Column, shards: int, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> list[tuple]:
     """(old shard, block, rows, bytes, new shard, file) of every block; old shards x blocks at most."""
-    rows = df.select(old.alias("old_shard"), _block(key, blocks).alias("block"), _size(text).alias("size"))
+    rows = df.select(old.alias("old_shard"), _block(key, text, blocks).alias("block"), _size(text).alias("size"))
     sums = rows.groupBy("old_shard", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     return solve([tuple(r) for r in sums], shards)
 
@@ -132,26 +133,26 @@ def affected(moves: list[tuple]) -> set[int]:
     return {shard for old, _, _, _, new, _ in moves if old != new for shard in (old, new)}
 
 
-def _placed(df: DataFrame, old: Column, moves: list[tuple], key: str, blocks: int) -> tuple[DataFrame, str, str]:
+def _placed(df: DataFrame, old: Column, moves: list[tuple], key: str, text: str, blocks: int) -> tuple[DataFrame, str, str]:
     """df with the new shard and its file of each row, and the names of those columns."""
     at, block, shard, part = (fresh(df, x) for x in ("old_shard", "block", "shard", "file"))
     table = df.sparkSession.createDataFrame(moves, MOVES).select(F.col("old_shard").alias(at), F.col("block").alias(block), F.col("shard").alias(shard), F.col("file").alias(part))
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], old.alias(at), _block(key, blocks).alias(block))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], old.alias(at), _block(key, text, blocks).alias(block))
     return rows.join(F.broadcast(table), [at, block]).drop(at, block), shard, part
 
 
-def rewrite(df: DataFrame, old: Column, moves: list[tuple], folder: str, key: str = "doc_id", blocks: int = BLOCKS) -> set[int]:
+def rewrite(df: DataFrame, old: Column, moves: list[tuple], folder: str, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> set[int]:
     """Writes the rows of the affected shards below folder/shard=N, a new folder, and returns their numbers."""
     wanted = affected(moves)
-    placed, shard, part = _placed(df, old, moves, key, blocks)
+    placed, shard, part = _placed(df, old, moves, key, text, blocks)
     placed = placed.where(F.col(shard).isin(*wanted)) if wanted else placed.limit(0)
     placed.repartition(shard, part).drop(part).write.partitionBy(shard).option("compression", "zstd").parquet(folder)
     return wanted
 
 
-def rewritten(df: DataFrame, old: Column, moves: list[tuple], folder: str, key: str = "doc_id", blocks: int = BLOCKS) -> tuple[DataFrame, str]:
+def rewritten(df: DataFrame, old: Column, moves: list[tuple], folder: str, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> tuple[DataFrame, str]:
     """All rows after a rewrite with their shard, and that column's name: affected shards from their new files, others from where they were."""
-    placed, shard, part = _placed(df, old, moves, key, blocks)
+    placed, shard, part = _placed(df, old, moves, key, text, blocks)
     schema = T.StructType([*df.schema.fields, T.StructField(shard, T.IntegerType())])
     kept = placed.drop(part).where(~F.col(shard).isin(*affected(moves)))
     new = df.sparkSession.read.schema(schema).parquet(folder)
@@ -162,9 +163,9 @@ def reshard(df: DataFrame, old: Column, shards: int = 16, key: str = "doc_id", t
     """Rewrites the affected shards and returns per row, from what is read back: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     folder = folder or new_folder(df.sparkSession, "shards")
     moves = plan(df, old, shards, key, text, blocks)
-    rewrite(df, old, moves, folder, key, blocks)
-    after, shard = rewritten(df, old, moves, folder, key, blocks)
-    rows = after.select(F.col(key).alias("doc_id"), _size(text).alias("size"), F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"), F.col(shard).alias("shard"), _block(key, blocks).alias("block"))
+    rewrite(df, old, moves, folder, key, text, blocks)
+    after, shard = rewritten(df, old, moves, folder, key, text, blocks)
+    rows = after.select(F.col(key).alias("doc_id"), _size(text).alias("size"), F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"), F.col(shard).alias("shard"), _block(key, text, blocks).alias("block"))
     held: dict[tuple[int, int], int] = {}
     for _, block, n, _, at, _ in moves:
         held[at, block] = held.get((at, block), 0) + n

@@ -62,6 +62,17 @@ def test_rewrite_keeps_every_row(spark, documents, edge, before, after, tmp_path
     assert before != 1 or not wanted
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_rows_without_keys_or_of_one_key_are_spread(spark, key):
+    """A third of the bytes may have no key, or one; the law holds all the same."""
+    df = spark.range(1500).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(key)).alias("doc_id"), F.concat(F.lit("text "), F.col("id"), F.repeat(F.lit("x"), (F.col("id") % 7 * 100).cast("int"))).alias("text"), F.lit("s").alias("source"))
+    rows = reshard.reshard(df, reshard.by_source()).collect()
+    size = [sum(r["size"] for r in rows if r.shard == s) for s in range(16)]
+    assert len(rows) == 1500 and max(size) - min(size) <= 0.05 * sum(size) / 16
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_an_empty_table_writes_nothing(empty, tmp_path):
     assert reshard.reshard(empty, reshard.by_source(), folder=f"file://{tmp_path}/none").count() == 0
 

@@ -3,8 +3,8 @@
 Templates are licence notices and whole short licences with a label and mandatory
 key phrases.  In how many texts each of their words stands is counted over the
 whole table; the words of highest inverse document frequency of each template are
-the index: word -> (template, position).  In a file, the LOOKUP index words of
-highest inverse document frequency are looked up; each place gives, per posting, a
+the index: word -> (template, position).  All index words that a file has
+are looked up, so a file of many notices loses none; each place gives, per posting, a
 relative position (place in the file less place in the template).  Postings of
 one template that agree on it, give or take a few words, support one placement.
 A placement with enough support is accepted if every key phrase of its template
@@ -66,8 +66,8 @@ TEMPLATES = [
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", ["distributed in the hope that it will be useful", "gnu general public license"]),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential", ["strictly prohibited"]),
 ]
-#: Index words of each template, words looked up for a file, slack of a relative position in words, and least share of index words in agreement.
-RARE, LOOKUP, SLACK, SUPPORT = 6, 48, 3, 0.6
+#: Index words of each template, slack of a relative position in words, and least share of index words in agreement.
+RARE, SLACK, SUPPORT = 6, 3, 0.6
 
 
 def words_of(text: str) -> list[str]:
@@ -155,7 +155,8 @@ def _placements(spark: SparkSession, one: DataFrame, rows: list, holders: dict[s
     need = spark.createDataFrame(needs, "template int, label string, need array<int>")
     texts = one.where("digest is not null").select("digest", "words", "keys").dropDuplicates(["digest"])
     ranked = sorted({r[0] for r in rows}, key=lambda w: (holders.get(w, 0), w))  # highest inverse document frequency first
-    texts = texts.withColumn("mine", F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), F.col("words")), 1, LOOKUP))
+    # All of a file's index words are looked up: they are the rarest of each template, so as many as there are templates times RARE at most.
+    texts = texts.withColumn("mine", F.array_intersect(F.array(*map(F.lit, ranked)), F.col("words")))
     seen = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("mine", x["word"]))
     hits = texts.select("digest", "keys", F.explode(seen).alias("s")).select("digest", "keys", "s.*").join(F.broadcast(index), "word")
     # A placement counts in its own band of relative positions and the next, so near ones meet in at least one.

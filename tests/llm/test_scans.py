@@ -105,3 +105,12 @@ def test_many_spans_and_clashing_columns(spark, edge):
         assert tuple(masked[r.doc_id])[2:] == ([r.doc_id], "w", "d", "s", "r", "k", "x")
     assert sorted(str(tuple(r)) for r in secrets.report(secrets.scan(df)).select("doc_id", "n_hex").collect()) == sorted(str((r.doc_id, sum(s.kind == 2 for s in r.base_))) for r in rows)
     assert secrets.redacted(edge, length="k").columns == edge.columns and secrets.redacted(edge).count() == edge.count()
+
+
+def test_a_file_of_all_notices_has_all_labels(spark):
+    """Each notice that is found when it stands alone is found among all others."""
+    texts = [t for _, t, _ in licences.TEMPLATES]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(99, "\n\n".join(texts))], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licences.scan(df).collect()}
+    alone = set().union(*(got[n] for n in range(len(texts))))
+    assert alone <= got[99] and len(got[99]) >= 18

@@ -216,6 +216,50 @@ def lens(wide: DataFrame, name: str) -> DataFrame:
     return base.crossJoin(F.broadcast(top)).select("id", (F.col("v") / F.col("top")).alias("value"))
 
 
+#: A hotspot score from which a place is shown though it is no hotspot, and how faint the others are.
+FAINT_SCORE, FAINT = 0.1, 0.35
+LENSES = ("kingdom", "dependencies", "complexity", "hotspots", "threats")
+
+
+def map_lens(wide: DataFrame, name: str, threats: DataFrame | None = None) -> DataFrame:
+    """(id, value, alpha) of each place under a lens of the map; value from 0 to 1 for colouring, null for the lens's neutral colour.
+
+    kingdom: a place's own colours, so no values.  dependencies: both degrees over the sum of their greatest values.  complexity
+    and hotspots: over the greatest value; places that are neither hotspots nor near it are neutral and faint.  threats (id,
+    severity): 1 with an error, 0.5 with a warning, 0 with others alone; places without any are neutral and faint.
+    """
+    one = F.lit(1.0)
+    if name == "kingdom":
+        return wide.select("id", F.lit(None).cast("double").alias("value"), one.alias("alpha"))
+    if name == "threats":
+        rank = F.when(F.col("severity") == "error", 1.0).when(F.col("severity") == "warning", 0.5).otherwise(0.0)
+        worst = threats.groupBy("id").agg(F.max(rank).alias("value"))
+        return wide.select("id").join(worst, "id", "left").select("id", "value", F.when(F.col("value").isNull(), FAINT).otherwise(one).alias("alpha"))
+    most = {"dependencies": F.max("fan_in") + F.max("fan_out"), "complexity": F.max("complexity"), "hotspots": F.max("hotspot_score")}[name]
+    own = {"dependencies": F.col("fan_in") + F.col("fan_out"), "complexity": F.col("complexity"), "hotspots": F.col("hotspot_score")}[name]
+    value = F.when(F.col("most") > 0, F.coalesce(own, F.lit(0)) / F.col("most")).otherwise(0.0)
+    joined = wide.crossJoin(F.broadcast(wide.agg(most.cast("double").alias("most"))))  # one row
+    if name != "hotspots":
+        return joined.select("id", value.alias("value"), one.alias("alpha"))
+    shown = F.coalesce(F.col("is_hotspot"), F.lit(False)) | (F.coalesce("hotspot_score", F.lit(0.0)) >= FAINT_SCORE)
+    return joined.select("id", F.when(shown, value).alias("value"), F.when(shown, one).otherwise(FAINT).alias("alpha"))
+
+
+def flag_violations(paths: DataFrame, issues: DataFrame) -> DataFrame:
+    """paths with is_violation: whether a layering issue names their ends in this order."""
+    bad = issues.where((F.col("type") == "layering-violation") & (F.size("files") >= 2)).select(F.get("files", 0).alias("source"), F.get("files", 1).alias("target"), F.lit(True).alias("is_violation")).distinct()
+    return paths.join(bad, ["source", "target"], "left").withColumn("is_violation", F.coalesce("is_violation", F.lit(False)))
+
+
+def lens_paths(paths: DataFrame, wide: DataFrame, name: str) -> DataFrame:
+    """The paths that a lens shows: of hotspots those with a hotspot at an end, of threats circular, temporal and violating ones, else all."""
+    if name == "hotspots":
+        hot = wide.where("is_hotspot").select(F.col("id").alias("source"))
+        either = paths.join(hot, "source", "left_semi").unionByName(paths.join(hot.withColumnRenamed("source", "target"), "target", "left_semi").join(hot, "source", "left_anti"))
+        return either.select(*paths.columns)
+    return paths.where("is_circular or type = 'temporal' or is_violation") if name == "threats" else paths
+
+
 def routes(places: DataFrame, edges: DataFrame) -> DataFrame:
     """L-shaped paths between locations (id, grid_x, grid_y, tile_size, importance, community): across first, then along."""
     centre = lambda axis: (F.col(axis) + F.floor(F.col("tile_size") / 2)).cast("int")

@@ -246,6 +246,23 @@ def carried_commits(spark, sf):
     return project.carry_headers(lines, ("ts", "event_id"))
 
 
+@query(f"WITH {GRAPH}, {DEGREES}, {FULL} SELECT id, CAST(fan_in + fan_out AS DOUBLE) / (SELECT max(fan_in) + max(fan_out) FROM full_nodes) AS value, CAST(1 AS DOUBLE) AS alpha FROM full_nodes")
+def map_lens_dependencies(spark, sf):
+    return enrich.map_lens(graph.with_degrees(parts(spark, sf), successions(spark, sf)), "dependencies")
+
+
+@query(
+    f"""WITH {GRAPH}, {LAYER_ROWS}, ln AS (SELECT id, rank FROM nodes JOIN layers USING (module_type) JOIN ranks USING (layer)),
+    bad AS (SELECT DISTINCT source, target FROM edges JOIN ln a ON source = a.id JOIN ln b ON target = b.id WHERE a.rank < b.rank)
+    SELECT source, target FROM edges SEMI JOIN bad USING (source, target)"""
+)
+def violation_paths(spark, sf):
+    """Paths that the lens of threats shows, where no edge is circular or temporal: those that violate the layers."""
+    nodes, edges = parts(spark, sf), successions(spark, sf)
+    flagged = enrich.flag_violations(edges.withColumn("is_circular", F.lit(False)), graph.layer_issues(nodes, edges))
+    return enrich.lens_paths(flagged, nodes, "threats").select("source", "target")
+
+
 # ---- text ----
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import udtf
-from sparkloom.operators import communities, connected, drilldown, extract, history, incremental
+from sparkloom.operators import communities, connected, drilldown, enrich, extract, history, incremental
 from sparkloom.streaming import windows
 
 
@@ -106,3 +106,18 @@ def test_the_table_function_finds_what_the_columns_find(spark):
         found = spark.range(1).select(extract.specifiers(language, F.lit(text)).alias("s")).first().s
         want |= {(language, s.kind, s.spec) for s in found}
     assert got == want and len(got) > 20
+
+
+def test_lenses_of_the_map(spark):
+    rows = [("a", 4, 0, 10, 0.8, True), ("b", 1, 6, 5, 0.2, False), ("c", 0, 0, 0, 0.05, False)]
+    wide = spark.createDataFrame(rows, "id string, fan_in int, fan_out int, complexity int, hotspot_score double, is_hotspot boolean")
+    threats = spark.createDataFrame([("a", "warning"), ("a", "error"), ("b", "info")], "id string, severity string")
+    of = lambda name: {r.id: (r.value, r.alpha) for r in enrich.map_lens(wide, name, threats).collect()}
+    assert of("dependencies") == {"a": (0.4, 1.0), "b": (0.7, 1.0), "c": (0.0, 1.0)} and of("complexity")["b"] == (0.5, 1.0)
+    assert of("hotspots") == {"a": (1.0, 1.0), "b": (0.25, 1.0), "c": (None, 0.35)}
+    assert of("threats") == {"a": (1.0, 1.0), "b": (0.0, 1.0), "c": (None, 0.35)} and of("kingdom")["a"] == (None, 1.0)
+    paths = spark.createDataFrame([("a", "b", "import", False), ("b", "c", "import", True), ("c", "b", "temporal", False), ("b", "a", "import", False), ("c", "c", "import", False)], "source string, target string, type string, is_circular boolean")
+    issues = spark.createDataFrame([("layering-violation", ["b", "a"]), ("layering-violation", ["c"]), ("orphan", ["c", "c"])], "type string, files array<string>")
+    flagged = enrich.flag_violations(paths, issues)
+    shown = lambda name: sorted((r.source, r.target) for r in enrich.lens_paths(flagged, wide, name).collect())
+    assert shown("threats") == [("b", "a"), ("b", "c"), ("c", "b")] and shown("hotspots") == [("a", "b"), ("b", "a")] and len(shown("kingdom")) == 5

@@ -14,9 +14,11 @@ def eligible(sources: DataFrame) -> DataFrame:
     return sources.where((F.coalesce("module_type", F.lit("")) != "test") & ~F.col("path").rlike(rules.SKIPPED_FILES) & (F.octet_length("text") <= rules.MOST_BYTES))
 
 
-def _found(line: Column, language: Column, escapes: Column) -> list[Column]:
+def _found(line: Column, language: Column, escapes: Column, wanted: set[str] | None) -> list[Column]:
     out = []
     for r in rules.SECURITY_RULES:
+        if wanted is not None and r.id not in wanted:
+            continue
         hit = line.rlike(rules.java(r.pattern))
         if r.languages:
             hit = language.isin(*r.languages) & hit
@@ -33,11 +35,14 @@ def _found(line: Column, language: Column, escapes: Column) -> list[Column]:
     return out
 
 
-def findings(sources: DataFrame) -> DataFrame:
-    """(path, line, rule, kind, severity, match): the rules are unrolled into one projection per line, no join."""
+def findings(sources: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """(path, line, rule, kind, severity, match): the rules are unrolled into one projection per line, no join.
+
+    wanted: ids of the rules that are tried, if not all.
+    """
     some = eligible(sources).withColumn("escapes", F.col("text").rlike(rules.ESCAPE_FUNCTION))
     lines = some.select("path", F.coalesce("language", F.lit("")).alias("language"), "escapes", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    found = F.array_compact(F.array(*_found(F.col("line"), F.col("language"), F.col("escapes"))))
+    found = F.array_compact(F.array(*_found(F.col("line"), F.col("language"), F.col("escapes"), wanted)))
     return lines.select("path", (F.col("at") + 1).alias("line"), F.posexplode(found).alias("nth", "f")).select("path", "line", "nth", "f.*")
 
 

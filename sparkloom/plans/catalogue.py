@@ -282,12 +282,12 @@ def _sources(spark, sf):
 
 @query(rf"WITH {_SECRETS} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, 'secret' AS rule, 'error' AS severity, CASE WHEN name <> '' THEN name || ' = [redacted]' ELSE '[hardcoded secret]' END AS match FROM hit")
 def secret_findings(spark, sf):
-    return security.findings(_sources(spark, sf)).where("rule = 'secret'").select("path", F.col("line").cast("int").alias("line"), "rule", "severity", "match")
+    return security.findings(_sources(spark, sf), {"secret"}).select("path", F.col("line").cast("int").alias("line"), "rule", "severity", "match")
 
 
 @query(rf"WITH {_SECRETS} SELECT CAST(doc_id AS VARCHAR) AS path, 'security-secret' AS type, 'error' AS severity, count(*) AS total FROM hit GROUP BY doc_id")
 def security_report(spark, sf):
-    found = security.findings(_sources(spark, sf)).where("rule = 'secret'")
+    found = security.findings(_sources(spark, sf), {"secret"})
     return found.groupBy("path", F.col("kind").alias("type"), "severity").agg(F.count("*").alias("total"))
 
 

@@ -241,6 +241,22 @@ def data_flow_kinds(spark, sf):
     return extract.data_flows(_files(spark, sf, NESTED_PATH, NESTED)).select("component_name", "file_path", "type", "name")
 
 
+#: Modules, and folders that an index file stands for.
+MODULE_PATH, FOLDER_PATH = "src/d<dk>/m<k>.ts", "lib/u<k>/index.ts"
+MODULE = 'import x from "@lib/u<a>";\nimport { y } from "lib/u<b>";\nimport z from "@one/m<c>.js";\nexport * from "~/d<de>/m<e>";\nimport w from "./nothing";\nimport v from "..";\n'
+FOLDER = 'export * from "../../src/d<dk>/m<k>";\nconst s = require("../u<a>");\nconst t = import(\'../u<b>/index\');\n'
+RESOLVED_SQL = f"""{_P}, a AS (SELECT {_sql_filled(MODULE_PATH, 'k')} AS source, unnest([{_sql_filled(FOLDER_PATH, _A)}, {_sql_filled(FOLDER_PATH, _B)}, {_sql_filled(MODULE_PATH, NUMBERS['e'].format('k', 'n'))}]) AS target FROM p),
+ b AS (SELECT {_sql_filled(FOLDER_PATH, 'k')} AS source, unnest([{_sql_filled(MODULE_PATH, 'k')}, {_sql_filled(FOLDER_PATH, _A)}, {_sql_filled(FOLDER_PATH, _B)}]) AS target FROM p)
+SELECT DISTINCT source, target, 'import' AS type FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+
+
+def import_resolution(spark, sf):
+    """Aliases of several targets, the base directory, folders by their index file, and specifiers that lead nowhere."""
+    modules, folders = _files(spark, sf, MODULE_PATH, MODULE), _files(spark, sf, FOLDER_PATH, FOLDER)
+    aliases = extract.Aliases([("@lib/", ["missing/", "lib/"]), ("@one/", ["gone/", "away/"]), ("~/", ["src/"])], ".")
+    return extract.import_edges(modules.unionByName(folders.withColumn("ord", -F.col("ord"))), aliases)
+
+
 def imports_by_table_function(spark, sf):
     """The Ruby edges in SQL alone: the table function gives the specifiers, a join finds the files."""
     udtf.register(spark)
@@ -255,5 +271,5 @@ def imports_by_table_function(spark, sf):
 QUERIES = {f"import_edges_{x}": _edges_query(x) for x in LANGUAGES} | {f.__name__: f for f in (components, render_edges, data_flows, security_rules, security_issues, prop_issues, component_issues)}
 SQL = {f"import_edges_{x}": _edges_sql(x) for x in LANGUAGES} | {"components": COMPONENTS_SQL, "render_edges": RENDER_SQL, "data_flows": FLOWS_SQL, "security_rules": RULES_SQL, "security_issues": ISSUES_SQL, "prop_issues": PROPS_SQL, "component_issues": GOD_SQL}
 QUERIES["imports_by_table_function"], SQL["imports_by_table_function"] = imports_by_table_function, SQL["import_edges_ruby"]
-QUERIES |= {f.__name__: f for f in (nested_components, data_flow_kinds)}
-SQL |= {"nested_components": NESTED_SQL, "data_flow_kinds": FLOW_KINDS_SQL}
+QUERIES |= {f.__name__: f for f in (nested_components, data_flow_kinds, import_resolution)}
+SQL |= {"nested_components": NESTED_SQL, "data_flow_kinds": FLOW_KINDS_SQL, "import_resolution": RESOLVED_SQL}

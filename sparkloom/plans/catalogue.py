@@ -548,6 +548,34 @@ def verdicts(spark, sf):
     return enrich.verdicts(wide.withColumns({"normalized_complexity": F.lit(0.0), "change_frequency": F.lit(0.0)}))
 
 
+@query(
+    f"""WITH {_ISSUES}, churn AS (SELECT 'p' || l_partkey AS id, count(*) / max(count(*)) OVER () AS often FROM lineitem GROUP BY l_partkey),
+    m AS (SELECT f.*, loc / (SELECT max(loc) FROM nodes) AS busy, coalesce(often, 0) AS often FROM full_nodes f LEFT JOIN churn USING (id))
+    SELECT id, CASE WHEN busy >= 0.5 AND often >= 0.5 THEN 'refactor-first' WHEN busy >= 0.5 THEN 'complex-but-stable' WHEN often >= 0.5 THEN 'simple-but-busy' WHEN fan_in >= 8 THEN 'blast-radius' WHEN id IN (SELECT id FROM god) THEN 'oversized' WHEN id IN (SELECT id FROM orp) THEN 'unused' ELSE 'fine' END AS verdict FROM m"""
+)
+def verdicts_measured(spark, sf):
+    """Lines of code over the greatest stand for complexity, a part's order lines for its changes."""
+    wide, _ = _wide(spark, sf)
+    changes = history.change_frequency(table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("path")))
+    top = parts(spark, sf).agg(F.max("loc").alias("top"))
+    rows = wide.drop("change_frequency", "normalized_complexity").join(changes.select(F.col("path").alias("id"), F.col("frequency").alias("often")), "id", "left").crossJoin(F.broadcast(top))
+    return enrich.verdicts(rows.withColumns({"normalized_complexity": F.col("loc") / F.col("top"), "change_frequency": F.coalesce("often", F.lit(0.0))}))
+
+
+@query(
+    f"""WITH {_ISSUES}, m AS (SELECT f.*, loc / (SELECT max(loc) FROM nodes) AS pr, (ord % 100) / 100 AS bt FROM full_nodes f)
+    SELECT id, round(pr * 40 + bt * 15 + CASE WHEN id IN (SELECT id FROM god) THEN 25 ELSE 0 END + CASE WHEN module_type IN ('entry-point', 'page', 'layout') THEN 10 ELSE 0 END, 6) AS importance,
+    CASE WHEN id IN (SELECT id FROM god) OR pr > 0.6 OR loc > 200 OR fan_in + fan_out > 8 THEN 'large' WHEN pr > 0.25 OR loc > 50 OR fan_in + fan_out > 3 THEN 'medium' ELSE 'small' END AS size_category FROM m"""
+)
+def importance_with_metrics(spark, sf):
+    """The formula for graphs whose metrics are known; here they come from a part's size and number."""
+    wide, issues = _wide(spark, sf)
+    n = parts(spark, sf)
+    metrics = n.crossJoin(F.broadcast(n.agg(F.max("loc").alias("top")))).select("id", (F.col("loc") / F.col("top")).alias("page_rank"), (F.col("ord") % 100 / 100).alias("betweenness"), F.lit(0).alias("community"), F.lit(0).alias("layer"), F.lit(False).alias("is_articulation"))
+    wide = wide.withColumns({"is_hotspot": F.lit(False), "hotspot_score": F.lit(0.0)})
+    return enrich.locations(wide, issues, metrics).select("id", F.round("importance", 6).alias("importance"), "size_category")
+
+
 def _state(spark, sf, first: bool):
     o = table(spark, sf, "orders")
     cut = F.lit("1998-01-01").cast("timestamp")

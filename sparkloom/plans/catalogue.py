@@ -246,6 +246,45 @@ def carried_commits(spark, sf):
     return project.carry_headers(lines, ("ts", "event_id"))
 
 
+@query(f"WITH {GRAPH}, {DEGREES}, {FULL} SELECT id, fan_in, fan_out FROM full_nodes")
+def degrees_of_all(spark, sf):
+    """Nodes without edges have degrees of 0."""
+    return graph.with_degrees(parts(spark, sf), successions(spark, sf)).select("id", "fan_in", "fan_out")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS label, min(event_id) AS ord FROM events GROUP BY user_id")
+def node_upserts(spark, sf):
+    """Each event writes its user's node: the last label stays, at the place of the first."""
+    return graph.upsert_nodes(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("label"), F.col("event_id").alias("ord")))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')) AS escaped FROM pages")
+def escaped_markup(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(text.escape_markup(F.col("html")).cast("binary")).alias("escaped"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g'), '^_+|_+$', '', 'g') AS identifier FROM pages")
+def identifiers(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.identifier(F.col("url")).alias("identifier"))
+
+
+_KEPT = "list_concat(['src', 'x' || p_partkey, 'd' || (p_partkey % 7)][1 : CAST(3 - p_partkey % 4 AS INT)], ['index.ts'])"
+
+
+@query(f"SELECT p_partkey, array_to_string({_KEPT}, '/') AS path, CASE WHEN len({_KEPT}) > 1 THEN ({_KEPT})[-2] ELSE 'index' END AS label FROM part")
+def module_paths(spark, sf):
+    """Paths with dots, empty and parent segments and back slashes; an index file has its directory's name."""
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit("src\\x"), k, F.lit("/./d"), k % 7, F.lit("//"), F.repeat(F.lit("../"), (k % 4).cast("int")), F.lit("index.ts"))
+    path = text.normalise(text.posix(raw))
+    return table(spark, sf, "part").select("p_partkey", path.alias("path")).withColumn("label", text.module_name(F.col("path")))
+
+
+@query(f"WITH s AS ({SQL['hotspots']}) SELECT CASE WHEN hotspot_score >= 0.75 THEN 'error' ELSE 'warning' END AS severity, id FROM s WHERE is_hotspot")
+def hotspot_issues(spark, sf):
+    return history.hotspot_issues(hotspots(spark, sf)).select("severity", F.get("files", 0).alias("id"))
+
+
 @query(f"WITH {GRAPH}, {DEGREES}, {FULL} SELECT id, CAST(fan_in + fan_out AS DOUBLE) / (SELECT max(fan_in) + max(fan_out) FROM full_nodes) AS value, CAST(1 AS DOUBLE) AS alpha FROM full_nodes")
 def map_lens_dependencies(spark, sf):
     return enrich.map_lens(graph.with_degrees(parts(spark, sf), successions(spark, sf)), "dependencies")

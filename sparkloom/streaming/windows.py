@@ -42,7 +42,7 @@ def track_new(events: DataFrame) -> DataFrame:
     """A stream of (user_id, event_type, first_seen, is_new): state per user remembers the types seen so far."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split("\u0001")) if state.exists else set()
+        seen = set(state.get[0]) if state.exists else set()
         known = bool(seen)
         out = []
         for pdf in batches:
@@ -50,10 +50,10 @@ def track_new(events: DataFrame) -> DataFrame:
                 if kind not in seen:
                     out.append((key[0], kind, ts, known))
                     seen.add(kind)
-        state.update(("\u0001".join(sorted(seen)),))
+        state.update((sorted(seen),))
         yield pd.DataFrame(out, columns=["user_id", "event_type", "first_seen", "is_new"])
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_type string, first_seen timestamp, is_new boolean", "seen string", "append", "NoTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_type string, first_seen timestamp, is_new boolean", "seen array<string>", "append", "NoTimeout")
 
 
 #: Parts of a state table; a batch rewrites those that its keys fall into.

@@ -155,23 +155,29 @@ WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text
  z AS (SELECT doc_id, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place, {resample.PERCENT} * count(*) OVER () // 100 AS most FROM y WHERE words >= {resample.LEAST_WORDS})
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM z UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM y WHERE words < {resample.LEAST_WORDS}"""
 
+#: Hashes of the windows of 1, 2, 4 ... 128 and 200 bytes from each place on, each from two of the one before.
+_DOUBLED = ", ".join(f"w{n} AS (SELECT r, i, n, hash(h, lead(h, {step}) OVER (PARTITION BY r ORDER BY i)) AS h FROM w{n // 2 if n < 200 else 128})" for n, step in [*((2 << k, 1 << k) for k in range(7)), (200, 72)])
+SUFFIX_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+ c AS (SELECT r, octet_length(b) AS n, regexp_extract_all(hex(b), '..') AS cs FROM d WHERE octet_length(b) >= 200),
+ w1 AS (SELECT r, n, unnest(range(0, n)) AS i, hash(unnest(cs)) AS h FROM c), {_DOUBLED},
+ w AS MATERIALIZED (SELECT r, i, h FROM w200 WHERE i <= n - 200),
+ rep AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+ g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM rep),
+ k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM g),
+ spans AS MATERIALIZED (SELECT r, s, min(i) AS a, max(i) + 200 AS e FROM k GROUP BY r, s),
+ cuts AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r),
+ kept AS (SELECT r, string_agg(hex(b)[2 * f + 1 : 2 * coalesce(t, octet_length(b))], '' ORDER BY f) AS h FROM cuts JOIN d USING (r) GROUP BY r),
+ m AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256 FROM d LEFT JOIN m USING (r) LEFT JOIN kept USING (r)"""
+
 SQL = {
     "op10_licence_scan": LICENCE_SQL,
     "op11_line_dedup": LINE_SQL,
     "op12_vector_codes": VECTOR_SQL,
     "op13_resampling": RESAMPLE_SQL,
     "op8_secret_scan": SECRET_SQL,
-    "op3_suffix_dedup": """
-WITH d AS MATERIALIZED (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
- w AS (SELECT doc_id, i, md5(hex(b)[2 * i + 1 : 2 * i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
- r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
- g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
- k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM g),
- spans AS MATERIALIZED (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS e FROM k GROUP BY doc_id, s),
- cuts AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
- kept AS (SELECT doc_id, string_agg(hex(b)[2 * f + 1 : 2 * coalesce(t, octet_length(b))], '' ORDER BY f) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id),
- n AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
-SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op3_suffix_dedup": SUFFIX_SQL,
     "op5_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
  s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),

@@ -61,16 +61,20 @@ def _prefixes(parts: Column, separator: str) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), separator))
 
 
-def _script_files(base: Column) -> Column:
-    out = [base, *[F.concat(base, F.lit(e)) for e in SCRIPT_EXTENSIONS]]
-    bare = F.regexp_replace(base, r"\.jsx?$", "")
-    out += [F.when(base.endswith(".js"), F.concat(bare, F.lit(e))) for e in (".ts", ".tsx")] + [F.when(base.endswith(".jsx"), F.concat(bare, F.lit(".tsx")))]
-    out += [F.concat(base, F.lit("/index" + e)) for e in SCRIPT_EXTENSIONS]
-    return F.array(*out)
+def _script_keys(path: Column) -> Column:
+    """(key, place) of a script: each base that a specifier can come to and that finds it, with its place in the order of trying.
+
+    A base is tried as it is, with each extension, with that of its source for one of JavaScript, and as a folder.
+    """
+    less = lambda tail, put="": F.concat(F.left(path, F.length(path) - len(tail)), F.lit(put))
+    tails = [(e, "") for e in SCRIPT_EXTENSIONS] + [(".ts", ".js"), (".tsx", ".js"), (".tsx", ".jsx")] + [("/index" + e, "") for e in SCRIPT_EXTENSIONS]
+    keys = [F.struct(path.alias("key"), F.lit(0).alias("place"))]
+    keys += [F.when(path.endswith(tail), F.struct(less(tail, put).alias("key"), F.lit(n).alias("place"))) for n, (tail, put) in enumerate(tails, 1)]
+    return F.array_compact(F.array(*keys))
 
 
 def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_module: str | None) -> Column:
-    """Keys of a specifier, best first; nulls are no keys."""
+    """Keys of a specifier, best first; nulls are no keys.  Those of a script are bases, which `keys_of` has for each file."""
     here = directory(path)
     bases = []
     relative = spec.startswith(".")
@@ -82,8 +86,7 @@ def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_mo
         root = "" if aliases.base == "." else aliases.base.rstrip("/") + "/"
         bases.append(F.when(~relative, F.concat(F.lit(root), spec)))
     bases.append(F.when(~relative, spec))
-    # Each base is computed once: inside the lambda it is a value, not an expression.
-    script = F.flatten(F.transform(F.array_compact(F.array(*bases)), _script_files))
+    script = F.array_compact(F.array(*bases))
     dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
     package = F.split(here, "/")
     up = F.slice(package, 1, F.greatest(F.size(package) - (dots - 1), F.lit(0)))
@@ -111,7 +114,7 @@ def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_mo
 
 
 def keys_of(files: DataFrame) -> DataFrame:
-    """(kind, key, target) under which each file can be found; for most kinds one file per key."""
+    """(kind, key, target, place) under which each file can be found; for most kinds one file per key, for scripts the least place is meant."""
     f = files.withColumn("language", language_of(F.col("path"))).where("language is not null")
     p = F.col("path")
     text = F.col("text")
@@ -119,7 +122,8 @@ def keys_of(files: DataFrame) -> DataFrame:
     lang = lambda *names: f.where(F.col("language").isin(*names))
     last = lambda df: df.groupBy("kind", "key").agg(F.max_by("target", "ord").alias("target"))
     first = lambda df: df.groupBy("kind", "key").agg(F.min_by("target", "ord").alias("target"))
-    parts = [rows(lang("javascript", "typescript"), "script", p).drop("ord"), *[rows(lang("rust"), k, p).drop("ord") for k in ("mod", "super")], rows(lang("php"), "include", p).drop("ord"), rows(lang("ruby"), "ruby_relative", p).drop("ord")]
+    scripts = lang("javascript", "typescript").select(p, F.explode(_script_keys(p)).alias("k"))
+    parts = [*[rows(lang("rust"), k, p).drop("ord") for k in ("mod", "super")], rows(lang("php"), "include", p).drop("ord"), rows(lang("ruby"), "ruby_relative", p).drop("ord")]
     module = F.replace(F.regexp_replace(p, r"\.py$", ""), F.lit("/"), F.lit("."))
     parts.append(last(rows(lang("python"), "python", F.regexp_replace(module, r"\.__init__$", ""))))
     parts.append(first(rows(lang("go"), "go", directory(p))))
@@ -142,7 +146,8 @@ def keys_of(files: DataFrame) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    out = out.withColumn("place", F.lit(0))
+    return out.unionByName(scripts.select(F.lit("script").alias("kind"), "k.key", p.alias("target"), "k.place"))
 
 
 #: Parsers added by users: language to (extensions, function of the text Column giving (kind, spec) pairs).
@@ -173,10 +178,11 @@ def import_edges(files: DataFrame, aliases: Aliases | None = None, go_module: st
     wanted = files.select(F.col("path").alias("source"), F.posexplode(found).alias("nth", "s")).select("source", "nth", "s.kind", "s.spec")
     keyed = wanted.withColumn("keys", candidates(F.col("kind"), F.col("spec"), F.col("source"), aliases or Aliases([]), go_module))
     tried = keyed.select("source", "nth", "kind", F.posexplode("keys").alias("rank", "key")).where("key is not null")
-    hits = tried.join(keys_of(files), ["kind", "key"])
+    # Generated rows are estimated as if there were one for each file: never broadcast by that.
+    hits = tried.hint("merge").join(keys_of(files), ["kind", "key"])
     # A namespace alone has many files, and only one candidate: there all hits stay, elsewhere that of the least rank.
     each = F.when(F.col("kind") == "csharp", F.col("target")).alias("each")
-    best = hits.groupBy("source", "nth", "kind", each).agg(F.min_by("target", "rank").alias("target"))
+    best = hits.groupBy("source", "nth", "kind", each).agg(F.min_by("target", F.struct("rank", "place")).alias("target"))
     edges = best.where("source <> target or kind in ('script', 'python', 'go')")
     return edges.select("source", "target").distinct().withColumn("type", F.lit("import"))
 

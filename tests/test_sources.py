@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import rules, text
 from sparkloom.operators import extract, security
-from sparkloom.plans import analyze
+from sparkloom.plans import analyze, catalogue
 from sparkloom.sources import project
 from sparkloom.streaming import windows
 
@@ -94,6 +94,39 @@ def test_imports_of_all_languages(files):
     }
 
 
+SCRIPTS = ("a.ts", "a.tsx", "a.js", "b.js", "b/index.ts", "c/index.jsx", "c/index.cjs", "d.jsx", "d.tsx", "e.js.ts", "e.ts", "f.mjs", "x.js/index.tsx", "odd.TS", "g.cjs", "lib/a.ts", "src/lib/a.js", "src/n.ts")
+
+
+def _tried(base):
+    """Paths of a script base in the order of trying."""
+    ends = list(extract.SCRIPT_EXTENSIONS)
+    source = [base[:-3] + e for e in (".ts", ".tsx")] if base.endswith(".js") else [base[:-4] + ".tsx"] if base.endswith(".jsx") else []
+    return [base, *[base + e for e in ends], *source, *[f"{base}/index{e}" for e in ends]]
+
+
+def test_scripts_are_found_in_the_order_of_trying(spark):
+    specs = ["a", "a.js", "a.jsx", "a.ts", "b", "b.js", "c", "d", "d.jsx", "d.js", "e", "e.js", "e.ts", "f", "f.js", "x", "x.js", "odd", "odd.TS", "g", "b/index", "c/index", "none", ".."]
+    rows = [(f"main{i}.ts", f'import x from "{"./" if s != ".." else ""}{s}";', i) for i, s in enumerate(specs)]
+    rows += [("bare.ts", 'import x from "lib/a";\nimport y from "@/n.js";', 90), *[(p, "", 100 + i) for i, p in enumerate(SCRIPTS)]]
+    df = spark.createDataFrame(rows, "path string, text string, ord long")
+    got = {(r.source, r.target) for r in extract.import_edges(df, extract.Aliases([("@/", ["gone/", "src/"])], "src")).collect()}
+    there = {r[0] for r in rows}
+    want = {(f"main{i}.ts", next((p for p in _tried("" if s == ".." else s) if p in there), None)) for i, s in enumerate(specs)}
+    assert got == {w for w in want if w[1]} | {("bare.ts", "src/lib/a.js"), ("bare.ts", "src/n.ts")}
+
+
+def test_generated_rows_are_not_broadcast(spark):
+    for name in ("import_edges_javascript",):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan, name
+
+
+def test_a_base_is_tried_by_one_key(spark):
+    spec = spark.createDataFrame([("script", "lib/a", "m.ts")], "kind string, spec string, path string")
+    keys = spec.select(extract.candidates(F.col("kind"), F.col("spec"), F.col("path"), extract.Aliases([("lib/", ["x/", "y/"])], "src"), None).alias("keys")).first().keys
+    assert keys == ["x/a", "y/a", "src/lib/a", "lib/a"]
+
+
 def test_components_and_flows(files):
     comps = {r.name: r for r in extract.components(files).collect()}
     assert set(comps) == {"App", "Header"} and comps["App"].hooks == ["useAuth"] and comps["App"].children == ["Header"] and comps["App"].is_default_export

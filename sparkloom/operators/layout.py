@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -72,70 +73,112 @@ def treemap(nodes: DataFrame, width: float = 1200, height: float = 800) -> DataF
     return boxes.withColumn("directory", F.lit(None).cast("string")).unionByName(files)
 
 
+class _Placed:
+    """Circles by place: a grid for each power of two of the radius, whose cells are four such radii wide.
+
+    What is asked for is never wider than a cell, so nine cells of each grid have all of it.
+    """
+
+    def __init__(self, n: int):
+        self.at, self.radii, self.grids = np.zeros((n, 2)), np.zeros(n), {}
+
+    def add(self, k: int, x: float, y: float, r: float) -> None:
+        self.at[k], self.radii[k] = (x, y), r
+        level = math.frexp(r)[1]
+        side = 4.0 * 2.0**level
+        self.grids.setdefault(level, {}).setdefault((math.floor(x / side), math.floor(y / side)), []).append(k)
+
+    def within(self, x: float, y: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Circles whose edge is less than `reach` from a point, and their gaps to it; reach is at most three times the least radius."""
+        found: list[int] = []
+        for level, cells in self.grids.items():
+            side = 4.0 * 2.0**level
+            cx, cy = math.floor(x / side), math.floor(y / side)
+            for i in (cx - 1, cx, cx + 1):
+                for j in (cy - 1, cy, cy + 1):
+                    found += cells.get((i, j), ())
+        at = np.array(found, np.int64)
+        gap = np.hypot(self.at[at, 0] - x, self.at[at, 1] - y) - self.radii[at]
+        near = gap <= reach
+        return at[near], gap[near]
+
+
 def pack(items: list[tuple[str, float]]) -> list[tuple]:
     """(id, x, y, r): circles of area in proportion to value, each as near the centre as it fits beside two others.
 
-    Radii fall, so pairs of circles too far apart for one are too far for all
-    that follow, and between equal radii a spot once taken stays taken: each
-    circle adds its own pairs and spots and strikes out those it covers.
+    Radii fall, so pairs of circles too far apart for one are too far for all that
+    follow.  A pair's spot is remembered with a circle that covers it: for the next
+    radius most are covered by the same one still, and the others are looked up in
+    the grid.  Between equal radii a spot once taken stays taken, which is seen when
+    its turn comes.
     """
     ordered = sorted(items, key=lambda i: (-i[1], i[0]))
     radii = np.sqrt(np.maximum([float(v) for _, v in ordered], 0.0))
-    at = np.zeros((len(ordered), 2))
-    near = np.empty((0, 2), np.int64)  # pairs that a circle of radius `last` can touch
-    spots, last = np.empty((0, 2)), math.inf
-    for k, r in enumerate(radii):
-        if k == 1:
-            at[1] = radii[0] + r, 0.0
-        if k > 1:
-            if r < last:
-                near = near[_gap(at, radii, near) <= 2 * r]
-                spots, last = _free(_beside(at, radii, near, r), at[:k], radii[:k] + r), r
-            away = np.round(np.hypot(spots[:, 0], spots[:, 1]), 9)
-            at[k] = spots[np.lexsort((spots[:, 1], spots[:, 0], away))[0]]
-        fresh = np.column_stack([np.arange(k), np.full(k, k)])
-        fresh = fresh[_gap(at, radii, fresh) <= 2 * r]
-        near = np.concatenate([near, fresh])
+    placed, last = _Placed(len(ordered)), math.inf
+    known = [np.empty((4, 0), np.int64)]  # of pairs that a circle of radius `last` can touch: both, the side, what covers the spot or -1
+    heap: list[tuple[float, float, float]] = []
+
+    def offer(spots: np.ndarray) -> None:
+        for spot in zip(np.round(np.hypot(spots[:, 0], spots[:, 1]), 9).tolist(), *spots.T.tolist(), strict=True):
+            heapq.heappush(heap, spot)
+
+    for k, r in enumerate(radii.tolist()):
+        if k > 1 and r < last:
+            pairs, spots = _beside(placed, np.concatenate(known, axis=1), r)
+            by = pairs[3]
+            known_by = np.hypot(*(spots - placed.at[by]).T) < placed.radii[by] + r - 1e-9
+            for n in np.flatnonzero((by < 0) | ~known_by).tolist():
+                close, gap = placed.within(*spots[n].tolist(), r)
+                by[n] = close[gap.argmin()] if len(gap) and gap.min() < r - 1e-9 else -1
+            known, heap, last = [pairs], [], r
+            offer(spots[by < 0])
+        x, y = (radii[0] + r, 0.0) if k == 1 else (0.0, 0.0)
+        while k > 1:
+            _, x, y = heap[0]
+            if not (placed.within(x, y, r)[1] < r - 1e-9).any():
+                break
+            heapq.heappop(heap)
+        close, _ = placed.within(x, y, 3 * r)
+        placed.add(k, x, y, r)
+        if not k:
+            continue
+        fresh = np.stack([np.tile(close, 2), np.full(2 * len(close), k), np.repeat([1, -1], len(close)), np.full(2 * len(close), -1)])
         if k > 1:
-            more = _free(_beside(at, radii, fresh, r), at[: k + 1], radii[: k + 1] + r)
-            spots = np.concatenate([_free(spots, at[k : k + 1], radii[k : k + 1] + r), more])
-    return [(name, float(x), float(y), float(r)) for (name, _), (x, y), r in zip(ordered, at, radii, strict=True)]
-
-
-def _gap(at: np.ndarray, radii: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    a, b = pairs.T
-    return np.hypot(*(at[b] - at[a]).T) - radii[a] - radii[b]
-
-
-def _beside(at: np.ndarray, radii: np.ndarray, pairs: np.ndarray, r: float) -> np.ndarray:
-    """Centres of circles of radius r that touch both circles of a pair."""
-    a, b = pairs.T
-    d = np.hypot(*(at[b] - at[a]).T)
-    p, q = radii[a] + r, radii[b] + r
+            fresh, spots = _beside(placed, fresh, r)
+            around = np.append(close, k)
+            short = np.hypot(spots[:, :1] - placed.at[around, 0], spots[:, 1:] - placed.at[around, 1]) - placed.radii[around] - r
+            fresh[3] = np.where(short.min(1, initial=math.inf) < -1e-9, around[short.argmin(1)], -1)
+            offer(spots[fresh[3] < 0])
+        known.append(fresh)
+    return [(name, float(x), float(y), float(r)) for (name, _), (x, y), r in zip(ordered, placed.at, radii, strict=True)]
+
+
+def _beside(placed: _Placed, pairs: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (both, side, ...) those that a circle of radius r can touch, and its centres."""
+    a, b, side = pairs[:3]
+    d = np.hypot(*(placed.at[b] - placed.at[a]).T)
+    p, q = placed.radii[a] + r, placed.radii[b] + r
     ok = (d > 0) & (d <= p + q)
-    a, b, d, p, q = a[ok], b[ok], d[ok], p[ok], q[ok]
+    pairs, a, b, side, d, p, q = pairs[:, ok], a[ok], b[ok], side[ok], d[ok], p[ok], q[ok]
     along = (p * p - q * q + d * d) / (2 * d)
-    up = np.sqrt(np.maximum(p * p - along * along, 0.0))
-    ux, uy = (at[b] - at[a]).T / d
-    return np.concatenate([np.column_stack([at[a, 0] + along * ux - s * up * uy, at[a, 1] + along * uy + s * up * ux]) for s in (1, -1)])
-
-
-def _free(spots: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Spots that keep the distances from all circles; in steps, so that few rows of distances stand in memory."""
-    step = max(1, 1_000_000 // max(len(at), 1))
-    parts = [spots[k : k + step] for k in range(0, len(spots), step)]
-    return np.concatenate([spots[:0], *(s[(np.hypot(s[:, :1] - at[:, 0], s[:, 1:] - at[:, 1]) >= apart - 1e-9).all(1)] for s in parts)])
+    up = side * np.sqrt(np.maximum(p * p - along * along, 0.0))
+    ux, uy = (placed.at[b] - placed.at[a]).T / d
+    return pairs, np.column_stack([placed.at[a, 0] + along * ux - up * uy, placed.at[a, 1] + along * uy + up * ux])
 
 
 def pack_circles(nodes: DataFrame) -> DataFrame:
-    """(directory, id, x, y, r): the files of each directory packed about its centre."""
+    """(directory, id, x, y, r): the files of each directory packed about its centre.
+
+    Directories are dealt to as many tasks as shuffles have: their rows are few bytes for much work, and would be put together by size.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pack(list(zip(pdf["id"], pdf["value"], strict=True)))
         return pd.DataFrame(rows, columns=["id", "x", "y", "r"]).assign(directory=pdf["directory"].iloc[0])
 
     sized = nodes.select("directory", "id", F.greatest(F.col("loc"), F.lit(1)).cast("double").alias("value"))
-    return sized.groupBy("directory").applyInPandas(one, "id string, x double, y double, r double, directory string")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sized.repartition(tasks, "directory").groupBy("directory").applyInPandas(one, "id string, x double, y double, r double, directory string")
 
 
 def mulberry32(seed: int):

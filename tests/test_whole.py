@@ -3,6 +3,8 @@
 import math
 import time
 
+import numpy as np
+
 from sparkloom.operators import layout
 from sparkloom.plans import catalogue
 from sparkloom.plans.roles import parts, successions, table
@@ -56,3 +58,36 @@ def test_packing_hundreds_takes_seconds_and_keeps_circles_apart():
     for i, (_, x, y, r) in enumerate(placed):
         gaps = [math.hypot(x - ox, y - oy) - r - o for _, ox, oy, o in placed[:i]]
         assert min(gaps, default=0) > -1e-6 and sum(abs(g) < 1e-6 for g in gaps) >= min(i, 2)
+
+
+def test_packing_thousands_takes_seconds_and_keeps_circles_apart():
+    began = time.process_time()
+    placed = layout.pack([(f"p{i}", float(40 * (i * 37 % 50 + 1))) for i in range(4000)])
+    assert time.process_time() - began < 20
+    at = np.array([p[1:] for p in placed])
+    for i in range(1, len(at)):
+        gaps = np.hypot(*(at[:i, :2] - at[i, :2]).T) - at[:i, 2] - at[i, 2]
+        assert gaps.min() > -1e-6 and (abs(gaps) < 1e-6).sum() >= min(i, 2)
+
+
+def test_packing_is_that_of_all_pairs():
+    """Against trying every pair's spots anew, for sizes far apart, close together, and none."""
+    for values in ([float(3**i) for i in range(12)], [float(i * 5 % 13 + 1) for i in range(25)], [5.0, 1.0, 0.0, 0.0]):
+        want = []
+        for r in sorted((math.sqrt(v) for v in values), reverse=True):
+            if len(want) < 2:
+                want.append((want[0][2] + r if want else 0.0, 0.0, r))
+                continue
+            spots = []
+            for i, (ax, ay, a) in enumerate(want):
+                for bx, by, b in want[i + 1 :]:
+                    d, p, q = math.hypot(bx - ax, by - ay), a + r, b + r
+                    if 0 < d <= p + q + 1e-12:
+                        along = (p * p - q * q + d * d) / (2 * d)
+                        up = math.sqrt(max(p * p - along * along, 0.0))
+                        ux, uy = (bx - ax) / d, (by - ay) / d
+                        spots += [(ax + along * ux - s * up * uy, ay + along * uy + s * up * ux) for s in (1, -1)]
+            free = [(x, y) for x, y in spots if all(math.hypot(x - ox, y - oy) >= o + r - 1e-9 for ox, oy, o in want)]
+            want.append((*min(free, key=lambda s: (round(math.hypot(*s), 7), round(s[0], 7), round(s[1], 7))), r))
+        got = layout.pack([(f"p{i:02d}", v) for i, v in enumerate(values)])
+        assert [tuple(round(x, 5) + 0.0 for x in g[1:]) for g in got] == [tuple(round(x, 5) + 0.0 for x in w) for w in want]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import enrich, graph, graph_metrics, history, layout
-from sparkloom.plans import export
+from sparkloom.plans import catalogue, export
 
 NODE = "id string, file_path string, label string, module_type string, loc int, directory string, language string, ord long"
 
@@ -211,6 +211,14 @@ def test_routes_are_whole_walks(spark):
     walks = {(x.source, x.target): [(p.x, p.y) for p in x.points] for x in r}
     assert walks[("a", "b")] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2)] and walks[("a", "a")] == [(0, 0)]
     assert all(x.importance == 3.0 for x in r if x.source != x.target)
+    assert all(x.n_points == len(x.points) for x in r)
+
+
+def test_length_of_a_route_takes_no_points(spark):
+    places = spark.createDataFrame([("a", 0, 0, 1, 2.0, 0), ("b", 900_000_000, -500_000_000, 1, 4.0, 1)], "id string, grid_x int, grid_y int, tile_size int, importance double, community int")
+    assert enrich.routes(places, edges(spark, ("a", "b"))).select("n_points").first().n_points == 1_400_000_001
+    plan = catalogue.QUERIES["manhattan_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan
 
 
 def test_react_detectors(spark):

@@ -116,7 +116,7 @@ def test_scripts_are_found_in_the_order_of_trying(spark):
 
 
 def test_generated_rows_are_not_broadcast(spark):
-    for name in ("import_edges_javascript", "import_resolution", "import_edges_php", "import_edges_python"):
+    for name in ("import_edges_javascript", "import_resolution", "import_edges_php", "import_edges_python", "import_edges_rust"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan, name
 

@@ -113,41 +113,43 @@ def candidates(kind: Column, spec: Column, path: Column, aliases: Aliases, go_mo
     return out.otherwise(F.array(F.regexp_replace(spec, r"\.$", "")))  # a wildcard names its package
 
 
+#: Kinds of which a key means one file, the last (of Go the first) in order; of the others all files of a key count.
+ONE_FILE = ("python", "go", "java", "crate", "php", "ruby")
+
+
 def keys_of(files: DataFrame) -> DataFrame:
-    """(kind, key, target, place) under which each file can be found; for most kinds one file per key, for scripts the least place is meant."""
-    f = files.withColumn("language", language_of(F.col("path"))).where("language is not null")
-    p = F.col("path")
-    text = F.col("text")
-    rows = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("key"), p.alias("target"), "ord")
-    lang = lambda *names: f.where(F.col("language").isin(*names))
-    last = lambda df: df.groupBy("kind", "key").agg(F.max_by("target", "ord").alias("target"))
-    first = lambda df: df.groupBy("kind", "key").agg(F.min_by("target", "ord").alias("target"))
-    scripts = lang("javascript", "typescript").select(p, F.explode(_script_keys(p)).alias("k"))
-    parts = [*[rows(lang("rust"), k, p).drop("ord") for k in ("mod", "super")], rows(lang("php"), "include", p).drop("ord"), rows(lang("ruby"), "ruby_relative", p).drop("ord")]
+    """(kind, key, target, place) under which each file can be found; for most kinds one file per key, for scripts the least place is meant.
+
+    All keys of a file come from one look at it, whatever its language.
+    """
+    p, text = F.col("path"), F.col("text")
+    key = lambda kind, key, place=F.lit(0): F.struct(F.lit(kind).alias("kind"), key.alias("key"), place.alias("place"))
+    some = lambda *keys: F.array_compact(F.array(*keys))
+    named = lambda tail: F.regexp_replace(F.regexp_extract(p, "([^/]*)$", 1), tail, "")
     module = F.replace(F.regexp_replace(p, r"\.py$", ""), F.lit("/"), F.lit("."))
-    parts.append(last(rows(lang("python"), "python", F.regexp_replace(module, r"\.__init__$", ""))))
-    parts.append(first(rows(lang("go"), "go", directory(p))))
     package = F.regexp_extract(text, r"(?m)^package\s+([\w.]+)", 1)
-    jvm = lang("java", "kotlin").where(package != "")
-    stem = F.regexp_replace(F.regexp_extract(p, "([^/]*)$", 1), r"\.(java|kt|kts)$", "")
-    parts.append(last(rows(jvm, "java", F.concat(package, F.lit("."), stem)).unionByName(rows(jvm, "java", package))))
     crate = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "^src/", "crate/"), r"\.rs$", ""), "/mod$", "")
-    parts.append(last(rows(lang("rust"), "crate", F.replace(crate, F.lit("/"), F.lit("::")))))
     space = F.regexp_extract(text, r"namespace\s+([\w.]+)", 1)
-    parts.append(rows(lang("csharp").where(space != ""), "csharp", space).drop("ord"))
     php = F.regexp_extract(text, r"(?m)^namespace\s+([\w\\]+)", 1)
-    with_php = lang("php").where(php != "")
-    name = F.regexp_replace(F.regexp_extract(p, "([^/]*)$", 1), r"\.php$", "")
-    parts.append(last(rows(with_php, "php", F.concat(php, F.lit("\\"), name)).unionByName(rows(with_php, "php", php))))
     bare = F.regexp_replace(p, r"\.rb$", "")
-    ruby = lang("ruby")
-    short = ruby.where(bare.startswith("lib/") | bare.startswith("app/"))
-    parts.append(last(rows(ruby, "ruby", bare).unionByName(rows(short, "ruby", F.substring(bare, 5, 1 << 30)))))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    out = out.withColumn("place", F.lit(0))
-    return out.unionByName(scripts.select(F.lit("script").alias("kind"), "k.key", p.alias("target"), "k.place"))
+    short = bare.startswith("lib/") | bare.startswith("app/")
+    language = F.col("language")
+    keys = (
+        F.when(language.isin("javascript", "typescript"), F.transform(_script_keys(p), lambda k: key("script", k["key"], k["place"])))
+        .when(language == "python", some(key("python", F.regexp_replace(module, r"\.__init__$", ""))))
+        .when(language == "go", some(key("go", directory(p))))
+        .when(language.isin("java", "kotlin"), some(*[F.when(package != "", key("java", k)) for k in (F.concat(package, F.lit("."), named(r"\.(java|kt|kts)$")), package)]))
+        .when(language == "rust", some(key("mod", p), key("super", p), key("crate", F.replace(crate, F.lit("/"), F.lit("::")))))
+        .when(language == "csharp", some(F.when(space != "", key("csharp", space))))
+        .when(language == "php", some(key("include", p), *[F.when(php != "", key("php", k)) for k in (F.concat(php, F.lit("\\"), named(r"\.php$")), php)]))
+        .when(language == "ruby", some(key("ruby_relative", p), key("ruby", bare), F.when(short, key("ruby", F.substring(bare, 5, 1 << 30)))))
+    )
+    # The outer form: of the inner one the optimiser makes a filter, which computes all keys once more.
+    rows = files.select(p, text, "ord", language_of(p).alias("language")).select(p, "ord", F.explode_outer(keys).alias("k")).where("k is not null").select("k.*", p, "ord")
+    kind = F.col("kind")
+    each = F.when(~kind.isin(*ONE_FILE), p).alias("each")
+    target = F.when(kind == "go", F.min_by("path", "ord")).when(kind.isin(*ONE_FILE), F.max_by("path", "ord")).otherwise(F.min("path"))
+    return rows.groupBy("kind", "key", each).agg(target.alias("target"), F.min("place").alias("place")).select("kind", "key", "target", "place")
 
 
 #: Parsers added by users: language to (extensions, function of the text Column giving (kind, spec) pairs).
@@ -175,9 +177,10 @@ def import_edges(files: DataFrame, aliases: Aliases | None = None, go_module: st
         for e in extensions:
             hit = hit | F.lower(F.col("path")).endswith(e)
         found = F.when(hit, of(text)).otherwise(found)
-    wanted = files.select(F.col("path").alias("source"), F.posexplode(found).alias("nth", "s")).select("source", "nth", "s.kind", "s.spec")
+    # The outer forms: of the inner ones the optimiser makes filters, which compute specifiers and keys once more.
+    wanted = files.select(F.col("path").alias("source"), F.posexplode_outer(found).alias("nth", "s")).where("s is not null").select("source", "nth", "s.kind", "s.spec")
     keyed = wanted.withColumn("keys", candidates(F.col("kind"), F.col("spec"), F.col("source"), aliases or Aliases([]), go_module))
-    tried = keyed.select("source", "nth", "kind", F.posexplode("keys").alias("rank", "key")).where("key is not null")
+    tried = keyed.select("source", "nth", "kind", F.posexplode_outer("keys").alias("rank", "key")).where("key is not null")
     # Generated rows are estimated as if there were one for each file: never broadcast by that.
     hits = tried.hint("merge").join(keys_of(files), ["kind", "key"])
     # A namespace alone has many files, and only one candidate: there all hits stay, elsewhere that of the least rank.

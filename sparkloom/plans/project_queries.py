@@ -23,6 +23,8 @@ NUMBERS = {"k": "{0}", "a": "({0} + 1) % {1}", "b": "({0} * 7 + 1) % {1}", "c":
 def _numbers(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     n = part.count()
+    # A few bytes of a part stand for a whole file: what is one task to read is many to extract from.
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     cols = {f"_{x}": F.expr(f.format("k", n)) for x, f in NUMBERS.items()}
     return part.withColumns(cols).withColumns({f"_d{x}": F.col(f"_{x}") % 50 for x in NUMBERS})
 

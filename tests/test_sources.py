@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import rules, text
 from sparkloom.operators import extract, security
-from sparkloom.plans import analyze, catalogue
+from sparkloom.plans import analyze, catalogue, project_queries
 from sparkloom.sources import project
 from sparkloom.streaming import windows
 
@@ -121,6 +121,29 @@ def test_generated_rows_are_not_broadcast(spark):
         assert "Broadcast" not in plan and "SortMergeJoin" in plan, name
 
 
+@pytest.mark.parametrize("name, scans", [("import_resolution", 4), ("import_edges_php", 2), ("import_edges_python", 2), ("import_edges_rust", 2)])
+def test_files_are_read_once_for_their_keys(spark, name, scans):
+    # Once for what they import and once for the keys they are found by, not once more for each kind of key.
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scans
+
+
+def test_a_file_of_few_bytes_is_dealt_to_many_tasks(spark):
+    files = project_queries._files(spark, "/root/testdata/sf0.001", *project_queries.LANGUAGES["rust"][:2])
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_last_file_of_a_key_counts_and_of_go_the_first(spark):
+    rows = [("a/x.go", "package a"), ("a/y.go", "package a"), ("j/A.java", "package p;"), ("k/A.kt", "package p"), ("lib/r.rb", ""), ("r.rb", ""), ("q.php", "namespace N;"), ("m/q.php", "namespace N;"), ("c.cs", "namespace S"), ("d.cs", "namespace S"), ("src/n.rs", ""), ("src/n/mod.rs", ""), ("t.py", ""), ("t/__init__.py", ""), ("s.ts", ""), ("s.TXT", "")]
+    df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "path string, text string, ord long")
+    got = sorted((r.kind, r.key, r.target) for r in extract.keys_of(df).where("kind <> 'script'").collect())
+    want = [("go", "a", "a/x.go"), ("java", "p", "k/A.kt"), ("java", "p.A", "k/A.kt"), ("php", "N", "m/q.php"), ("php", "N\\q", "m/q.php"), ("csharp", "S", "c.cs"), ("csharp", "S", "d.cs")]
+    want += [("include", "m/q.php", "m/q.php"), ("include", "q.php", "q.php"), ("python", "t", "t/__init__.py"), ("crate", "crate::n", "src/n/mod.rs")]
+    want += [(k, p, p) for k in ("mod", "super") for p in ("src/n.rs", "src/n/mod.rs")] + [("ruby", "r", "r.rb"), ("ruby", "lib/r", "lib/r.rb"), *[("ruby_relative", p, p) for p in ("lib/r.rb", "r.rb")]]
+    assert got == sorted(want)
+    assert {(r.key, r.target, r.place) for r in extract.keys_of(df).where("kind = 'script'").collect()} == {("s.ts", "s.ts", 0), ("s", "s.ts", 1), ("s.js", "s.ts", 7)}
+
+
 def test_a_base_is_tried_by_one_key(spark):
     spec = spark.createDataFrame([("script", "lib/a", "m.ts")], "kind string, spec string, path string")
     keys = spec.select(extract.candidates(F.col("kind"), F.col("spec"), F.col("path"), extract.Aliases([("lib/", ["x/", "y/"])], "src"), None).alias("keys")).first().keys

@@ -52,6 +52,8 @@ WIDTH, PERCENT = 3, 90
 BUCKETS, ROW, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 16, 1 << 20, 1 << 29
 #: Min-wise keys of a class, 64-bit words of its parity map, members of a block, rows and pairs that a task looks at together.
 KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS = 3, 8, 2048, 1 << 17, 1 << 21
+#: Bytes of text that a task hashes at a time; what it makes of them takes many times as much.
+SLICE = 1 << 19
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 raw, rows = utf8(part.column(0))
                 raw = LOWER[raw]
                 starts, ends, row = word_spans(raw, rows, BLANK)
@@ -132,7 +134,7 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, count
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 rows = part.num_rows
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = signatures(hashes, row, rows)
@@ -212,7 +214,7 @@ def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(_marks(batch.column(0), wanted.value))), "t"):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(0), wanted.value))), "t", SLICE):
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = [s.tobytes() for s in signatures(hashes, row, part.num_rows)]
                 first = {sig[i]: i for i in reversed(np.flatnonzero(n).tolist())}
@@ -525,7 +527,7 @@ def _marked(df: DataFrame, key: str, text: str, width: int, bits, name: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value) & _present(batch.column(key_at)))), text):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value) & _present(batch.column(key_at)))), text, SLICE):
                 hashes, row, n = sets_of(part.column(at), width)
                 sig = [s.tobytes() if k else None for s, k in zip(signatures(hashes, row, part.num_rows), n, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names=names)

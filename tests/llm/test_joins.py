@@ -175,3 +175,22 @@ def test_construction_is_a_suffix_order_per_column():
             want = 0 if a[0] != b[0] else next((k for k in range(len(a[1])) if a[1][k] != b[1][k]), len(a[1]))
             assert common[x] == min(want, 6)
         assert t == 0 or (symbols == texts[order, t - 1]).all()
+
+
+def test_few_rows_are_a_literal(spark):
+    from sparkloom.llm import shared
+
+    rows = spark.range(5).select(F.col("id").alias("token"), F.lit(True).alias("hot"), F.when(F.col("id") > 0, F.col("id").cast("int")).alias("blocks"))
+    for df in (rows, rows.limit(0)):
+        got = shared.few(df)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "RDD" not in plan  # no Python workers to read it
+        assert got.schema == df.schema and got.collect() == df.collect()
+
+
+def test_more_than_few_rows_are_shuffled(spark, monkeypatch):
+    from sparkloom.llm import shared
+
+    monkeypatch.setattr(shared, "FEW", 4)
+    rows = spark.range(5)
+    assert shared.few(rows) is rows

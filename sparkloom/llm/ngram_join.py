@@ -44,16 +44,25 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import compact, few, fresh, settle, texts
-from .textbatch import BLANK, LOWER, U64, distinct_by_row, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
+from .textbatch import BLANK, LOWER, U64, distinct_by_row, give_back, mix, shingle_hashes, span_hashes, utf8, word_spans
+from .textbatch import slices as _slices
 
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, PERCENT = 3, 90
 #: Buckets of the sketch, dealt in rows of ROW bytes; least and most bits of the map of wanted rows.
 BUCKETS, ROW, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 16, 1 << 20, 1 << 29
 #: Min-wise keys of a class, 64-bit words of its parity map, members of a block, rows and pairs that a task looks at together.
-KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS = 3, 8, 2048, 1 << 17, 1 << 21
+KEYS, MAP_WORDS, BLOCK, ROWS, PAIRS = 3, 8, 2048, 1 << 16, 1 << 18
+#: Pairs whose parity maps a task compares at a time.
+LOOKS = 1 << 15
 #: Bytes of text that a task hashes at a time; what it makes of them takes many times as much.
-SLICE = 1 << 19
+SLICE = 1 << 18
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of SLICE bytes; what they took goes back to the system after each batch."""
+    yield from _slices(batch, text, SLICE)
+    give_back()
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +99,7 @@ def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "t", SLICE):
+            for part in slices(batch, "t"):
                 raw, rows = utf8(part.column(0))
                 raw = LOWER[raw]
                 starts, ends, row = word_spans(raw, rows, BLANK)
@@ -134,7 +143,7 @@ def prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, count
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in batches:
-            for part in slices(batch, "t", SLICE):
+            for part in slices(batch, "t"):
                 rows = part.num_rows
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = signatures(hashes, row, rows)
@@ -214,7 +223,7 @@ def sets(df: DataFrame, key: str, text: str, width: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(_marks(batch.column(0), wanted.value))), "t", SLICE):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(0), wanted.value))), "t"):
                 hashes, row, n = sets_of(part.column(1), width)
                 sig = [s.tobytes() for s in signatures(hashes, row, part.num_rows)]
                 first = {sig[i]: i for i in reversed(np.flatnonzero(n).tolist())}
@@ -334,19 +343,24 @@ def forest(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iter
             apart = (a != b) & ~(linked[a] & linked[b] & (label[a] == label[b]))
             key = np.unique(a[apart] * len(one) + b[apart])
             a, b = np.divmod(key, len(one))
-            found.append(key[_slack(maps[a], maps[b], size[a], size[b], percent) >= 0])
+            found.append(key[_slack(maps, size, a, b, percent) >= 0])
         a, b = np.divmod(np.unique(np.concatenate(found)), len(one))
         if not whole:
-            a, b = _spanning(a, b, _slack(maps[a], maps[b], size[a], size[b], percent) / (size[a] + size[b]), np.where(linked, label, 0), linked)
+            a, b = _spanning(a, b, _slack(maps, size, a, b, percent) / (size[a] + size[b]), np.where(linked, label, 0), linked)
         names = [one[k] for k in (a, b)]
         pick = [rows.column(4).combine_chunks().take(pa.array(k)) for k in names]
         yield pa.RecordBatch.from_arrays([*pick, pa.array(size[a], pa.int32()), pa.array(size[b], pa.int32())], names=["a", "b", "na", "nb"])
+        give_back()
 
 
-def _slack(ma: np.ndarray, mb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Below 0 if parity maps show that two sets differ too much."""
-    apart = np.bitwise_count(ma ^ mb).sum(axis=1, dtype=np.int64)
-    return (100 + percent) * (na + nb - apart) - 2 * percent * (na + nb)
+def _slack(maps: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Of each pair of sets, below 0 if their parity maps show that they differ too much; LOOKS pairs at a time, as a map is many times a pair."""
+    apart = np.empty(len(a), np.int64)
+    for k in range(0, len(a), LOOKS):
+        part = slice(k, k + LOOKS)
+        apart[part] = np.bitwise_count(maps[a[part]] ^ maps[b[part]]).sum(axis=1, dtype=np.int64)
+    both = size[a] + size[b]
+    return (100 + percent) * (both - apart) - 2 * percent * both
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, slack: np.ndarray, label: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -527,7 +541,7 @@ def _marked(df: DataFrame, key: str, text: str, width: int, bits, name: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value) & _present(batch.column(key_at)))), text, SLICE):
+            for part in slices(batch.filter(pa.array(_marks(batch.column(key_at), bits.value) & _present(batch.column(key_at)))), text):
                 hashes, row, n = sets_of(part.column(at), width)
                 sig = [s.tobytes() if k else None for s, k in zip(signatures(hashes, row, part.num_rows), n, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names=names)

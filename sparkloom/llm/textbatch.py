@@ -48,11 +48,16 @@ def _let_go(owner: str) -> None:
         HELD.pop(name)()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            return
+        give_back()
+
+
+def give_back() -> None:
+    """Hands memory that was freed, but kept for later, back to the system: a worker stays between tasks, and each executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,31 @@ def test_more_than_few_rows_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(shared, "FEW", 4)
     rows = spark.range(5)
     assert shared.few(rows) is rows
+
+
+def test_a_block_is_looked_at_in_little_memory():
+    """All pairs of a block of near copies: it once took 532 MB."""
+    import tracemalloc
+
+    n = ngram_join.BLOCK
+    rng = np.random.default_rng(3)
+    maps = np.repeat(rng.integers(-(2**62), 2**62, (1, ngram_join.MAP_WORDS)), n, axis=0)
+    maps[np.arange(n), rng.integers(0, ngram_join.MAP_WORDS, n)] ^= 1 << rng.integers(0, 60, n)
+    name = pa.array([rng.bytes(16) for _ in range(n)], pa.binary())
+    same = lambda x, kind: pa.array(np.full(n, x), kind)
+    columns = {"token": same(7, pa.int64()), "i": same(0, pa.int32()), "j": same(0, pa.int32()), "side": same(2, pa.int32()), "c": name, "n": same(500, pa.int32()), "pos": same(0, pa.int32()), "label": pa.nulls(n, pa.int64()), "maps": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * ngram_join.MAP_WORDS, pa.int32()), pa.array(maps.ravel()))}
+    batch = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    try:
+        (found,) = ngram_join.forest(iter([batch]), 90, False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == n - 1 and peak < 250 << 20, peak >> 20
+
+
+def test_the_join_hands_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngram_join, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"t": ["a b c d"] * 5})
+    assert sum(p.num_rows for p in ngram_join.slices(batch, "t")) == 5 and calls == [1]

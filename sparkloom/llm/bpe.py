@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts
-from .textbatch import HELD, slices
+from .textbatch import HELD, give_back, slices
 
 #: Entries of the two halves of the cache of encoded pieces, in each Python worker.
 CACHE = 300_000
@@ -240,6 +240,7 @@ def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
+            give_back()
 
     return texts(df).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts
-from .textbatch import LOWER, U64, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
+from .textbatch import LOWER, U64, give_back, mix, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 #: Words of a seed and of the least tile; share of an item's words that makes it leaked.
 SEED, COVERAGE = 5, 0.8
@@ -229,6 +229,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
                     keep = np.ones(part.num_rows, bool)
                     keep[[x[0] for x in leaks(part, at, sent.value)]] = False
                     yield part.filter(pa.array(keep))
+                give_back()
 
         df = texts(df).mapInArrow(run, df.schema)
     return df

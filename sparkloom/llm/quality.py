@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts
-from .textbatch import BLANK, U64, mix, slices, span_hashes, utf8, word_spans
+from .textbatch import BLANK, U64, give_back, mix, slices, span_hashes, utf8, word_spans
 
 #: Rows that train the scorer, buckets of hashed features, and the score from which a text is kept.
 SAMPLE, BUCKETS, KEEP = 4000, 1 << 16, 0.5
@@ -298,5 +298,6 @@ def keep(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: s
         for batch in batches:
             for part in slices(batch, text):
                 yield part.filter(pa.array(sent.value.scores(Slice(part.column(at))) >= KEEP))
+            give_back()
 
     return texts(df).mapInArrow(run, df.schema)

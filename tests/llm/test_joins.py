@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import components as components_module
-from sparkloom.llm import ngram_join, suffix_dedup
+from sparkloom.llm import bpe, decontaminate, ngram_join, quality, suffix_dedup
 from sparkloom.llm.components import components
 
 
@@ -223,3 +223,37 @@ def test_the_join_hands_memory_back(monkeypatch):
     monkeypatch.setattr(ngram_join, "give_back", lambda: calls.append(1))
     batch = pa.RecordBatch.from_pydict({"t": ["a b c d"] * 5})
     assert sum(p.num_rows for p in ngram_join.slices(batch, "t")) == 5 and calls == [1]
+
+
+@pytest.mark.parametrize("stage", ["quality", "decontaminate", "bpe"])
+def test_stages_hand_memory_back(stage, monkeypatch):
+    """What a stage maps over the batches, taken from it and run here."""
+    import importlib
+
+    module = importlib.import_module(f"sparkloom.llm.{stage}")
+    calls, taken = [], []
+    monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+
+    class Rows:
+        """As much of a table as a stage asks for."""
+
+        columns, schema = ["text"], None
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda value: type("Sent", (), {"value": value}))
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: taken.append(run) or self
+
+    monkeypatch.setattr(module, "texts", lambda df: df)
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text"] * 5})
+    if stage == "quality":
+        none = np.empty(0)
+        quality.keep(Rows(), quality.Model(none, none, 0.5, none, np.zeros(quality.BUCKETS, np.float32), 0.0))
+    elif stage == "decontaminate":
+        monkeypatch.setattr(decontaminate, "blocks_of", lambda *_: [decontaminate.Items([1], ["an item of some five words"])])
+        decontaminate.clean(Rows(), None)
+    else:
+        monkeypatch.setattr(bpe.F, "col", lambda name: type("Column", (), {"cast": lambda self, _: self, "alias": lambda self, _: self})())
+        bpe.encode_table(Rows())
+        batch = pa.RecordBatch.from_pydict({"k": pa.array(range(5), pa.int64()), "t": batch.column(0)})
+    assert sum(b.num_rows for b in taken[0](iter([batch, batch]))) == 10 and len(calls) == 2
